@@ -1,7 +1,7 @@
 """The queries of this subpackage and the SQL for those that SQL can express."""
 
-from . import license_scan, quality_rules
+from . import best_fit_packing, license_scan, quality_rules, sentencepiece_codec
 
-_MODULES = (license_scan, quality_rules)
+_MODULES = (sentencepiece_codec, license_scan, best_fit_packing, quality_rules)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
