@@ -35,6 +35,7 @@ class WordCache:
     ):
         self.split, self.encode_chunks, self.encode, self.max_entries = split, encode_chunks, encode, max_entries
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Unsigned 32-bit ids of each text."""
@@ -43,14 +44,19 @@ class WordCache:
         for c in cut:
             if c:
                 seen.update(c)
-        if len(self.known) + len(fresh := [w for w in seen if w not in self.known]) > self.max_entries:
-            self.known.clear()
-            fresh = list(seen)
+        known, fresh = self.known, [w for w in seen if w not in self.known]
+        if fresh and len(known) + len(fresh) > self.max_entries:
+            # What was used lately stays; what is used again comes back from the generation before.
+            self.before, self.known = known, {w: known[w] for w in seen if w in known}
+            known = self.known
+        if fresh and self.before:
+            known.update((w, self.before[w]) for w in fresh if w in self.before)
+            fresh = [w for w in fresh if w not in known]
         if fresh:
-            self.known.update(zip(fresh, self.encode_chunks(fresh), strict=True))
+            known.update(zip(fresh, self.encode_chunks(fresh), strict=True))
         whole = [t for t, c in zip(texts, cut, strict=True) if c is None]
         wholes = iter(self.encode(whole)) if whole else iter(())
-        get = self.known.__getitem__
+        get = known.__getitem__
         return [np.array(next(wholes), dtype="<u4") if c is None else np.frombuffer(b"".join(map(get, c)), dtype="<u4") for c in cut]
 
 
