@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import string
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,9 +91,9 @@ def _cache(path: str) -> WordCache:
             if w in cache.known:
                 found[w] = cache.known[w]
             elif w.isascii() and w.isalpha():
-                found[w] = np.array([x.id for x in tokenize(SPACE + w)], dtype="<u4").tobytes()
+                found[w] = array("I", [x.id for x in tokenize(SPACE + w)]).tobytes()
             elif w.isalpha() and max(w) < LATIN_END:
-                found[w] = np.array([x.id for x in tokenize(SPACE + w.encode().decode("latin-1").translate(BYTE_CHARS))], dtype="<u4").tobytes()
+                found[w] = array("I", [x.id for x in tokenize(SPACE + w.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
             else:
                 unique.append(w)
         bare, spaced = [w for w in unique if w[:1] in ("\0", "\n")], [w for w in unique if w[:1] not in ("\0", "\n")]
