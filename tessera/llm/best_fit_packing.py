@@ -33,8 +33,9 @@ CAPACITY = 1024
 END_ID = 2
 SALTS = 64
 TOKENIZER = "byte_bpe_50k.json"
-#: Byte-level BPE joins a single space to what follows it, and runs of white space to each other.
-UNSAFE = re.compile(r"\s\s")
+#: Byte-level BPE joins a single space to what follows it, and runs of white space to each other: a chunk that is
+#: all white space or has some after its first character isn't cut from its text.
+UNSAFE = re.compile(r"^\s+$|.\s", re.DOTALL)
 #: Marks that end a word; the apostrophe isn't one, because contractions are taken as they are.
 MARKS = string.punctuation.replace("'", "")
 
@@ -62,7 +63,7 @@ def _cache(path: str) -> WordCache:
 
     def split(text: str) -> list[str] | None:
         """Chunks: the first word marked by a NUL, words after a space as they are, words after a line feed with it."""
-        return None if UNSAFE.search(text) or "\0" in text else ("\0" + text.replace("\n", " \n")).split(" ")
+        return None if "\0" in text else ("\0" + text.replace("\n", " \n")).split(" ")
 
     def joined(words: list[str]) -> list[bytes]:
         """Ids of words, encoded as the lines of one text; no word has a line feed."""
@@ -76,9 +77,11 @@ def _cache(path: str) -> WordCache:
         """Ids of chunks: those of the word without the marks at its end, then those of the marks, which BPE never joins."""
         stems, ends = [], []
         for w in words:
-            stem = w.rstrip(MARKS)
-            if not stem[-1:].isalnum():
-                stem = w
+            stem = w
+            if not w.isalpha():
+                stem = w.rstrip(MARKS)
+                if not stem[-1:].isalnum():
+                    stem = w
             stems.append(stem)
             ends.append(w[len(stem) :])
         if fresh := sorted(set(ends) - marks.keys()):
@@ -98,14 +101,15 @@ def _cache(path: str) -> WordCache:
                 unique.append(w)
         bare, spaced = [w for w in unique if w[:1] in ("\0", "\n")], [w for w in unique if w[:1] not in ("\0", "\n")]
         for keys, text in ((bare, [w[1:] for w in bare]), (spaced, [f" {w}" for w in spaced])):
-            # An empty line would join its neighbours' line feeds; a space alone would join the next one.
-            full = [k for k, x in enumerate(text) if x and not x.isspace()]
-            found.update(zip([keys[k] for k in full], joined([text[k] for k in full]) if full else [], strict=True))
-            found.update((k, np.array(encode([x])[0], dtype="<u4").tobytes()) for k, x in zip(keys, text, strict=True) if k not in found)
+            found.update((k, None) for k, x in zip(keys, text, strict=True) if UNSAFE.search(x))
+            # An empty line would join its neighbours' line feeds.
+            full = [k for k, x in zip(keys, text, strict=True) if x and k not in found]
+            found.update(zip(full, joined([x for k, x in zip(keys, text, strict=True) if x and k not in found]) if full else [], strict=True))
+        found.setdefault("\0", b"")
         for w in bare:
-            if w[0] == "\n":
+            if w[0] == "\n" and found.setdefault(w, None) is not None:
                 found[w] = newline.tobytes() + found[w]
-        return [found[a] + marks[b] for a, b in zip(stems, ends, strict=True)]
+        return [found[a] + marks[b] if b else found[a] for a, b in zip(stems, ends, strict=True)]
 
     tokenize = t.model.tokenize
     cache = WordCache(split, chunks, encode)

@@ -23,19 +23,20 @@ class WordCache:
 
     ``split`` cuts a text into chunks, or gives None where that isn't safe;
     ``encode_chunks`` gives the ids of distinct chunks, as bytes of unsigned
-    32-bit numbers, in the same order; ``encode`` gives the ids of whole texts.
+    32-bit numbers, in the same order, and None for a chunk whose texts mustn't
+    be cut; ``encode`` gives the ids of whole texts.
     """
 
     def __init__(
         self,
         split: Callable[[str], list[str] | None],
-        encode_chunks: Callable[[list[str]], list[bytes]],
+        encode_chunks: Callable[[list[str]], list[bytes | None]],
         encode: Callable[[list[str]], list[list[int]]],
         max_entries: int = MAX_ENTRIES,
     ):
         self.split, self.encode_chunks, self.encode, self.max_entries = split, encode_chunks, encode, max_entries
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.known: dict[str, bytes | None] = {}
+        self.before: dict[str, bytes | None] = {}
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Unsigned 32-bit ids of each text."""
@@ -54,10 +55,16 @@ class WordCache:
             fresh = [w for w in fresh if w not in known]
         if fresh:
             known.update(zip(fresh, self.encode_chunks(fresh), strict=True))
-        whole = [t for t, c in zip(texts, cut, strict=True) if c is None]
-        wholes = iter(self.encode(whole)) if whole else iter(())
-        get = known.__getitem__
-        return [np.array(next(wholes), dtype="<u4") if c is None else np.frombuffer(b"".join(map(get, c)), dtype="<u4") for c in cut]
+        get, out, whole = known.__getitem__, [], []
+        for i, c in enumerate(cut):
+            try:
+                out.append(np.frombuffer(b"".join(map(get, c)), dtype="<u4"))
+            except TypeError:  # no chunks, or one that isn't safe
+                out.append(None)
+                whole.append(i)
+        for i, x in zip(whole, self.encode([texts[i] for i in whole]) if whole else (), strict=True):
+            out[i] = np.array(x, dtype="<u4")
+        return out
 
 
 def cut_after(ids: np.ndarray, first: np.ndarray) -> list[bytes]:

@@ -6,7 +6,7 @@ import pytest
 from tessera.llm import best_fit_packing as P
 from tessera.llm import sentencepiece_codec as S
 
-TEXTS = ["", None, "a", "  two  spaces ", "x\n\ny", "foo.\nBar baz", "don't stop! a-b_c", "é" * 30, "tab\tbed", "word " * 3000, "<|endoftext|>", "same", "same", "\n", " ", "a \n b", "中文 字", "NUL\0x"]
+TEXTS = ["", None, "a", "  two  spaces ", "x\n\ny", "foo.\nBar baz", "don't stop! a-b_c", "é" * 30, "tab\tbed", "word " * 3000, "<|endoftext|>", "same", "same", "\n", " ", "a \n b", "中文 字", "NUL\0x", "\t", "a\n\tb", "\tq\n\n\tr s", "x\n\t\ny", "\u3000z y", "***\n*** ok"]
 
 
 def ids_of(texts):
