@@ -5,8 +5,9 @@ Shingles are ordered rare first: those that come often by their counts, behind
 all others. Two sets that meet the threshold share a shingle among the first
 ``n - ceil(t * n) + 1`` of each, so nodes are joined on these prefixes only;
 pairs must pass the length and the positional filter, then, once per pair, the
-suffix filter (a bound on the overlap from counts in hash ranges) and the exact
-count.
+suffix filter (a bound on the overlap from the sets' counts in ``RANGES`` hash
+ranges, which nodes carry as a short signature) and the exact count, for which
+the texts of the pairs' nodes alone are read again.
 
 Groups of many near copies share whole prefixes. So that no group's pairs are
 all emitted, links are gathered in rounds: while there are too many pairs of
@@ -24,7 +25,7 @@ no result.
 Defined results: null, empty and wordless texts have the empty set and link with
 nothing; with fewer words than a shingle has, the whole sequence is the one
 shingle; repeated rows are copies; nodes are told apart by 64-bit digests of
-their sets; rows without an id belong to the component of their set.
+their sets; rows without an id belong to the component of a row with an equal set, to none where there is none.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ FREQUENT = 2.0**-20
 HUB_ROUNDS = 6
 PAIRS_PER_ROW = 2.0
 COUNT_BLOCK = 2_000_000
-_PIVOTS = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
+RANGES = 128
 
 
 def shingle_sets(chunk: B.Chunk, size: int = SHINGLE) -> list[np.ndarray]:
@@ -79,6 +80,11 @@ def digest(tokens: np.ndarray) -> int:
     return int(h.view(np.int64)[0])
 
 
+def signature(tokens: np.ndarray) -> bytes:
+    """How many hashes of a set are in each range; the sum of lesser counts bounds an intersection."""
+    return np.minimum(np.bincount((tokens >> np.uint64(57)).astype(np.int64), minlength=RANGES), 65535).astype("<u2").tobytes()
+
+
 def least_overlap(n: np.ndarray, m: np.ndarray | int, percent: int = PERCENT) -> np.ndarray:
     """The least intersection of sets of n and m elements that meets the threshold."""
     return -(-percent * (n + m) // (100 + percent))
@@ -89,18 +95,18 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def _surveyed(docs: DataFrame, size: int) -> DataFrame:
-    """One pass: doc_id, n, d of each text, and (tok, cnt) of the shingles that a task saw in several sets; a written table."""
+    """One pass: doc_id, n, d and signature of each text, and (tok, cnt) of the shingles that a task saw in several sets; a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         total, seen = 0, set()
-        names = ["doc_id", "n", "d", "tok", "cnt"]
+        names = ["doc_id", "n", "d", "sig", "tok", "cnt"]
 
         def counts() -> pa.RecordBatch:
             tok, cnt = np.unique(np.concatenate(held), return_counts=True)
             tok, cnt = tok[cnt > 1], cnt[cnt > 1]
             empty = pa.nulls(len(tok), pa.int64())
-            return pa.RecordBatch.from_arrays([empty, empty, empty, pa.array(B.signed(tok)), pa.array(cnt.astype(np.int64))], names)
+            return pa.RecordBatch.from_arrays([empty, empty, empty, pa.nulls(len(tok), pa.binary()), pa.array(B.signed(tok)), pa.array(cnt.astype(np.int64))], names)
 
         for b in batches:
             for c in B.chunks(b.column(0)):
@@ -112,14 +118,14 @@ def _surveyed(docs: DataFrame, size: int) -> DataFrame:
                         held.append(s)
                         total += len(s)
                 empty = pa.nulls(len(sets), pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(c.lo, c.hi - c.lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(d, pa.int64()), empty, empty], names)
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(c.lo, c.hi - c.lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(d, pa.int64()), pa.array([signature(s) for s in sets], pa.binary()), empty, empty], names)
                 if total > COUNT_BLOCK:
                     yield counts()
                     held, total, seen = [], 0, set()
         if held:
             yield counts()
 
-    return written(docs.select("text", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, n long, d long, tok long, cnt long"), "survey")
+    return written(docs.select("text", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, n long, d long, sig binary, tok long, cnt long"), "survey")
 
 
 class Order:
@@ -178,13 +184,30 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in B.chunks(b.column(0)):
-                sets = shingle_sets(c, size)
-                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["d", "s"])
+                wanted = b.column(1)
+                # Rows that share an id may have other texts: the digest decides.
+                rows = [(x, s.tobytes()) for i, s in enumerate(shingle_sets(c, size), c.lo) if (x := digest(s)) == wanted[i].as_py()]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())], ["d", "s"])
 
     some = docs.sparkSession.sparkContext.broadcast(bloom(nodes.select("doc_id")))
-    few = may_hold(docs.select("text", F.col("doc_id").cast("long").alias("doc_id")), some, "doc_id").join(nodes.select("doc_id").distinct(), "doc_id", "left_semi")
-    # Rows that share an id may have other texts: the digest decides.
-    return written(few.select("text").mapInArrow(run, "d long, s binary").join(nodes.select("d").distinct(), "d", "left_semi").groupBy("d").agg(F.min("s").alias("s")), "sets")
+    few = may_hold(docs.select("text", F.col("doc_id").cast("long").alias("doc_id")), some, "doc_id").join(nodes.select("doc_id", "d"), "doc_id")
+    return written(few.select("text", "d").mapInArrow(run, "d long, s binary"), "sets")
+
+
+def _possible(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that pass the suffix filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype="<u2").reshape(-1, RANGES) for k in (2, 4))
+            n, m = (batch.column(k).to_numpy() for k in (3, 5))
+            # A count of 65,535 stands for any more.
+            most = np.where((x == 65535) & (y == 65535), np.iinfo(np.int32).max, np.minimum(x, y)).sum(axis=1, dtype=np.int64)
+            yield batch.select([0, 1]).filter(pa.array(most >= least_overlap(n, m, percent)))
+
+    one = signatures.select(F.col("d").alias("a"), F.col("sig").alias("x"), F.col("n").alias("n"))
+    two = signatures.select(F.col("d").alias("b"), F.col("sig").alias("y"), F.col("n").alias("m"))
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "n", "y", "m").mapInArrow(run, "a long, b long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -196,12 +219,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             left, right = batch.column(2), batch.column(3)
             for i in range(batch.num_rows):
                 x, y = np.frombuffer(left[i].as_py(), np.uint64), np.frombuffer(right[i].as_py(), np.uint64)
-                least = least_overlap(len(x), len(y), percent)
-                cut = np.searchsorted(x, _PIVOTS), np.searchsorted(y, _PIVOTS)
-                most = sum(np.minimum(np.diff(np.concatenate([[0], u, [n]])), np.diff(np.concatenate([[0], v, [m]]))).sum() for u, v, n, m in [(*cut, len(x), len(y))])
-                if most >= least:
-                    both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                    keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
+                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     one, two = sets.select(F.col("d").alias("a"), F.col("s").alias("x")), sets.select(F.col("d").alias("b"), F.col("s").alias("y"))
@@ -223,15 +242,16 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
     total = rows.agg(F.sum("n")).first()[0] or 0
     often = survey.where("tok IS NOT NULL").groupBy("tok").agg(F.sum("cnt").alias("c")).where(F.col("c") >= max(3.0, FREQUENT * total)).toArrow()
     order = spark.sparkContext.broadcast(Order(often.column("tok").to_numpy().view(np.uint64), often.column("c").to_numpy()))
-    firsts = rows.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("doc_id"))
+    firsts = survey.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("doc_id"))
 
     # Prefix rows of shingles that several nodes have.
     span = "PARTITION BY tok"
     prefixes = _prefixes(docs, order, size, percent).selectExpr("*", f"min(d) OVER ({span}) AS low", f"max(d) OVER ({span}) AS high").where("low < high")
     shared = written(prefixes.groupBy("tok", "d").agg(F.min("pos").alias("pos"), F.first("n").alias("n")), "prefixes")
     n_rows = shared.count()
-    nodes = written(shared.select("d").distinct().join(firsts, "d"), "nodes")
-    sets = _sets(docs, nodes, size)
+    known = survey.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    nodes = written(shared.select("d").distinct().join(known, "d"), "nodes")
+    sets = None
     labels = nodes.select("d", F.col("d").alias("label"))
     links = tested = None
     for k in range(HUB_ROUNDS + 1):
@@ -254,6 +274,12 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         tested = pairs if tested is None else tested.unionAll(pairs)
+        pairs = written(_possible(pairs, nodes, percent), "possible")
+        asked = pairs.select(F.col("a").alias("d")).unionAll(pairs.select(F.col("b").alias("d"))).distinct()
+        if sets is not None:
+            asked = asked.join(sets.select("d"), "d", "left_anti")
+        more = _sets(docs, written(nodes.join(asked, "d", "left_semi").where("doc_id IS NOT NULL").select("doc_id", "d"), "asked"), size)
+        sets = more if sets is None else sets.unionAll(more)
         found = written(_linked(pairs, sets, percent), "links")
         links = found if links is None else links.unionAll(found)
         if last:
