@@ -1,3 +1,59 @@
-"""placeholder"""
+"""A corpus pipeline over ``documents``: toxicity, language, near duplicates, repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
+each result as Parquet to the shared folder and gives it to the next stage. All
+but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import best_fit_packing, jaccard_join, language_id, substring_dedup, toxicity
+from tessera.llm.shared import read_table, written
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't predicted toxic, by a model fitted on the labelled ones among them."""
+    return toxicity.clean(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a language can be told of: text without a letter goes."""
+    return language_id.identified(docs, language_id.fit(docs))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group of near duplicates."""
+    return jaccard_join.representatives(docs)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one has; what has no word left goes."""
+    out = substring_dedup.deduplicated(docs)
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents, with the sequence and the offset of each."""
+    return best_fit_packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", not_toxic),
+    ("language_id", with_language),
+    ("jaccard_join", one_of_each),
+    ("substring_dedup", without_repeats),
+    ("best_fit_packing", packed),
+]
+
+#: Models and tokenizers aren't SQL; tests/llm holds ``run`` against a plain version.
 ORACLE_SQL = None
-run = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
