@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import read_table, written
+from .shared import freeing, read_table, written
 from .word_cache import WordCache, cut_after, slices
 
 CAPACITY = 1024
@@ -126,6 +126,7 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
     """Pieces of all documents: key, piece, start, length, ids_crc32, and the ids themselves where asked for."""
     schema = f"{key} {docs.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
 
+    @freeing
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _cache(path)
         for b in batches:
@@ -244,6 +245,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", sal
     fields = [f for f in ranked.schema.fields if not f.name.startswith("_")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", sequence_id long, offset long"
 
+    @freeing
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, places = shared.value
         for b in batches:

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import freeing
+
 BITS = 26
 _U = np.uint64
 _MULTIPLIERS = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9))
@@ -41,6 +43,7 @@ class Bloom:
 def bloom(keys: DataFrame, tasks: int = 8) -> Bloom:
     """The filter of the one long column of ``keys``; nulls are left out."""
 
+    @freeing
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << BITS, dtype=bool)
         some = False

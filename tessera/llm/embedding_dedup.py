@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .sampling import share
-from .shared import read_table, written
+from .shared import freeing, read_table, written
 
 THRESHOLD = 0.95
 SAMPLE = 20_000
@@ -189,6 +189,7 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id",
     quantiser.prepare()
     shared = spark.sparkContext.broadcast(quantiser)
 
+    @freeing
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
         for b in batches:
@@ -206,6 +207,7 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id",
     count = table.groupBy("cell").agg(F.count("*").alias("c")).select("cell", F.greatest(F.lit(1), F.ceil(F.col("c") / block)).cast("long").alias("blocks"))
     blocked = table.join(F.broadcast(count), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).select("id", "cell", "block", "code", "off", "x")
 
+    @freeing
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
         for b in batches:

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import read_table
+from .shared import freeing, read_table
 
 #: Element kinds of HTML.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -369,6 +369,7 @@ def extracted(pages: DataFrame, model: Model | None = None, html: str = "html")
     kept = [f for f in pages.schema.fields if f.name not in (html, "text", "n_chars")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["text string, n_chars long"])
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from . import bytewise as B
 from .bloom import bloom, may_hold
 from .components import components
-from .shared import read_table, written
+from .shared import freeing, read_table, rows_per_batch, written
 
 SHINGLE = 5
 #: The threshold is 100 * intersection >= PERCENT * union.
@@ -48,6 +48,8 @@ PERCENT = 75
 FREQUENT = 2.0**-20
 #: Rounds with hubs, and how many pairs per prefix row the round that tests all may have.
 HUB_ROUNDS = 6
+#: A round with hubs that finds fewer links than this share of the nodes is the last of them.
+FEW_LINKS = 0.01
 PAIRS_PER_ROW = 2.0
 COUNT_BLOCK = 2_000_000
 RANGES = 128
@@ -97,6 +99,7 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 def _surveyed(docs: DataFrame, size: int) -> DataFrame:
     """One pass: doc_id, n, d and signature of each text, and (tok, cnt) of the shingles that a task saw in several sets; a written table."""
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         total, seen = 0, set()
@@ -154,6 +157,7 @@ class Order:
 def _prefixes(docs: DataFrame, order, size: int, percent: int) -> DataFrame:
     """tok, d, n, pos: each text's prefix; a set that a task met before isn't given again."""
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by, seen = order.value, set()
         for b in batches:
@@ -181,6 +185,7 @@ def _prefixes(docs: DataFrame, order, size: int, percent: int) -> DataFrame:
 def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """d, s: the sorted hashes, as bytes, of nodes (d, doc_id: one document that has the set); a written table."""
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in B.chunks(b.column(0)):
@@ -197,6 +202,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
 def _possible(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that pass the suffix filter."""
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype="<u2").reshape(-1, RANGES) for k in (2, 4))
@@ -213,6 +219,7 @@ def _possible(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFram
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that meet the threshold."""
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, dtype=bool)
@@ -227,11 +234,30 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _distinct_pairs(joined: DataFrame, percent: int) -> DataFrame:
-    """a < b of rows with d, n, pos and e, m, qos that pass the length and the positional filter, once each."""
-    least = F.ceil(F.lit(percent) * (F.col("n") + F.col("m")) / F.lit(100 + percent))
-    ok = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (1 + F.least(F.col("n") - F.col("pos") - 1, F.col("m") - F.col("qos") - 1) >= least)
-    return joined.where(ok).select(F.least("d", "e").alias("a"), F.greatest("d", "e").alias("b")).distinct()
+def _distinct_pairs(live: DataFrame, other: DataFrame, once: bool, percent: int) -> DataFrame:
+    """a < b of rows of one shingle (tok; d, n, pos, label and e, m, qos, other) that pass the length and the positional filter, once each.
+
+    ``once``: both sides hold all rows, so each pair comes from its lesser end.
+    """
+    c = F.col
+    least = F.ceil(F.lit(percent) * (c("n") + c("m")) / F.lit(100 + percent))
+    ok = (c("label") != c("other")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (1 + F.least(c("n") - c("pos") - 1, c("m") - c("qos") - 1) >= least)
+    if once:
+        ok = ok & (c("d") < c("e"))
+    joined = live.join(other, (live["tok"] == other["tok"]) & ok)
+    return joined.select(F.least("d", "e").alias("a"), F.greatest("d", "e").alias("b")).distinct()
+
+
+def _told_apart(shared: DataFrame) -> DataFrame:
+    """Prefix rows without shingles that have the very nodes of a rarer one.
+
+    Nodes agree on the order of shingles, so of shingles with equal nodes the one
+    that comes first in one node comes first in all: it finds the same pairs at
+    places that the positional filter leaves through most easily.
+    """
+    by = shared.groupBy("tok").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("d")).alias("h"), F.sum(F.shiftright(F.xxhash64("d", F.lit(1)), 24)).alias("g"), F.min(F.struct("d", "pos")).alias("m"))
+    first = by.groupBy("c", "h", "g", "m.d").agg(F.min(F.struct("m.pos", "tok")).alias("f")).select("f.tok")
+    return shared.join(first, "tok", "left_semi")
 
 
 def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -248,12 +274,14 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
     span = "PARTITION BY tok"
     prefixes = _prefixes(docs, order, size, percent).selectExpr("*", f"min(d) OVER ({span}) AS low", f"max(d) OVER ({span}) AS high").where("low < high")
     shared = written(prefixes.groupBy("tok", "d").agg(F.min("pos").alias("pos"), F.first("n").alias("n")), "prefixes")
+    shared = written(_told_apart(shared), "live")
     n_rows = shared.count()
     known = survey.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     nodes = written(shared.select("d").distinct().join(known, "d"), "nodes")
     sets = None
     labels = nodes.select("d", F.col("d").alias("label"))
     links = tested = None
+    few = False
     for k in range(HUB_ROUNDS + 1):
         labelled = shared.join(labels, "d")
         mixed = labelled.groupBy("tok", "label").agg(F.count("*").alias("c")).groupBy("tok").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).where("pairs > 0")
@@ -261,15 +289,16 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
         left = mixed.agg(F.sum("pairs")).first()[0] or 0
         if not left:
             break
-        last = k == HUB_ROUNDS or left <= PAIRS_PER_ROW * n_rows
-        live = labelled.join(mixed.select("tok"), "tok", "left_semi")
-        other = live.select("tok", F.col("d").alias("e"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("label").alias("other"))
+        last = k == HUB_ROUNDS or left <= PAIRS_PER_ROW * n_rows or few
+        # Labels only merge: a shingle whose nodes are of one component is done with.
+        shared = written(shared.join(mixed.select("tok"), "tok", "left_semi"), "live")
+        live = shared.join(labels, "d")
         if last:
-            joined = live.join(other, "tok").where("d < e AND label <> other")
+            other = live.select("tok", F.col("d").alias("e"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("label").alias("other"))
         else:
-            hub = live.groupBy("tok").agg(F.min(F.struct(F.xxhash64("d", F.lit(k)).alias("h"), F.col("d").alias("e"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("label").alias("other"))).alias("hub"))
-            joined = live.join(hub.select("tok", "hub.*"), "tok").where("label <> other")
-        pairs = _distinct_pairs(joined, percent)
+            hub = F.struct(F.xxhash64("d", F.lit(k)).alias("h"), F.col("d").alias("e"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("label").alias("other"))
+            other = live.groupBy("tok").agg(F.min(hub).alias("hub")).select("tok", "hub.*")
+        pairs = _distinct_pairs(live, other, last, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
@@ -280,11 +309,13 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
             asked = asked.join(sets.select("d"), "d", "left_anti")
         more = _sets(docs, written(nodes.join(asked, "d", "left_semi").where("doc_id IS NOT NULL").select("doc_id", "d"), "asked"), size)
         sets = more if sets is None else sets.unionAll(more)
-        found = written(_linked(pairs, sets, percent), "links")
+        with rows_per_batch(spark, 512):
+            found = written(_linked(pairs, sets, percent), "links")
         links = found if links is None else links.unionAll(found)
         if last:
             break
         labels = _labels(nodes, links)
+        few = found.count() < FEW_LINKS * nodes.count()
     if links is not None:
         labels = _labels(nodes, links)
     least = labels.join(nodes, "d").groupBy("label").agg(F.min("doc_id").alias("component"))

@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from . import bytewise as B
 from .sampling import bounded, fold
-from .shared import read_table
+from .shared import freeing, read_table
 
-PER_LANGUAGE = 1_000
+PER_LANGUAGE = 600
 DIMENSIONS = 4096
 UNDETERMINED = "und"
 #: Families of languages by code; a code that isn't here is a family of its own.
@@ -103,13 +103,14 @@ def has_letter(chunk: B.Chunk, texts: pa.Array) -> np.ndarray:
 def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 60) -> np.ndarray:
     """Weights and bias of a linear machine with squared hinge loss, classes weighted alike, by Nesterov's method."""
     a = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
-    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)) * c * 2
-    step = 1.0 / (1.0 + 2 * c * 2.0)  # rows have length sqrt(2)
-    w = v = np.zeros(a.shape[1])
+    y = y.astype(x.dtype)
+    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(x.dtype) * x.dtype.type(2 * c)
+    step = x.dtype.type(1.0 / (1.0 + 2 * c * 2.0))  # rows have length sqrt(2)
+    w = v = np.zeros(a.shape[1], dtype=x.dtype)
     for k in range(rounds):
-        slack = np.maximum(0.0, 1.0 - y * (a @ v))
+        slack = np.maximum(0, 1 - y * (a @ v))
         new = v - step * (v - a.T @ (2 * weight * y * slack))
-        v = new + k / (k + 3.0) * (new - w)
+        v = new + x.dtype.type(k / (k + 3.0)) * (new - w)
         w = new
     return w
 
@@ -190,6 +191,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, key: str = "doc_id")
     rows = docs.select(key, "text", "lang").where(fold(key) > 0).where(F.col("lang").isNotNull() & (F.col("text").rlike(r"\p{L}")))
     sample = bounded(rows, "lang", per_language, key)
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in B.chunks(b.column(0)):
@@ -211,6 +213,7 @@ def predicted(docs: DataFrame, model: Model, pred: str = "lang_pred", score: str
     names = ["text", *[c for c in docs.columns if c not in ("text", pred, score)]]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + f", `{pred}` string, `{score}` double"
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import read_table
+from .shared import freeing, read_table
 from .word_cache import WordCache, slices
 
 MODEL = "piece_bpe_32k.model"
@@ -200,6 +200,7 @@ def encoded(docs: DataFrame, path: str | None = None, parity: bool = True, decod
         + ["ids array<int>"] * keep_ids
     )
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, own = Codec(path), None
         if parity:
@@ -232,6 +233,7 @@ def decoded(rows: DataFrame, path: str | None = None, ids: str = "ids") -> DataF
     kept = [f for f in rows.schema.fields if f.name not in (ids, "text")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["text string"])
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path)
         for b in batches:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import bytewise as B
 from .bloom import bloom, may_hold
-from .shared import read_table, table_path, written
+from .shared import freeing, read_table, table_path, written
 
 WINDOW = 50
 GRAM = 8
@@ -65,6 +65,7 @@ def _windows(chunk: B.Chunk, window: int) -> tuple[np.ndarray, np.ndarray, np.nd
 def segments(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, only=None) -> DataFrame:
     """The segments of all texts; with ``only`` (a broadcast filter of ``key``), those whose key it may hold."""
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in B.chunks(b.column(0)):
@@ -174,6 +175,7 @@ def matches(fresh: DataFrame, history: DataFrame | None) -> tuple[DataFrame, Dat
 def _window_hashes(docs: DataFrame, contested: DataFrame, window: int) -> DataFrame:
     """doc_id, at, a, b: 128-bit hashes of the windows of contested segments."""
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in B.chunks(batch.column(0)):
@@ -269,6 +271,7 @@ def _cut(docs: DataFrame, removed: DataFrame, window: int, make, added: str) ->
         for c in B.chunks(b.column(0)):
             yield b.slice(c.lo, c.hi - c.lo)
 
+    @freeing
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("doc_id")
         for b in batches:
@@ -277,6 +280,7 @@ def _cut(docs: DataFrame, removed: DataFrame, window: int, make, added: str) ->
             for p in parts(b.filter(pa.array(~hit))):
                 yield rows(p, None)
 
+    @freeing
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p in parts(b):

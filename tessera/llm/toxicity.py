@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import bytewise as B
 from .sampling import bounded, fold
-from .shared import read_table, written
+from .shared import freeing, read_table, written
 
 PER_CLASS = 10_000
 MAX_FEATURES = 100_000
@@ -152,6 +152,7 @@ def significance(found: list[tuple[int, int, float]], n_words: int, lam: float,
 def _counted(rows: DataFrame) -> DataFrame:
     """hash, parent, toxic, clean: uses of each feature in sampled documents; each document counts a feature once."""
 
+    @freeing
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             toxic = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -223,6 +224,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
 def _scan(rows: DataFrame, shared, columns: list[str], schema: str, make) -> DataFrame:
     """A map over texts; ``make(model, batch, lo, hi, found segments, words)`` gives the arrays of each chunk."""
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
