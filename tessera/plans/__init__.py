@@ -1 +1 @@
-
+"""Named queries over the driver's tables, and the SQL that gives the same rows."""
