@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from . import bytewise as B
 from .bloom import bloom, may_hold
 from .components import components
-from .shared import freeing, read_table, rows_per_batch, written
+from .shared import freeing, read_table, release, rows_per_batch, written
 
 SHINGLE = 5
 #: The threshold is 100 * intersection >= PERCENT * union.
@@ -52,7 +52,7 @@ HUB_ROUNDS = 6
 FEW_LINKS = 0.01
 PAIRS_PER_ROW = 2.0
 COUNT_BLOCK = 2_000_000
-RANGES = 128
+RANGES = 512
 
 
 def shingle_sets(chunk: B.Chunk, size: int = SHINGLE) -> list[np.ndarray]:
@@ -84,7 +84,7 @@ def digest(tokens: np.ndarray) -> int:
 
 def signature(tokens: np.ndarray) -> bytes:
     """How many hashes of a set are in each range; the sum of lesser counts bounds an intersection."""
-    return np.minimum(np.bincount((tokens >> np.uint64(57)).astype(np.int64), minlength=RANGES), 65535).astype("<u2").tobytes()
+    return np.minimum(np.bincount((tokens >> np.uint64(55)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes()
 
 
 def least_overlap(n: np.ndarray, m: np.ndarray | int, percent: int = PERCENT) -> np.ndarray:
@@ -205,10 +205,10 @@ def _possible(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFram
     @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype="<u2").reshape(-1, RANGES) for k in (2, 4))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, RANGES) for k in (2, 4))
             n, m = (batch.column(k).to_numpy() for k in (3, 5))
-            # A count of 65,535 stands for any more.
-            most = np.where((x == 65535) & (y == 65535), np.iinfo(np.int32).max, np.minimum(x, y)).sum(axis=1, dtype=np.int64)
+            # A count of 255 stands for any more.
+            most = np.minimum(x, y).sum(axis=1, dtype=np.int64) + ((x == 255) & (y == 255)).any(axis=1) * (1 << 40)
             yield batch.select([0, 1]).filter(pa.array(most >= least_overlap(n, m, percent)))
 
     one = signatures.select(F.col("d").alias("a"), F.col("sig").alias("x"), F.col("n").alias("n"))
@@ -274,6 +274,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
     span = "PARTITION BY tok"
     prefixes = _prefixes(docs, order, size, percent).selectExpr("*", f"min(d) OVER ({span}) AS low", f"max(d) OVER ({span}) AS high").where("low < high")
     shared = written(prefixes.groupBy("tok", "d").agg(F.min("pos").alias("pos"), F.first("n").alias("n")), "prefixes")
+    release(spark)
     shared = written(_told_apart(shared), "live")
     n_rows = shared.count()
     known = survey.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
@@ -312,6 +313,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
         with rows_per_batch(spark, 512):
             found = written(_linked(pairs, sets, percent), "links")
         links = found if links is None else links.unionAll(found)
+        release(spark)
         if last:
             break
         labels = _labels(nodes, links)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -67,3 +68,9 @@ def rows_per_batch(spark: SparkSession, n: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, before)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now; else they stay until the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import bytewise as B
 from .bloom import bloom, may_hold
-from .shared import freeing, read_table, table_path, written
+from .shared import freeing, read_table, release, table_path, written
 
 WINDOW = 50
 GRAM = 8
@@ -217,6 +217,7 @@ def repeats(docs: DataFrame, path: str | None = None, batches: int = BATCHES, wi
         fresh = index.add(segments(batch, window, gram))
         found.append(matches(fresh, history))
         index.compact()
+        release(spark)
     return confirmed(docs, found, window, gram)
 
 
