@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.position import with_position
@@ -32,10 +32,10 @@ def by_capacity(g: TemporalGraph, shares: list[int]) -> DataFrame:
     return g.vertices().select("v", part.cast("long").alias("part"))
 
 
-def split(work: DataFrame, order: list, parts: int) -> DataFrame:
-    """v, part, work: rows (v, work) in ``order``, cut into runs of equal work.
+def split(work: DataFrame, order: list, parts: int, shares: list[int] | None = None) -> DataFrame:
+    """v, part, work: rows (v, work) in ``order``, cut into runs of equal work, or of work in proportion to whole ``shares``.
 
-    Cut k is at the first row whose running work reaches k / D of the total, and
+    Cut k is at the first row whose running work reaches k / D of the total (the first k shares of it), and
     that row begins the next run; without any work, runs of equal length. The
     running sum is taken within ranges and their starts are added, so no task
     has all rows.
@@ -46,13 +46,12 @@ def split(work: DataFrame, order: list, parts: int) -> DataFrame:
         return p.select("v", F.expr(f"r * {parts} div {max(total['n'], 1)}").alias("part"), "work")
     blocks = max(1, min(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), total["n"]))
     p = p.withColumn("blk", F.expr(f"r * {blocks} div {total['n']}"))
-    from pyspark.sql import Window
-
     sums = p.groupBy("blk").agg(F.sum("work").alias("s"))
     start = sums.select("blk", (F.sum("s").over(Window.orderBy("blk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")).alias("base"))
     run = p.join(F.broadcast(start), "blk").withColumn("prefix", F.col("base") + F.sum("work").over(Window.partitionBy("blk").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)))
     run = kept(run.select("v", "r", "work", "prefix"), "prefix")
-    short = [F.count_if(F.col("prefix") * parts < k * total["w"]).alias(f"c{k}") for k in range(1, parts)]
+    shares = shares or [1] * parts
+    short = [F.count_if(F.col("prefix") * sum(shares) < sum(shares[:k]) * total["w"]).alias(f"c{k}") for k in range(1, parts)]
     cuts = run.agg(*short).first() if short else []
     part = F.lit(0)
     for c in cuts:
@@ -60,12 +59,18 @@ def split(work: DataFrame, order: list, parts: int) -> DataFrame:
     return run.select("v", part.cast("long").alias("part"), "work")
 
 
-def by_locality(g: TemporalGraph, parts: int, rank: DataFrame | None = None) -> DataFrame:
+def by_locality(g: TemporalGraph, parts: int, rank: DataFrame | None = None, shares: list[int] | None = None) -> DataFrame:
     """Runs of equal incident work in the order of ``rank`` (v, rank); by degree, the highest first, without one."""
     work = degree(g).withColumnRenamed("deg", "work")
     if rank is None:
-        return split(work, [F.desc("work"), F.asc("v")], parts)
-    return split(work.join(rank, "v"), ["rank", "v"], parts).select("v", "part", "work")
+        return split(work, [F.desc("work"), F.asc("v")], parts, shares)
+    return split(work.join(rank, "v"), ["rank", "v"], parts, shares).select("v", "part", "work")
+
+
+def by_feature_bytes(g: TemporalGraph, shares: list[int]) -> DataFrame:
+    """The order of degrees cut so that parts get feature widths in proportion to their memory."""
+    work = degree(g).join(g.vertices(), "v").select("v", "deg", F.col("fv").alias("work"))
+    return split(work, [F.desc("deg"), F.asc("v")], len(shares), shares)
 
 
 def by_first_activity(g: TemporalGraph, snaps: int, parts: int) -> DataFrame:
