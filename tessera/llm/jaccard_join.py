@@ -4,10 +4,11 @@ A text is the set of its distinct word shingles. Equal sets are one node.
 Shingles are ordered rare first: those that come often by their counts, behind
 all others. Two sets that meet the threshold share a shingle among the first
 ``n - ceil(t * n) + 1`` of each, so nodes are joined on these prefixes only;
-pairs must pass the length and the positional filter, then, once per pair, the
-suffix filter (a bound on the overlap from the sets' counts in ``RANGES`` hash
-ranges, which nodes carry as a short signature) and the exact count, for which
-the texts of the pairs' nodes alone are read again.
+pairs must pass the length, the positional and the suffix filter within the
+join, then, once per pair, the exact count, for which the texts of the pairs'
+nodes alone are read again. The suffix filter bounds the overlap by ``64 *
+LONGS`` bits that a node carries, one for each hash range that its set has an
+element in: an element in a range that the other set has none in is not shared.
 
 Groups of many near copies share whole prefixes. So that no group's pairs are
 all emitted, links are gathered in rounds: while there are too many pairs of
@@ -31,6 +32,7 @@ their sets; rows without an id belong to the component of a row with an equal se
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +53,8 @@ HUB_ROUNDS = 6
 #: A round with hubs that finds fewer links than this share of the nodes is the last of them.
 FEW_LINKS = 0.01
 PAIRS_PER_ROW = 2.0
-COUNT_BLOCK = 2_000_000
-RANGES = 512
+COUNT_BLOCK = 1_000_000
+LONGS = 16
 
 
 def shingle_sets(chunk: B.Chunk, size: int = SHINGLE) -> list[np.ndarray]:
@@ -82,9 +84,11 @@ def digest(tokens: np.ndarray) -> int:
     return int(h.view(np.int64)[0])
 
 
-def signature(tokens: np.ndarray) -> bytes:
-    """How many hashes of a set are in each range; the sum of lesser counts bounds an intersection."""
-    return np.minimum(np.bincount((tokens >> np.uint64(55)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes()
+def signature(tokens: np.ndarray) -> np.ndarray:
+    """LONGS numbers whose bits say which hash ranges a set has an element in."""
+    bits = np.zeros(64 * LONGS, dtype=np.uint8)
+    bits[(tokens >> np.uint64(54)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
 
 
 def least_overlap(n: np.ndarray, m: np.ndarray | int, percent: int = PERCENT) -> np.ndarray:
@@ -109,7 +113,7 @@ def _surveyed(docs: DataFrame, size: int) -> DataFrame:
             tok, cnt = np.unique(np.concatenate(held), return_counts=True)
             tok, cnt = tok[cnt > 1], cnt[cnt > 1]
             empty = pa.nulls(len(tok), pa.int64())
-            return pa.RecordBatch.from_arrays([empty, empty, empty, pa.nulls(len(tok), pa.binary()), pa.array(B.signed(tok)), pa.array(cnt.astype(np.int64))], names)
+            return pa.RecordBatch.from_arrays([empty, empty, empty, pa.nulls(len(tok), pa.list_(pa.int64())), pa.array(B.signed(tok)), pa.array(cnt.astype(np.int64))], names)
 
         for b in batches:
             for c in B.chunks(b.column(0)):
@@ -121,14 +125,14 @@ def _surveyed(docs: DataFrame, size: int) -> DataFrame:
                         held.append(s)
                         total += len(s)
                 empty = pa.nulls(len(sets), pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(c.lo, c.hi - c.lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(d, pa.int64()), pa.array([signature(s) for s in sets], pa.binary()), empty, empty], names)
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(c.lo, c.hi - c.lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(d, pa.int64()), pa.array([signature(s) for s in sets], pa.list_(pa.int64())), empty, empty], names)
                 if total > COUNT_BLOCK:
                     yield counts()
                     held, total, seen = [], 0, set()
         if held:
             yield counts()
 
-    return written(docs.select("text", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, n long, d long, sig binary, tok long, cnt long"), "survey")
+    return written(docs.select("text", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, n long, d long, sig array<long>, tok long, cnt long"), "survey")
 
 
 class Order:
@@ -199,23 +203,6 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return written(few.select("text", "d").mapInArrow(run, "d long, s binary"), "sets")
 
 
-def _possible(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that pass the suffix filter."""
-
-    @freeing
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, RANGES) for k in (2, 4))
-            n, m = (batch.column(k).to_numpy() for k in (3, 5))
-            # A count of 255 stands for any more.
-            most = np.minimum(x, y).sum(axis=1, dtype=np.int64) + ((x == 255) & (y == 255)).any(axis=1) * (1 << 40)
-            yield batch.select([0, 1]).filter(pa.array(most >= least_overlap(n, m, percent)))
-
-    one = signatures.select(F.col("d").alias("a"), F.col("sig").alias("x"), F.col("n").alias("n"))
-    two = signatures.select(F.col("d").alias("b"), F.col("sig").alias("y"), F.col("n").alias("m"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "n", "y", "m").mapInArrow(run, "a long, b long")
-
-
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that meet the threshold."""
 
@@ -235,13 +222,15 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _distinct_pairs(live: DataFrame, other: DataFrame, once: bool, percent: int) -> DataFrame:
-    """a < b of rows of one shingle (tok; d, n, pos, label and e, m, qos, other) that pass the length and the positional filter, once each.
+    """a < b of rows of one shingle (tok; d, n, pos, s0.., label and e, m, qos, t0.., other) that pass the length, positional and suffix filters, once each.
 
     ``once``: both sides hold all rows, so each pair comes from its lesser end.
     """
     c = F.col
     least = F.ceil(F.lit(percent) * (c("n") + c("m")) / F.lit(100 + percent))
     ok = (c("label") != c("other")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (1 + F.least(c("n") - c("pos") - 1, c("m") - c("qos") - 1) >= least)
+    alone = lambda x, y: reduce(lambda p, q: p + q, [F.bit_count(c(f"{x}{i}").bitwiseAND(F.bitwise_not(c(f"{y}{i}")))) for i in range(LONGS)])
+    ok = ok & (c("n") - alone("s", "t") >= least) & (c("m") - alone("t", "s") >= least)
     if once:
         ok = ok & (c("d") < c("e"))
     joined = live.join(other, (live["tok"] == other["tok"]) & ok)
@@ -262,6 +251,11 @@ def _told_apart(shared: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, d (digest of the set), component (the least id that links reach) of every row."""
+    with rows_per_batch(docs.sparkSession, 2000):
+        return _classes(docs, size, percent)
+
+
+def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     survey = _surveyed(docs, size)
     rows = survey.where("n IS NOT NULL").select("doc_id", "n", "d")
@@ -293,18 +287,18 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
         last = k == HUB_ROUNDS or left <= PAIRS_PER_ROW * n_rows or few
         # Labels only merge: a shingle whose nodes are of one component is done with.
         shared = written(shared.join(mixed.select("tok"), "tok", "left_semi"), "live")
-        live = shared.join(labels, "d")
+        live = shared.join(nodes.join(labels, "d").select("d", "label", *[F.coalesce(F.get("sig", F.lit(i)), F.lit(0)).alias(f"s{i}") for i in range(LONGS)]), "d")
+        theirs = [F.col("d").alias("e"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("label").alias("other"), *[F.col(f"s{i}").alias(f"t{i}") for i in range(LONGS)]]
         if last:
-            other = live.select("tok", F.col("d").alias("e"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("label").alias("other"))
+            other = live.select("tok", *theirs)
         else:
-            hub = F.struct(F.xxhash64("d", F.lit(k)).alias("h"), F.col("d").alias("e"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("label").alias("other"))
+            hub = F.struct(F.xxhash64("d", F.lit(k)).alias("h"), *theirs)
             other = live.groupBy("tok").agg(F.min(hub).alias("hub")).select("tok", "hub.*")
         pairs = _distinct_pairs(live, other, last, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         tested = pairs if tested is None else tested.unionAll(pairs)
-        pairs = written(_possible(pairs, nodes, percent), "possible")
         asked = pairs.select(F.col("a").alias("d")).unionAll(pairs.select(F.col("b").alias("d"))).distinct()
         if sets is not None:
             asked = asked.join(sets.select("d"), "d", "left_anti")

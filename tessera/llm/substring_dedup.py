@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import bytewise as B
 from .bloom import bloom, may_hold
-from .shared import freeing, read_table, release, table_path, written
+from .shared import freeing, read_table, release, rows_per_batch, table_path, written
 
 WINDOW = 50
 GRAM = 8
@@ -200,7 +200,12 @@ def _window_hashes(docs: DataFrame, contested: DataFrame, window: int) -> DataFr
 
 
 def repeats(docs: DataFrame, path: str | None = None, batches: int = BATCHES, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT) -> DataFrame:
-    """doc_id, start, n: runs of windows, each of which also starts in a document with a smaller id."""
+    """doc_id, start, n: runs of windows, each of which also starts in a document with a smaller id; from written tables."""
+    with rows_per_batch(docs.sparkSession, 2000):
+        return written(_repeats(docs, path, batches, window, gram, fanout), "repeats")
+
+
+def _repeats(docs: DataFrame, path: str | None, batches: int, window: int, gram: int, fanout: int) -> DataFrame:
     spark = docs.sparkSession
     index = Index(spark, path or table_path(spark, "segments"), fanout)
     numbered = docs.where("doc_id IS NOT NULL")
