@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import freeing, read_table, written
+from .shared import freeing, modest_batches, read_table, written
 from .word_cache import WordCache, cut_after, slices
 
 CAPACITY = 1024
@@ -145,7 +145,7 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
                     out, names = [*out, pa.array(ids, type=pa.list_(pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    return docs.select(key, text).mapInArrow(encode, schema)
+    return modest_batches(docs).select(key, text).mapInArrow(encode, schema)
 
 
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:

@@ -66,8 +66,8 @@ class Chunk:
     offsets: np.ndarray
 
 
-def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """Runs of whole rows of about ``limit`` bytes (one row may be longer); a null is an empty text."""
+def chunks(column: pa.Array, limit: int = CHUNK_BYTES, rows: int = 1 << 30) -> Iterator[Chunk]:
+    """Runs of at most ``rows`` whole rows of about ``limit`` bytes (one row may be longer); a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
@@ -81,7 +81,7 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     lo = 0
     while lo < len(column):
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1)
-        hi = min(hi, len(column))
+        hi = min(hi, len(column), lo + rows)
         yield Chunk(lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         lo = hi
 

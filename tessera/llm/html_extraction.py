@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import freeing, read_table
+from .shared import freeing, modest_batches, read_table
 
 #: Element kinds of HTML.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -378,7 +378,7 @@ def extracted(pages: DataFrame, model: Model | None = None, html: str = "html")
                 text = ["\n".join(blocks(h.as_py(), model)) for h in part.column(0)]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], [*(f.name for f in kept), "text", "n_chars"])
 
-    return pages.select(html, *[f.name for f in kept]).mapInArrow(run, schema)
+    return modest_batches(pages).select(html, *[f.name for f in kept]).mapInArrow(run, schema)
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,13 @@ Shingles are ordered rare first: those that come often by their counts, behind
 all others. Two sets that meet the threshold share a shingle among the first
 ``n - ceil(t * n) + 1`` of each, so nodes are joined on these prefixes only;
 pairs must pass the length, the positional and the suffix filter within the
-join, then, once per pair, the exact count, for which the texts of the pairs'
-nodes alone are read again. The suffix filter bounds the overlap by ``64 *
-LONGS`` bits that a node carries, one for each hash range that its set has an
-element in: an element in a range that the other set has none in is not shared.
+join, then, once per pair, a closer suffix filter and the exact count, for which
+the texts of the pairs' nodes alone are read again. The suffix filters bound the
+overlap by what a node carries of its set. In the join these are ``64 * LONGS``
+bits, one for each hash range that the set has an element in: an element in a
+range that the other set has none in is not shared. After it, they are the
+numbers of elements in ``RANGES`` hash ranges, which long texts need: two sets
+share no more than the lesser number of each range.
 
 Groups of many near copies share whole prefixes. So that no group's pairs are
 all emitted, links are gathered in rounds: while there are too many pairs of
@@ -55,6 +58,7 @@ FEW_LINKS = 0.01
 PAIRS_PER_ROW = 2.0
 COUNT_BLOCK = 1_000_000
 LONGS = 16
+RANGES = 512
 
 
 def shingle_sets(chunk: B.Chunk, size: int = SHINGLE) -> list[np.ndarray]:
@@ -91,6 +95,11 @@ def signature(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
+def range_counts(tokens: np.ndarray) -> bytes:
+    """How many hashes of a set are in each range; 255 stands for any more."""
+    return np.minimum(np.bincount((tokens >> np.uint64(55)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes()
+
+
 def least_overlap(n: np.ndarray, m: np.ndarray | int, percent: int = PERCENT) -> np.ndarray:
     """The least intersection of sets of n and m elements that meets the threshold."""
     return -(-percent * (n + m) // (100 + percent))
@@ -107,13 +116,13 @@ def _surveyed(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         total, seen = 0, set()
-        names = ["doc_id", "n", "d", "sig", "tok", "cnt"]
+        names = ["doc_id", "n", "d", "sig", "ranges", "tok", "cnt"]
 
         def counts() -> pa.RecordBatch:
             tok, cnt = np.unique(np.concatenate(held), return_counts=True)
             tok, cnt = tok[cnt > 1], cnt[cnt > 1]
             empty = pa.nulls(len(tok), pa.int64())
-            return pa.RecordBatch.from_arrays([empty, empty, empty, pa.nulls(len(tok), pa.list_(pa.int64())), pa.array(B.signed(tok)), pa.array(cnt.astype(np.int64))], names)
+            return pa.RecordBatch.from_arrays([empty, empty, empty, pa.nulls(len(tok), pa.list_(pa.int64())), pa.nulls(len(tok), pa.binary()), pa.array(B.signed(tok)), pa.array(cnt.astype(np.int64))], names)
 
         for b in batches:
             for c in B.chunks(b.column(0)):
@@ -125,14 +134,14 @@ def _surveyed(docs: DataFrame, size: int) -> DataFrame:
                         held.append(s)
                         total += len(s)
                 empty = pa.nulls(len(sets), pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(c.lo, c.hi - c.lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(d, pa.int64()), pa.array([signature(s) for s in sets], pa.list_(pa.int64())), empty, empty], names)
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(c.lo, c.hi - c.lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(d, pa.int64()), pa.array([signature(s) for s in sets], pa.list_(pa.int64())), pa.array([range_counts(s) for s in sets], pa.binary()), empty, empty], names)
                 if total > COUNT_BLOCK:
                     yield counts()
                     held, total, seen = [], 0, set()
         if held:
             yield counts()
 
-    return written(docs.select("text", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, n long, d long, sig array<long>, tok long, cnt long"), "survey")
+    return written(docs.select("text", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, n long, d long, sig array<long>, ranges binary, tok long, cnt long"), "survey")
 
 
 class Order:
@@ -203,6 +212,22 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return written(few.select("text", "d").mapInArrow(run, "d long, s binary"), "sets")
 
 
+def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that pass the suffix filter by range counts."""
+
+    @freeing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, RANGES) for k in (2, 4))
+            n, m = (batch.column(k).to_numpy() for k in (3, 5))
+            most = np.minimum(x, y).sum(axis=1, dtype=np.int64) + ((x == 255) & (y == 255)).any(axis=1) * (1 << 40)
+            yield batch.select([0, 1]).filter(pa.array(most >= least_overlap(n, m, percent)))
+
+    one = nodes.select(F.col("d").alias("a"), F.col("ranges").alias("x"), F.col("n").alias("n"))
+    two = nodes.select(F.col("d").alias("b"), F.col("ranges").alias("y"), F.col("n").alias("m"))
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "n", "y", "m").mapInArrow(run, "a long, b long")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that meet the threshold."""
 
@@ -251,7 +276,7 @@ def _told_apart(shared: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, d (digest of the set), component (the least id that links reach) of every row."""
-    with rows_per_batch(docs.sparkSession, 2000):
+    with rows_per_batch(docs.sparkSession, 1000):
         return _classes(docs, size, percent)
 
 
@@ -271,7 +296,7 @@ def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     release(spark)
     shared = written(_told_apart(shared), "live")
     n_rows = shared.count()
-    known = survey.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    known = survey.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("ranges").alias("ranges"))
     nodes = written(shared.select("d").distinct().join(known, "d"), "nodes")
     sets = None
     labels = nodes.select("d", F.col("d").alias("label"))
@@ -299,6 +324,7 @@ def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         tested = pairs if tested is None else tested.unionAll(pairs)
+        pairs = written(_possible(pairs, nodes, percent), "possible")
         asked = pairs.select(F.col("a").alias("d")).unionAll(pairs.select(F.col("b").alias("d"))).distinct()
         if sets is not None:
             asked = asked.join(sets.select("d"), "d", "left_anti")

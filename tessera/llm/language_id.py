@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 
 from . import bytewise as B
 from .sampling import bounded, fold
-from .shared import freeing, read_table
+from .shared import freeing, modest_batches, read_table
 
 PER_LANGUAGE = 600
 DIMENSIONS = 4096
+#: Texts whose vectors are held at once.
+MAX_ROWS = 256
 UNDETERMINED = "und"
 #: Families of languages by code; a code that isn't here is a family of its own.
 FAMILIES = {
@@ -194,11 +196,11 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, key: str = "doc_id")
     @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c in B.chunks(b.column(0)):
+            for c in B.chunks(b.column(0), rows=MAX_ROWS):
                 x = vectors(c)
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(c.lo, c.hi - c.lo), pa.array([v.astype(np.float16).tobytes() for v in x], pa.binary())], ["lang", "v"])
 
-    got = sample.select("text", "lang").mapInArrow(run, "lang string, v binary").toPandas()
+    got = modest_batches(sample).select("text", "lang").mapInArrow(run, "lang string, v binary").toPandas()
     if not len(got):
         return Model(Machines([]), {})
     x = np.stack([np.frombuffer(v, dtype=np.float16) for v in got["v"]]).astype(np.float32)
@@ -217,13 +219,13 @@ def predicted(docs: DataFrame, model: Model, pred: str = "lang_pred", score: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            for c in B.chunks(b.column(0)):
+            for c in B.chunks(b.column(0), rows=MAX_ROWS):
                 lang, p = model.predict(vectors(c))
                 some = has_letter(c, b.column(0))
                 lang, p = np.where(some, lang, UNDETERMINED), np.where(some, p, 0.0)
                 yield pa.RecordBatch.from_arrays([*b.slice(c.lo, c.hi - c.lo).columns, pa.array(lang.tolist(), pa.string()), pa.array(p)], [*names, pred, score])
 
-    out = docs.select(*names).mapInArrow(run, schema)
+    out = modest_batches(docs).select(*names).mapInArrow(run, schema)
     return out.select(*[c for c in docs.columns if c not in (pred, score)], pred, score)
 
 

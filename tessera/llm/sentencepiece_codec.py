@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import freeing, read_table
+from .shared import freeing, modest_batches, read_table
 from .word_cache import WordCache, slices
 
 MODEL = "piece_bpe_32k.model"
@@ -224,7 +224,7 @@ def encoded(docs: DataFrame, path: str | None = None, parity: bool = True, decod
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    return docs.select(text, *[f.name for f in kept]).mapInArrow(run, schema)
+    return modest_batches(docs).select(text, *[f.name for f in kept]).mapInArrow(run, schema)
 
 
 def decoded(rows: DataFrame, path: str | None = None, ids: str = "ids") -> DataFrame:

@@ -74,3 +74,15 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now; else they stay until the driver's garbage is collected."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+#: Rows of whole texts that an Arrow batch holds at most; Spark's own default of 10,000 is tens of megabytes a batch.
+TEXT_ROWS = 1000
+
+
+def modest_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches brought down to ``TEXT_ROWS`` rows: it counts when a plan runs, so it stays set."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
+    return df

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import bytewise as B
 from .bloom import bloom, may_hold
-from .shared import freeing, read_table, release, rows_per_batch, table_path, written
+from .shared import freeing, modest_batches, read_table, release, rows_per_batch, table_path, written
 
 WINDOW = 50
 GRAM = 8
@@ -201,7 +201,7 @@ def _window_hashes(docs: DataFrame, contested: DataFrame, window: int) -> DataFr
 
 def repeats(docs: DataFrame, path: str | None = None, batches: int = BATCHES, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT) -> DataFrame:
     """doc_id, start, n: runs of windows, each of which also starts in a document with a smaller id; from written tables."""
-    with rows_per_batch(docs.sparkSession, 2000):
+    with rows_per_batch(docs.sparkSession, 1000):
         return written(_repeats(docs, path, batches, window, gram, fanout), "repeats")
 
 
@@ -292,7 +292,7 @@ def _cut(docs: DataFrame, removed: DataFrame, window: int, make, added: str) ->
             for p in parts(b):
                 yield rows(p, len(names))
 
-    met = may_hold(docs.select(*names), some, "doc_id").join(ranges, "doc_id", "left").select(*names, "_r")
+    met = may_hold(modest_batches(docs).select(*names), some, "doc_id").join(ranges, "doc_id", "left").select(*names, "_r")
     return docs.select(*names).mapInArrow(untouched, schema).unionAll(met.mapInArrow(touched, schema))
 
 

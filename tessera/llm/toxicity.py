@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import bytewise as B
 from .sampling import bounded, fold
-from .shared import freeing, read_table, written
+from .shared import freeing, modest_batches, read_table, written
 
 PER_CLASS = 10_000
 MAX_FEATURES = 100_000
@@ -235,7 +235,7 @@ def _scan(rows: DataFrame, shared, columns: list[str], schema: str, make) -> Dat
                 found = [segments(at[i:j] - w, s[i:j]) if j > i else [] for i, j, w in zip(cut[:-1], cut[1:], row[:-1], strict=True)]
                 yield make(model, b, c.lo, c.hi, found, np.diff(row))
 
-    return rows.select(*columns).mapInArrow(run, schema)
+    return modest_batches(rows).select(*columns).mapInArrow(run, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, key: str = "doc_id") -> Model:
