@@ -283,4 +283,13 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_embedding_dedup": op2_embedding_dedup}
-ORACLE_SQL: dict[str, str] = {}
+#: All pairs by a plain join: for small tables.
+ORACLE_SQL = {
+    "op2_embedding_dedup": f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+r(vec_id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, c = vec_id AS kept FROM (SELECT vec_id, min(c) AS c FROM r GROUP BY 1) LEFT JOIN n USING (vec_id)
+"""
+}
