@@ -39,7 +39,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytewise as B
@@ -246,18 +246,20 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _distinct_pairs(live: DataFrame, other: DataFrame, once: bool, percent: int) -> DataFrame:
-    """a < b of rows of one shingle (tok; d, n, pos, s0.., label and e, m, qos, t0.., other) that pass the length, positional and suffix filters, once each.
+def _distinct_pairs(live: DataFrame, other: DataFrame, last: bool, percent: int) -> DataFrame:
+    """a < b of rows of one shingle (tok; d, n, pos, label and e, m, qos, other) that pass the length and the positional filter, once each.
 
-    ``once``: both sides hold all rows, so each pair comes from its lesser end.
+    In the last round both sides hold all rows: each pair comes from its lesser
+    end, rows carry bits of their sets (s0.., t0..) for the suffix filter, and a
+    pair whose ends have the same shingle before this one (before, tefore) has
+    come at that one, where the positional filter passes if it passes here.
     """
     c = F.col
     least = F.ceil(F.lit(percent) * (c("n") + c("m")) / F.lit(100 + percent))
     ok = (c("label") != c("other")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (1 + F.least(c("n") - c("pos") - 1, c("m") - c("qos") - 1) >= least)
-    alone = lambda x, y: reduce(lambda p, q: p + q, [F.bit_count(c(f"{x}{i}").bitwiseAND(F.bitwise_not(c(f"{y}{i}")))) for i in range(LONGS)])
-    ok = ok & (c("n") - alone("s", "t") >= least) & (c("m") - alone("t", "s") >= least)
-    if once:
-        ok = ok & (c("d") < c("e"))
+    if last:
+        alone = lambda x, y: reduce(lambda p, q: p + q, [F.bit_count(c(f"{x}{i}").bitwiseAND(F.bitwise_not(c(f"{y}{i}")))) for i in range(LONGS)])
+        ok = (c("d") < c("e")) & ~F.coalesce(c("before") == c("tefore"), F.lit(False)) & ok & (c("n") - alone("s", "t") >= least) & (c("m") - alone("t", "s") >= least)
     joined = live.join(other, (live["tok"] == other["tok"]) & ok)
     return joined.select(F.least("d", "e").alias("a"), F.greatest("d", "e").alias("b")).distinct()
 
@@ -300,7 +302,7 @@ def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     nodes = written(shared.select("d").distinct().join(known, "d"), "nodes")
     sets = None
     labels = nodes.select("d", F.col("d").alias("label"))
-    links = tested = None
+    tested = None
     few = False
     for k in range(HUB_ROUNDS + 1):
         labelled = shared.join(labels, "d")
@@ -312,13 +314,14 @@ def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
         last = k == HUB_ROUNDS or left <= PAIRS_PER_ROW * n_rows or few
         # Labels only merge: a shingle whose nodes are of one component is done with.
         shared = written(shared.join(mixed.select("tok"), "tok", "left_semi"), "live")
-        live = shared.join(nodes.join(labels, "d").select("d", "label", *[F.coalesce(F.get("sig", F.lit(i)), F.lit(0)).alias(f"s{i}") for i in range(LONGS)]), "d")
-        theirs = [F.col("d").alias("e"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("label").alias("other"), *[F.col(f"s{i}").alias(f"t{i}") for i in range(LONGS)]]
+        theirs = [F.col("d").alias("e"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("label").alias("other")]
         if last:
-            other = live.select("tok", *theirs)
+            before = shared.withColumn("before", F.lag("tok").over(Window.partitionBy("d").orderBy("pos")))
+            live = before.join(nodes.join(labels, "d").select("d", "label", *[F.coalesce(F.get("sig", F.lit(i)), F.lit(0)).alias(f"s{i}") for i in range(LONGS)]), "d")
+            other = live.select("tok", F.col("before").alias("tefore"), *theirs, *[F.col(f"s{i}").alias(f"t{i}") for i in range(LONGS)])
         else:
-            hub = F.struct(F.xxhash64("d", F.lit(k)).alias("h"), *theirs)
-            other = live.groupBy("tok").agg(F.min(hub).alias("hub")).select("tok", "hub.*")
+            live = shared.join(labels, "d")
+            other = live.groupBy("tok").agg(F.min(F.struct(F.xxhash64("d", F.lit(k)).alias("h"), *theirs)).alias("hub")).select("tok", "hub.*")
         pairs = _distinct_pairs(live, other, last, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -332,23 +335,23 @@ def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
         sets = more if sets is None else sets.unionAll(more)
         with rows_per_batch(spark, 512):
             found = written(_linked(pairs, sets, percent), "links")
-        links = found if links is None else links.unionAll(found)
         release(spark)
+        labels = _merged(labels, found)
         if last:
             break
-        labels = _labels(nodes, links)
         few = found.count() < FEW_LINKS * nodes.count()
-    if links is not None:
-        labels = _labels(nodes, links)
     least = labels.join(nodes, "d").groupBy("label").agg(F.min("doc_id").alias("component"))
     of_node = firsts.join(labels, "d", "left").join(least, "label", "left").select("d", F.coalesce("component", "doc_id").alias("component"))
     out = rows.join(written(of_node, "classes"), "d", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "d", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component"))
 
 
-def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    c = components(links).select(F.col("node").alias("d"), F.col("component").alias("label"))
-    return written(nodes.select("d").join(c, "d", "left").select("d", F.coalesce("label", "d").alias("label")), "node-labels")
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """d, label with the components of new links among the labels joined; links of one pair of labels count once."""
+    one, two = labels.select(F.col("d").alias("a"), F.col("label").alias("la")), labels.select(F.col("d").alias("b"), F.col("label").alias("lb"))
+    between = links.join(one, "a").join(two, "b").where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+    c = components(between).select(F.col("node").alias("label"), "component")
+    return written(labels.join(c, "label", "left").select("d", F.coalesce("component", "label").alias("label")), "node-labels")
 
 
 def representatives(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
