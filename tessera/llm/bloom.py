@@ -1,6 +1,6 @@
 """Bloom filters over 64-bit keys: a bounded broadcast that spares rows without a partner a shuffle.
 
-A filter has ``2**BITS`` bits whatever the number of keys, 8 MB. It has no false
+A filter has ``2**BITS`` bits whatever the number of keys, 4 MB. It has no false
 negatives, so what it passes is joined exactly afterwards; where there are more
 keys than it can tell apart, it passes more rows and nothing else changes.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .shared import freeing
 
-BITS = 26
+BITS = 25
 _U = np.uint64
 _MULTIPLIERS = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9))
 

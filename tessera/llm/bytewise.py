@@ -1,7 +1,7 @@
 """Vectorised words, word hashes and n-gram hashes over Arrow string buffers.
 
 A column's texts are handled as one run of UTF-8 bytes with offsets, in chunks
-of about a megabyte, so the memory a task needs does not depend on how many
+of about half a megabyte, so the memory a task needs does not depend on how many
 rows an Arrow batch has. Hashes are polynomials modulo 2**64 over bytes (words)
 or over word hashes (n-grams), each passed through a bijective mixer.
 """
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 BLOCK_WORDS = 1 << 18
 #: White space of the word pattern ``[^\x20\x09-\x0D]+``.
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])

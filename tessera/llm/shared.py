@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -51,6 +52,7 @@ def freeing(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
         try:
             yield from task(batches)
         finally:
+            pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
             if trim:
                 trim(0)
