@@ -14,6 +14,9 @@ with its content marked, filled with invented words by a fixed rule.
 Defined results: a null or empty page, or one without content, gives the empty
 text; character references are decoded, white space inside a block (line breaks
 too) is one space, blocks are trimmed and joined in page order by a line feed.
+Never text are comments, raw-text elements (``RAW``; one without an end takes the
+rest of the page, as in a browser) and what a template that is closed holds. Controls and
+media without an end tag end at the next block, an svg too.
 Repeated rows each get their row; rows are independent, so there is no shuffle.
 """
 
@@ -33,11 +36,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .shared import freeing, modest_batches, read_table
 
 #: Element kinds of HTML.
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+MATH = "math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose mfenced msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd maction semantics annotation annotation-xml"
+INLINE = set(f"{MATH} a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "audio", "video", "select", "button")
+RAW = ("script", "style", "title", "textarea", "iframe")
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section table tbody td tfoot th thead tr ul".split())
-CLOSES_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "p": ("p",), "option": ("option",)}
+CLOSES_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "p": ("p",), "option": ("option",), "button": ("button",)}
 SCOPES = set("ul ol menu dl table body article section div main aside nav header footer form blockquote".split())
 #: Words in class, id and role that tell what an element is for.
 CUES = {
@@ -54,10 +58,15 @@ CUES = {
 }
 CUE = {w: k for k, ws in CUES.items() for w in ws.split()}
 
+_ATTRS = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?P<with>" + _ATTRS + r"(?=>)|[^>]*)>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>" + _ATTRS + r")>|<[!?/][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.IGNORECASE) for tag in RAW}
+#: Elements that pages leave open by mistake.
+_ENCLOSING = re.compile(r"<(/?)(template|object|canvas|audio|video|select|button)(?=[\s/>])[^>]*>", re.IGNORECASE)
+_UNQUOTED = re.compile(r"=\s*[^\s\"']+\Z")
 _CUE_ATTRS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _LABEL = re.compile(r"data-main=\"?([01])")
 _WORDS = re.compile(r"[a-z]+")
@@ -82,8 +91,26 @@ class Tree:
         return len(self.tag) - 1
 
 
+def _closed(html: str) -> dict[int, int]:
+    """Where each element of ``_ENCLOSING`` that has an end tag starts, and where it ends."""
+    out, open_at = {}, {}
+    for m in _ENCLOSING.finditer(html):
+        at = open_at.setdefault(m[2].lower(), [])
+        if not m[1]:
+            at.append(m.start())
+        elif at:
+            out[at.pop()] = m.end()
+    return out
+
+
+def _self_closed(attrs: str | None) -> bool:
+    """Whether a tag of foreign content ends with a slash that isn't part of an unquoted value."""
+    return bool(attrs) and attrs[-1] == "/" and not _UNQUOTED.search(attrs)
+
+
 def parse(html: str) -> Tree:
     t, stack, pieces, linked, in_link = Tree(), [0], [], 0, 0
+    closed, loose = _closed(html), set()
 
     def flush() -> None:
         nonlocal linked
@@ -102,14 +129,30 @@ def parse(html: str) -> Tree:
             if in_link:
                 linked += len(text)
 
+    def drawing() -> int:
+        """The depth of the svg that tags are now read in, 0 if none."""
+        for k in range(len(stack) - 1, 0, -1):
+            if t.tag[stack[k]] == "foreignobject":
+                break
+            if t.tag[stack[k]] == "svg":
+                return k
+        return 0
+
     at = 0
-    for m in _TOKEN.finditer(html):
+    while m := _TOKEN.search(html, at):
         put(html[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
-            if m["raw"] and m["raw"].lower() not in ("script", "style", "title", "noscript", "template"):
-                flush()
+            if m["raw"]:
+                raw = m["raw"].lower()
+                if not (_self_closed(m["with"]) and drawing()):
+                    at = _RAW_END[raw].search(html, at).end()
+                if raw in ("textarea", "iframe"):
+                    flush()
+            continue
+        if tag == "template" and m.start() in closed:
+            at = closed[m.start()]
             continue
         if tag in INLINE:
             if tag == "a":
@@ -129,6 +172,8 @@ def parse(html: str) -> Tree:
         flush()
         if tag in VOID:
             continue
+        if tag in CLOSES_P and (k := drawing() or next((k for k, node in enumerate(stack) if node in loose), 0)):
+            del stack[k:]  # one without an end goes as far as the next block
         if tag in CLOSES_P or tag in CLOSES_SAME:
             ends = CLOSES_SAME.get(tag, ()) + (("p",) if tag in CLOSES_P else ())
             for k in range(len(stack) - 1, 0, -1):
@@ -144,7 +189,11 @@ def parse(html: str) -> Tree:
             cues = tuple(sorted({CUE[w] for w in words if w in CUE}))
             if "data-main" in attrs:
                 label = int(_LABEL.search(attrs)[1])
-        stack.append(t.add(tag, stack[-1], cues, label=label))
+        node = t.add(tag, stack[-1], cues, label=label)
+        if not (_self_closed(attrs) and (tag == "svg" or drawing())):
+            stack.append(node)
+            if m.start() not in closed and _ENCLOSING.match(m[0]):
+                loose.add(node)
     put(html[at:])
     flush()
     return t
@@ -329,6 +378,21 @@ def labelled_pages(n: int = 600, seed: int = 20) -> list[str]:
         ]
         return [f() for f in r.sample(every, r.randint(1, 4))]
 
+    def embedded() -> str:
+        """Controls, drawings and what stands in for media aren't content; noscript and object are what they are in."""
+        k = r.random()
+        if k < 0.3:
+            return f'<button data-main="0">{phrase(1, 4)}</button>'
+        if k < 0.45:
+            return '<select data-main="0">' + "".join(f"<option>{phrase(1, 3)}" + "</option>" * (r.random() < 0.7) for _ in range(r.randint(2, 6))) + "</select>"
+        if k < 0.6:
+            tag = r.choice(("video", "audio", "canvas"))
+            return f'<{tag} data-main="0">{r.choice((sentences(1, 1), f"<p>{sentences(1, 1)}</p>"))}</{tag}>'
+        if k < 0.7:
+            return f'<svg data-main="0"><path d="M0 0"/><text>{phrase(1, 3)}</text></svg>'
+        tag = r.choice(("noscript", "object"))
+        return f"<{tag}>{r.choice((sentences(1, 4), f'<p>{sentences(1, 4)}</p>'))}</{tag}>"
+
     def comments() -> str:
         one = lambda: f'<{(t := r.choice(("li", "div", "article")))} class="comment"><p>{phrase(1, 2)}</p><p>{sentences(1, 3)}</p></{t}>'
         return named("comment", (), f"<h3>{phrase(1, 2)}</h3>" + "".join(one() for _ in range(r.randint(1, 4))))
@@ -341,6 +405,8 @@ def labelled_pages(n: int = 600, seed: int = 20) -> list[str]:
         inside = "".join(r.sample([*extras(), ""], 1)) if r.random() < 0.35 else ""
         if inside:
             body += inside + prose(1, 3) * (r.random() < 0.6)
+        if r.random() < 0.3:
+            body += embedded() + prose(1, 3) * (r.random() < 0.8)
         k = r.random()
         if k < 0.45:
             main = f'<article data-main="1">{body}</article>'

@@ -89,6 +89,19 @@ def test_page_text(page_model):
     assert H.blocks(html, page_model) == ["A & B", "First line of bold text, and some more of it.", "Second é paragraph, which is not closed. It goes on.", "One thing to keep in mind, always."]
 
 
+@pytest.mark.parametrize("odd", ['<svg class="i"/>', "<svg class=i/>", '<svg><title/><path d="x"/>', "<svg-icon></svg-icon>", "<video-js></video-js>", "<button-group></button-group>", "<button>", "<object data=a>", "<select>", "<canvas>", "<video src=a>", "<template>", "<template><p>Not a text of the page, as it is.</p></template>", "<button>Share</button>"])
+def test_page_goes_on_after_odd_elements(page_model, odd):
+    one, two = "First text of the page, that is long enough.", "Second text of the page, also long enough."
+    assert H.blocks(f"<body>{odd}<article><h1>A title</h1><p>{one}</p><p>{two}</p></article>", page_model) == ["A title", one, two]
+    assert H.blocks(f"<body><article><h1>A title</h1><p>{one}</p>{odd}<p>{two}</p></article>", page_model) == ["A title", one, two]
+
+
+def test_page_text_of_math_object_and_noscript(page_model):
+    one, two = "First text of the page, that is long enough.", "Second text of the page, also long enough."
+    html = f"<body><article><h1>A title</h1><p>{one}</p><noscript><p>{two}</p></noscript><object data=a><p>{two}</p></object><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold for all of it.</p></article>"
+    assert H.blocks(html, page_model) == ["A title", one, two, two, "Let x=2 hold for all of it."]
+
+
 def test_page_edges(spark, page_model):
     pages = spark.createDataFrame([(1, "u", None, "t"), (2, "u", "", "t"), (2, "u", "", "t"), (3, None, "<<<p <b", "t"), (4, "u", "<p>" * 3000, "t")], "page_id long, url string, html string, text string")
     rows = H.extracted(pages, page_model).collect()
