@@ -43,7 +43,6 @@ MIN_COUNT = 4
 MIN_LOG_ODDS = 2.0
 MIN_Z = 4.0
 DRIFT = 0.08
-MAX_SEGMENTS = 8
 CAP = 60.0
 
 _DROP = 1
@@ -87,8 +86,8 @@ class Model:
         self.maybe = np.zeros(1 << self.BITS, dtype=bool)
         self.maybe[self.hashes >> np.uint64(64 - self.BITS)] = True
 
-    def token_scores(self, levels: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places of tokens with a log-odds other than 0, those log-odds); a text uses a feature once, where it first has it."""
+    def token_scores(self, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of tokens with a log-odds other than 0, those log-odds); every use counts."""
         if not len(self.hashes) or not levels.shape[1]:
             return np.zeros(0, np.int64), np.zeros(0)
         if not hasattr(self, "maybe"):
@@ -100,9 +99,6 @@ class Model:
             hit = self.hashes[j] == level[i]
             feature[i[hit]] = j[hit]
         at = np.flatnonzero(feature >= 0)
-        of = np.searchsorted(row, at, side="right") - 1
-        _, first = np.unique(of * len(self.hashes) + feature[at], return_index=True)
-        at = at[np.sort(first)]
         return at, self.log_odds[feature[at]]
 
     def score(self, significance: np.ndarray) -> np.ndarray:
@@ -141,7 +137,7 @@ def significance(found: list[tuple[int, int, float]], n_words: int, lam: float,
     if not found:
         return 0.0
     base, best, total, log_fact = math.log(max(k * max(n_words, 1), 1e-9)), 0.0, 0.0, 0.0
-    for r, s in enumerate(sorted((x[2] for x in found), reverse=True)[:MAX_SEGMENTS], 1):
+    for r, s in enumerate(sorted((x[2] for x in found), reverse=True), 1):
         total += lam * s - base
         log_fact += math.log(r) + (math.log(r - 1) if r > 1 else 0.0)
         t = max(total, 1e-9)
@@ -150,7 +146,7 @@ def significance(found: list[tuple[int, int, float]], n_words: int, lam: float,
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """hash, parent, toxic, clean: uses of each feature in sampled documents; each document counts a feature once."""
+    """hash, parent, toxic, clean: sampled documents of each class that have a feature; uses: how often clean ones have it."""
 
     @freeing
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,6 +163,7 @@ def _counted(rows: DataFrame) -> DataFrame:
                 h, p, d = h[some], p[some], d[some]
                 order = np.lexsort((d, h))
                 h, p, d = h[order], p[order], d[order]
+                every, begin = 1 - toxic[d], np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else []
                 first = np.ones(len(h), bool)
                 first[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
                 h, p, y = h[first], p[first], toxic[d[first]]
@@ -175,10 +172,10 @@ def _counted(rows: DataFrame) -> DataFrame:
                 start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
                 t = np.add.reduceat(y, start)
                 n = np.diff(np.append(start, len(h)))
-                yield pa.RecordBatch.from_arrays([pa.array(B.signed(h[start])), pa.array(B.signed(p[start])), pa.array(t), pa.array(n - t)], ["hash", "parent", "toxic", "clean"])
+                yield pa.RecordBatch.from_arrays([pa.array(B.signed(h[start])), pa.array(B.signed(p[start])), pa.array(t), pa.array(n - t), pa.array(np.add.reduceat(every, begin))], ["hash", "parent", "toxic", "clean", "uses"])
 
-    out = rows.select("text", F.col("toxic").cast("long")).mapInArrow(count, "hash long, parent long, toxic long, clean long")
-    return out.groupBy("hash").agg(F.max("parent").alias("parent"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    out = rows.select("text", F.col("toxic").cast("long")).mapInArrow(count, "hash long, parent long, toxic long, clean long, uses long")
+    return out.groupBy("hash").agg(F.max("parent").alias("parent"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.sum("uses").alias("uses"))
 
 
 def _log_odds(hashes: np.ndarray, parent: np.ndarray, toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
@@ -230,7 +227,7 @@ def _scan(rows: DataFrame, shared, columns: list[str], schema: str, make) -> Dat
         for b in batches:
             for c in B.chunks(b.column(0)):
                 levels, row = features(c)
-                at, s = model.token_scores(levels, row)
+                at, s = model.token_scores(levels)
                 cut = np.searchsorted(at, row)
                 found = [segments(at[i:j] - w, s[i:j]) if j > i else [] for i, j, w in zip(cut[:-1], cut[1:], row[:-1], strict=True)]
                 yield make(model, b, c.lo, c.hi, found, np.diff(row))
@@ -259,10 +256,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, key: str
     h = top["hash"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(h)
     h, top = h[order], top.iloc[order]
-    clean = top["clean"].to_numpy(float)
+    clean, uses = top["clean"].to_numpy(float), top["uses"].to_numpy(float)
     odds = _log_odds(h, top["parent"].to_numpy().astype(np.int64).view(np.uint64), top["toxic"].to_numpy(float), clean, n_toxic, n_clean)
     use = np.abs(odds) >= MIN_LOG_ODDS
-    h, odds, clean = h[use], odds[use], clean[use]
+    h, odds, uses = h[use], odds[use], uses[use]
     positive = odds > DRIFT
     model = Model(h, odds, 1.0, 1.0, 1.0, 0.0)
     spark = docs.sparkSession
@@ -278,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, key: str
     if not len(y) or quiet.all() or not quiet.any():
         return model
     tokens = max(n[quiet].sum() * n_clean / max(quiet.sum(), 1), 1.0)
-    model.lam = min(_lambda(odds[positive], clean[positive], tokens, DRIFT), 2.0) if positive.any() else 1.0
+    model.lam = min(_lambda(odds[positive], uses[positive], tokens, DRIFT), 2.0) if positive.any() else 1.0
     level = float(np.median(odds[positive])) if positive.any() else 1.0
     model.k = max(float((best[quiet] >= level).sum()) * math.exp(model.lam * level) / max(n[quiet].sum(), 1.0), 1e-6)
     x = np.array([significance([(0, 0, s) for s in f], int(m), model.lam, model.k) for f, m in zip(calibration["found"], n, strict=True)])

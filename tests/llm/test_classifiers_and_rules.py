@@ -36,6 +36,25 @@ def test_toxicity_segments():
     assert max(x[2] for x in found) == pytest.approx(best)
 
 
+def test_toxicity_every_use_counts(spark):
+    """Toxic words used singly, then a dense passage of them, twice; and more segments than a few."""
+    import numpy as np
+    import pyarrow as pa
+    from tessera.llm import bytewise as B
+
+    words = "vexo karn dulm".split()
+    one = next(iter(B.chunks(pa.array([" ".join(words)]))))
+    hashes = T.features(one)[0][-1]
+    m = T.Model(np.sort(hashes), np.full(3, 4.0), 1.0, 1e-3, 1.0, -5.0)
+    quiet = ["plain"] * 200
+    text = [w for x in words for w in [*quiet, x]] + (quiet * 5 + words * 4) * 2
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(quiet))], "doc_id long, text string")
+    got = {r.doc_id: [(p.first, p.last) for p in r.passages] for r in T.scored(docs, m).collect()}
+    assert got[1][-2:] == [(1603, 1614), (2615, 2626)] and got[2] == []
+    few, many = ([(i, i, 9.0) for i in range(n)] for n in (8, 20))
+    assert T.significance(few, 1_800_000, 1.0, 1e-3) < T.significance(many, 1_800_000, 1.0, 1e-3) < T.CAP
+
+
 def test_toxicity_edges(spark):
     none = spark.createDataFrame([], "doc_id long, text string, score string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
