@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.position import with_position
+from ..functions.scratch import kept
 from ..sources.graphs import TemporalGraph
 from .supra import active, both_ways
 from .temporal import with_snap
@@ -87,18 +88,40 @@ def cheap_stats(g: TemporalGraph, snaps: int) -> DataFrame:
     return out
 
 
-def window_stats(g: TemporalGraph, windows: int, bins: int = 64) -> DataFrame:
-    """Per count window: avg_degree 2E/active, max_snapshot_nodes, persistence mean(k)/S over equal-width bins."""
+def clustering(edges: DataFrame, by: str) -> DataFrame:
+    """``by``, clusterability: mean over vertices with k >= 2 neighbours (edges count singly, loops twice) of links / (k (k - 1)).
+
+    links: for each neighbour, how many distinct vertices are neighbours of both. Triangles
+    are found once each, along edges from the lower to the higher degree.
+    """
+    pair = kept(both_ways(edges, by).groupBy(by, "a", "b").agg(F.count("*").alias("m")), "pairs")
+    v = pair.groupBy(by, "a").agg(F.sum("m").alias("k"), F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("m"))), F.lit(0)).alias("loops"))
+    end = v.select(by, F.col("a").alias("b"), F.col("n").alias("nb"), (F.col("loops") > 0).cast("long").alias("lb"))
+    ranked = kept(pair.join(v, [by, "a"]).join(end, [by, "b"]), "ranked")
+    up = kept(ranked.where("a <> b").where(F.struct("n", "a") < F.struct(F.col("nb").alias("n"), F.col("b").alias("a"))).select(by, "a", "b"), "up")
+    wedge = up.select(by, F.col("a").alias("x"), F.col("b").alias("y")).join(up.select(by, F.col("a").alias("y"), F.col("b").alias("z")), [by, "y"])
+    tri = wedge.join(up.select(by, F.col("a").alias("x"), F.col("b").alias("z")), [by, "x", "z"])
+    sides = F.array(*[F.struct(F.col(p).alias("a"), F.col(q).alias("b")) for p, q in ("xy", "yx", "xz", "zx", "yz", "zy")])
+    shared = tri.select(by, F.explode(sides).alias("s")).select(by, "s.a", "s.b").groupBy(by, "a", "b").agg(F.count("*").alias("tri"))
+    both = F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(F.coalesce("tri", F.lit(0)) + (F.col("loops") > 0).cast("long") + F.col("lb"))
+    links = ranked.join(shared, [by, "a", "b"], "left").groupBy(by, "a").agg(F.max("k").alias("k"), F.sum(F.col("m") * both).alias("links"))
+    mean = F.avg(F.when(F.col("k") >= 2, F.col("links") / (F.col("k") * (F.col("k") - 1))))
+    return links.groupBy(by).agg(F.round(F.coalesce(mean, F.lit(0.0)), DIGITS).alias("clusterability"))
+
+
+def window_stats(g: TemporalGraph, windows: int, bins: int = 64, clustered: bool = False) -> DataFrame:
+    """Per count window: avg_degree 2E/active, max_snapshot_nodes, persistence mean(k)/S over equal-width bins; where asked for, clusterability."""
     e = g.edges.withColumn("win", F.expr(f"least(pos * {windows} div {max(1, g.num_edges)}, {windows - 1})"))
     s = e.groupBy("win").agg(F.min("t").alias("a"), (F.max("t") - F.min("t") + 1).alias("span"), F.least(F.lit(bins), F.count_distinct("t")).alias("s"), F.count("*").alias("e"))
     b = e.join(F.broadcast(s), "win").withColumn("bin", F.expr("least((t - a) * s div span, s - 1)"))
     cell = both_ways(b, "win", "bin", "s").select("win", "bin", "s", F.col("a").alias("v")).distinct()
     per_bin = cell.groupBy("win", "bin").agg(F.count("*").alias("c")).groupBy("win").agg(F.max("c").alias("max_snapshot_nodes"))
     per_v = cell.groupBy("win").agg(F.count_distinct("v").alias("active"), F.count("*").alias("cells"))
-    return s.join(per_bin, "win").join(per_v, "win").select(
+    out = s.join(per_bin, "win").join(per_v, "win").select(
         "win", F.round(2 * F.col("e") / F.col("active"), DIGITS).alias("avg_degree"), "max_snapshot_nodes",
         F.round(F.col("cells") / F.col("active") / F.col("s"), DIGITS).alias("persistence"),
     )
+    return out.join(clustering(e, "win"), "win") if clustered else out
 
 
 def drift(stats: DataFrame, order: str = "win") -> DataFrame:

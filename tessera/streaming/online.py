@@ -20,7 +20,7 @@ TRACE = "step long, reason string, drift double, moved long, added long, edges l
 
 
 def window_row(g: TemporalGraph) -> dict:
-    return S.window_stats(g, 1).first().asDict()
+    return S.window_stats(g, 1, clustered=True).first().asDict()
 
 
 def shift(before: dict | None, now: dict) -> float:
@@ -28,7 +28,7 @@ def shift(before: dict | None, now: dict) -> float:
     if before is None:
         return 1.0
     out = 0.0
-    for name, weight in (("persistence", 0.30), ("avg_degree", 0.20), ("max_snapshot_nodes", 0.15)):
+    for name, weight in (("clusterability", 0.35), ("persistence", 0.30), ("avg_degree", 0.20), ("max_snapshot_nodes", 0.15)):
         a, b = float(before[name]), float(now[name])
         out += weight * min(1.0, abs(b - a) / max(abs(a), abs(b), 1e-9))
     return round(min(1.0, out), 6)
@@ -89,12 +89,12 @@ def stream_files(spark: SparkSession, source: str, out: str, num_nodes: int, par
         state = None
         if before is not None:
             r = before.first().asDict()
-            state = {"stats": {n: r[n] for n in ("persistence", "avg_degree", "max_snapshot_nodes")}, "stale": r["stale"], "place": spark.read.parquet(f"{out}/place/batch={k - 1}")}
+            state = {"stats": {n: r[n] for n in ("persistence", "avg_degree", "max_snapshot_nodes", "clusterability")}, "stale": r["stale"], "place": spark.read.parquet(f"{out}/place/batch={k - 1}")}
         new = step(g, g.num_edges - df.count(), parts, state, **options)
         new["place"].write.mode("overwrite").parquet(f"{out}/place/batch={k}")
         stats = new["stats"]
-        row = [(float(stats["persistence"]), float(stats["avg_degree"]), int(stats["max_snapshot_nodes"]), new["stale"], new["reason"], new["drift"], new["moved"], new["added"])]
-        spark.createDataFrame(row, "persistence double, avg_degree double, max_snapshot_nodes long, stale long, reason string, drift double, moved long, added long").write.mode("overwrite").parquet(f"{out}/state/batch={k}")
+        row = [(float(stats["persistence"]), float(stats["avg_degree"]), int(stats["max_snapshot_nodes"]), float(stats["clusterability"]), new["stale"], new["reason"], new["drift"], new["moved"], new["added"])]
+        spark.createDataFrame(row, "persistence double, avg_degree double, max_snapshot_nodes long, clusterability double, stale long, reason string, drift double, moved long, added long").write.mode("overwrite").parquet(f"{out}/state/batch={k}")
 
     q = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()

@@ -191,3 +191,16 @@ def test_stream_replays_to_one_trace(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "out" / "state")).orderBy("batch").collect()
     assert [r.batch for r in rows] == [0, 1, 2] and rows[0].reason == "cold"
     assert spark.read.parquet(str(tmp_path / "out" / "place" / "batch=2")).count() == 20
+
+
+def test_clustering_is_part_of_drift(spark):
+    from tessera.streaming import online as O
+
+    edges = [(0, 1), (1, 2), (2, 0), (2, 0), (2, 3), (3, 3), (3, 4), (4, 2), (5, 6), (7, 7)]
+    near = {v: [b for x, y in edges for a, b in ((x, y), (y, x)) if a == v] for v in range(8)}
+    each = [sum(len(set(nb) & set(near[u])) for u in nb) / (len(nb) * (len(nb) - 1)) for nb in near.values() if len(nb) > 1]
+    g = make(spark, [(a, b, i) for i, (a, b) in enumerate(edges)], 8)
+    assert S.window_stats(g, 1, clustered=True).first()["clusterability"] == pytest.approx(sum(each) / len(each), abs=1e-8)
+    # Two triangles against a ring of six: the same degrees, persistence and vertices.
+    rows = [O.window_row(make(spark, [(a, b, 5) for a, b in e], 6)) for e in ([(0, 1), (1, 2), (2, 0), (3, 4), (4, 5), (5, 3)], [(i, (i + 1) % 6) for i in range(6)])]
+    assert O.shift(*rows) == 0.35
