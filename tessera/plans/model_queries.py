@@ -154,7 +154,7 @@ query("changed_cone", "O", "SELECT DISTINCT unnest([src, dst]) AS v FROM edges W
 query("breadth_first", "O", ", ssym AS (SELECT DISTINCT a, b FROM sym WHERE a <> b) SELECT 1")(lambda g, s: I.breadth_first(g).groupBy("level").agg(F.count("*").alias("vertices")))
 ORACLE_SQL["breadth_first"] = graphs.sql_prefix("O", 16).replace("WITH n AS", "WITH RECURSIVE n AS", 1) + """, ssym AS (SELECT DISTINCT a, b FROM sym WHERE a <> b), root AS (SELECT a FROM ssym GROUP BY a ORDER BY count(*) DESC, a LIMIT 1),
 bf(v, level) AS (SELECT a, 0::BIGINT FROM root UNION SELECT b, level + 1 FROM bf JOIN ssym ON a = v WHERE level < 8) SELECT level, count(*)::BIGINT AS vertices FROM (SELECT v, min(level) AS level FROM bf GROUP BY v) GROUP BY 1"""
-query("spectral_gap", "F")(lambda g, s: I.spectral_gap(g, 12))
+query("spectral_gap", "F")(lambda g, s: I.spectral_gap(g))
 
 # Aggregation.
 _FEAT = ", x0 AS (SELECT v, c, ((v * 7 + c * 13) % 11)::BIGINT AS x FROM verts, (SELECT unnest(range(0, 8)) AS c))"

@@ -204,3 +204,19 @@ def test_clustering_is_part_of_drift(spark):
     # Two triangles against a ring of six: the same degrees, persistence and vertices.
     rows = [O.window_row(make(spark, [(a, b, 5) for a, b in e], 6)) for e in ([(0, 1), (1, 2), (2, 0), (3, 4), (4, 5), (5, 3)], [(i, (i + 1) % 6) for i in range(6)])]
     assert O.shift(*rows) == 0.35
+
+
+def test_spectral_gap_of_clusters(spark):
+    import numpy as np
+
+    edges = [(c * 6 + i, c * 6 + j) for c in range(3) for i in range(6) for j in range(i)] + [(0, 6), (7, 12), (7, 12)]
+    a = np.zeros((18, 18))
+    for x, y in edges:
+        a[x, y] += 1
+        a[y, x] += 1
+    d = a.sum(1)
+    want = np.linalg.eigvalsh(np.eye(18) - a / np.sqrt(np.outer(d, d)))[1]
+    g = make(spark, [(x, y, i) for i, (x, y) in enumerate(edges)], 18)
+    assert I.spectral_gap(g).first()["lambda2"] == round(want, 3)
+    with pytest.raises(RuntimeError):
+        I.spectral_gap(g, 1)
