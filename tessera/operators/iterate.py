@@ -88,20 +88,41 @@ def changed_cone(edges: DataFrame, since: int) -> DataFrame:
     return edges.where(F.col("pos") >= since).select(F.explode(F.array("src", "dst")).alias("v")).distinct()
 
 
-def breadth_first(g: TemporalGraph, root: int | None = None, max_levels: int = 100) -> DataFrame:
-    """v, level from the vertex of highest degree (or ``root``); vertices out of reach are left out."""
+def breadth_first(g: TemporalGraph, root: int | None = None, restart: bool = False) -> DataFrame:
+    """v, level from the vertex of highest degree (or ``root``), to the last level; vertices out of reach are left out.
+
+    With ``restart`` every other component has its levels too, from its first vertex in the
+    cyclic order of ids after the root, and a column root tells the components apart.
+    """
     sym = kept(both_ways(g.edges).where("a <> b").distinct(), "simple")
     if root is None:
-        root = sym.groupBy("a").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "a").first()["a"]
-    seen = g.spark.createDataFrame([(root, 0)], "v long, level long")
-    for k in range(1, max_levels):
-        front = seen.where(F.col("level") == k - 1)
-        new = sym.join(front.withColumnRenamed("v", "a"), "a").select(F.col("b").alias("v")).distinct().join(seen, "v", "left_anti").withColumn("level", F.lit(k).cast("long"))
-        new = kept(new, "front")
-        if new.limit(1).count() == 0:
+        top = sym.groupBy("a").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "a").first()
+        root = top["a"] if top else 0
+    if restart:
+        n = max(1, g.num_nodes)
+        turn = kept(g.vertices().select("v", F.expr(f"(v - {root} + {n}) % {n}").alias("turn")), "turn")
+        while True:
+            near = sym.join(turn.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("turn").alias("near"))
+            step = kept(turn.join(near, "v", "left").select("v", F.least("turn", "near").alias("turn"), (F.col("near") < F.col("turn")).alias("less")), "turn")
+            turn = step.select("v", "turn")
+            if step.where("less").limit(1).count() == 0:
+                break
+        front = kept(turn.where(F.col("turn") == F.expr(f"(v - {root} + {n}) % {n}")).select("v", F.lit(0).cast("long").alias("level"), F.col("v").alias("root")), "front")
+    else:
+        front = g.spark.createDataFrame([(root, 0, root)], "v long, level long, root long")
+    seen, before, k = front, front.limit(0), 0
+    while True:
+        k += 1
+        # Neighbours of a level are in it, the one before or the next.
+        new = sym.join(front.withColumnRenamed("v", "a"), "a").select(F.col("b").alias("v"), "root").distinct()
+        new = new.join(front.select("v").unionAll(before.select("v")), "v", "left_anti").select("v", F.lit(k).cast("long").alias("level"), "root")
+        before, front = front, kept(new, "front")
+        if front.limit(1).count() == 0:
             break
-        seen = seen.unionAll(new)
-    return seen
+        seen = seen.unionAll(front)
+        if k % 16 == 0:
+            seen = kept(seen, "seen")
+    return seen if restart else seen.drop("root")
 
 
 def spectral_gap(g: TemporalGraph, rounds: int = 200) -> DataFrame:

@@ -220,3 +220,12 @@ def test_spectral_gap_of_clusters(spark):
     assert I.spectral_gap(g).first()["lambda2"] == round(want, 3)
     with pytest.raises(RuntimeError):
         I.spectral_gap(g, 1)
+
+
+def test_breadth_first_restarts_and_has_no_last_level(spark):
+    chain = [(i, i + 1) for i in range(104)]
+    g = make(spark, [(a, b, i) for i, (a, b) in enumerate(chain)], 105)
+    assert col(I.breadth_first(g, 0), "v", "level") == {i: i for i in range(105)}
+    g = make(spark, [(a, b, i) for i, (a, b) in enumerate([(3, 4), (4, 5), (0, 1), (7, 7)])], 8)
+    got = {r.v: (r.root, r.level) for r in I.breadth_first(g, restart=True).collect()}
+    assert got == {4: (4, 0), 3: (4, 1), 5: (4, 1), 6: (6, 0), 7: (7, 0), 0: (0, 0), 1: (0, 1), 2: (2, 0)}
