@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from .license_texts import SPELLINGS, TEXTS
 from .shared import read_table
 
-NOTICE_LINE = r"(?m)^[^\p{L}\p{N}\n(©]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: Copyright with (c), a placeholder or a year, (c) with either, the sign, or rights reserved alone: not licence text that is wrapped before such a word.
+NOTICE_LINE = r"(?m)^[^\p{L}\p{N}\n(©]*(?:copyright\b(?:[^\p{L}\p{N}\n]*(?:\(c\)|©|[<\[{])|[^\n]*\b(?:19|20)\d\d\b)[^\n]*|\(c\)[ \t]*(?:copyright\b|(?:19|20)\d\d|[<\[{])[^\n]*|©[^\n]*|all rights reserved[^\p{L}\p{N}\n]*)$"
+SQL_NOTICE_LINE = r"(?m)^[^\p{L}\p{N}\n(©]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -54,7 +56,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     def canon(x: str) -> str:
-        c = f"regexp_replace(lower(coalesce({x}, '')), '{NOTICE_LINE}', '', 'g')"
+        c = f"regexp_replace(lower(coalesce({x}, '')), '{SQL_NOTICE_LINE}', '', 'g')"
         c = f"' ' || regexp_replace({c}, '{NOT_WORD}', '  ', 'g') || ' '"
         for a, b in SPELLINGS.items():
             c = f"replace({c}, ' {a.replace(' ', '  ')} ', ' {b.replace(' ', '  ')} ')"

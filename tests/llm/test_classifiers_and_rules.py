@@ -153,6 +153,19 @@ def test_licences(spark):
     assert Z.scan(docs.limit(0)).collect() == [] and len(Z.scan(docs).collect()) == len(rows)
 
 
+def test_licences_wrapped(spark):
+    """Wrapped anew at any width, so that lines begin with any word of the text."""
+    import re
+    import textwrap
+
+    def wrapped(text, width):
+        return "\n\n".join(textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) if not re.match("copyright", p, re.I) else p for p in text.split("\n") if p.strip())
+
+    rows = [(k, wrapped(t, w)) for k, t in TEXTS.items() for w in range(20, 90, 3)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert [r.doc_id for r in Z.scan(docs).collect() if r.license_id != r.doc_id] == []
+
+
 def test_quality_measures(spark):
     rows = [(1, None), (2, ""), (3, "a b c a b c"), (4, "x\nx\ny\n\n"), (5, "é# $% " * 30), (6, "one two three four " * 20), (6, "w")]
     docs = spark.createDataFrame([(i, t, 9) for i, t in rows], "doc_id long, text string, n_words int")
