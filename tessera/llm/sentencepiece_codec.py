@@ -3,7 +3,9 @@
 The model protobuf is parsed here and its parts rebuilt: normaliser (compiled
 character map, extra white space, dummy prefix), the metaspace marker, unigram
 scores or, for BPE models, merges ranked by the score of the piece they make,
-and byte fallback. Batches are encoded by the library's threads. Encodings can
+and byte fallback. Where the model cuts at the marker, texts are
+split at single spaces, new words go through the library one by one on one thread
+and a cache keeps their ids; other texts go to the library's threads in batches. Encodings can
 be held against the ``sentencepiece`` library's own, text by text.
 
 Defined results: null and empty texts have no ids and decode to the empty text;
