@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -58,20 +59,27 @@ CUES = {
 }
 CUE = {w: k for k, ws in CUES.items() for w in ws.split()}
 
-_ATTRS = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+#: Attributes whose quotes close, before white space or the tag's end if there is a tag between; where one doesn't, the tag ends at the next ``>``.
+_ATTRS = r"(?:[^>\"']|\"(?:[^\"<]*\"|[^\"]*\"(?=[\s/>]))|'(?:[^'<]*'|[^']*'(?=[\s/>])))*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?P<with>" + _ATTRS + r"(?=>)|[^>]*)>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>" + _ATTRS + r")>|<[!?/][^>]*>",
+    r"<!--(?:-?>|.*?(?:-->|\Z))|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?P<with>" + _ATTRS + r"(?=>)|[^>]*)>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>" + _ATTRS + r"(?=>)|(?=[\s/>\"'])[^>]*)>|<[!?/][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.IGNORECASE) for tag in RAW}
 #: Elements that pages leave open by mistake.
 _ENCLOSING = re.compile(r"<(/?)(template|object|canvas|audio|video|select|button)(?=[\s/>])[^>]*>", re.IGNORECASE)
+#: A tag or comment that the page ends in.
+_UNENDED = re.compile(r"<[a-zA-Z/!?]")
 _UNQUOTED = re.compile(r"=\s*[^\s\"']+\Z")
 _CUE_ATTRS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-_LABEL = re.compile(r"data-main=\"?([01])")
+_LABEL = re.compile(r"\bdata-main=\"([01])\"")
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 LEAF = "#text"
+#: Share of the labelled pages whose elements have no telling tags or names.
+NAMELESS = 0.25
+#: Elements whose name tells what they are for.
+TELLING = set("article aside dialog footer form header main menu nav search".split())
 
 
 @dataclass
@@ -108,9 +116,17 @@ def _self_closed(attrs: str | None) -> bool:
     return bool(attrs) and attrs[-1] == "/" and not _UNQUOTED.search(attrs)
 
 
-def parse(html: str) -> Tree:
+def parse(html: str, marked: bool = False) -> Tree:
+    """The tree of a page; ``marked``: of a training page, whose elements may say ``data-main``.
+
+    Linear in the page: open elements are counted by name, so the stack is only
+    searched for what is on it, and what is found leaves it.
+    """
     t, stack, pieces, linked, in_link = Tree(), [0], [], 0, 0
-    closed, loose = _closed(html), set()
+    stop = html.rfind(">") + 1  # no tag ends after it
+    closed, loose = _closed(html[:stop]), set()
+    opened: Counter[str] = Counter()
+    foreign: list[int] = []  # depths of the open svg and foreignobject elements
 
     def flush() -> None:
         nonlocal linked
@@ -129,17 +145,21 @@ def parse(html: str) -> Tree:
             if in_link:
                 linked += len(text)
 
+    def close(k: int) -> None:
+        """The element at depth ``k`` and all in it end."""
+        for node in stack[k:]:
+            opened[t.tag[node]] -= 1
+            loose.discard(node)
+        del stack[k:]
+        while foreign and foreign[-1] >= k:
+            foreign.pop()
+
     def drawing() -> int:
         """The depth of the svg that tags are now read in, 0 if none."""
-        for k in range(len(stack) - 1, 0, -1):
-            if t.tag[stack[k]] == "foreignobject":
-                break
-            if t.tag[stack[k]] == "svg":
-                return k
-        return 0
+        return foreign[-1] if foreign and t.tag[stack[foreign[-1]]] == "svg" else 0
 
     at = 0
-    while m := _TOKEN.search(html, at):
+    while m := _TOKEN.search(html, at, stop):
         put(html[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
@@ -147,9 +167,11 @@ def parse(html: str) -> Tree:
             if m["raw"]:
                 raw = m["raw"].lower()
                 if not (_self_closed(m["with"]) and drawing()):
-                    at = _RAW_END[raw].search(html, at).end()
+                    at = _RAW_END[raw].search(html, at).end() if at < stop else len(html)
                 if raw in ("textarea", "iframe"):
                     flush()
+            elif m[0].startswith("<!--") and not m[0].endswith("-->"):
+                at = len(html)
             continue
         if tag == "template" and m.start() in closed:
             at = closed[m.start()]
@@ -163,23 +185,21 @@ def parse(html: str) -> Tree:
             continue
         if m["end"]:
             flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if t.tag[stack[k]] == tag:
-                    del stack[k:]
-                    in_link = 0
-                    break
+            if opened[tag]:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if t.tag[stack[k]] == tag))
+                in_link = 0
             continue
         flush()
         if tag in VOID:
             continue
-        if tag in CLOSES_P and (k := drawing() or next((k for k, node in enumerate(stack) if node in loose), 0)):
-            del stack[k:]  # one without an end goes as far as the next block
+        if tag in CLOSES_P and (k := drawing() or (loose and next((k for k, node in enumerate(stack) if node in loose), 0))):
+            close(k)  # one without an end goes as far as the next block
         if tag in CLOSES_P or tag in CLOSES_SAME:
             ends = CLOSES_SAME.get(tag, ()) + (("p",) if tag in CLOSES_P else ())
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(opened[x] for x in ends) else ():
                 open_tag = t.tag[stack[k]]
                 if open_tag in ends:
-                    del stack[k:]
+                    close(k)
                     break
                 if open_tag in SCOPES:
                     break
@@ -187,14 +207,17 @@ def parse(html: str) -> Tree:
         if attrs:
             words = [w for g in _CUE_ATTRS.findall(attrs) for x in g if x for w in _WORDS.findall(_CAMEL.sub(" ", x).lower())]
             cues = tuple(sorted({CUE[w] for w in words if w in CUE}))
-            if "data-main" in attrs:
-                label = int(_LABEL.search(attrs)[1])
+            if marked and (mark := _LABEL.search(attrs)):
+                label = int(mark[1])
         node = t.add(tag, stack[-1], cues, label=label)
         if not (_self_closed(attrs) and (tag == "svg" or drawing())):
             stack.append(node)
+            opened[tag] += 1
+            if tag in ("svg", "foreignobject"):
+                foreign.append(len(stack) - 1)
             if m.start() not in closed and _ENCLOSING.match(m[0]):
                 loose.add(node)
-    put(html[at:])
+    put(_UNENDED.split(html[at:], maxsplit=1)[0])
     flush()
     return t
 
@@ -203,13 +226,28 @@ def _kind(tag: str) -> str:
     return "h" if len(tag) == 2 and tag[0] == "h" and tag[1].isdigit() else tag
 
 
+def _linkage(linked: int, n: int) -> int:
+    return 0 if not linked else 1 if 2 * linked < n else 2
+
+
 def node_features(t: Tree) -> list[list[str]]:
+    # Characters, linked characters and leaves of what is below each node.
+    size, linked_, leaves = [len(x) for x in t.text], t.linked[:], [int(x == LEAF) for x in t.tag]
+    for i in range(len(t.tag) - 1, 0, -1):
+        p = t.parent[i]
+        size[p] += size[i]
+        linked_[p] += linked_[i]
+        leaves[p] += leaves[i]
+    named = any(any(c) for c in t.cues) or any(x in TELLING for x in t.tag)
     out = []
-    for tag, parent, cues, text, linked in zip(t.tag, t.parent, t.cues, t.text, t.linked, strict=True):
+    for i, (tag, parent, cues, text, linked) in enumerate(zip(t.tag, t.parent, t.cues, t.text, t.linked, strict=True)):
         f = [f"t:{_kind(tag)}", *(f"c:{c}" for c in cues)]
+        if not named and tag != LEAF:
+            # Nothing on the page tells what it is for: how much text an element has, and how much of that is links.
+            f.append(f"sub:{_linkage(linked_[i], size[i])}:{min(int(math.log2(size[i] + 1)) // 2, 5)}:{min(int(math.log2(leaves[i] + 1)), 3)}")
         if tag == LEAF:
             n = len(text)
-            f += [f"in:{_kind(t.tag[parent])}", f"len:{min(int(math.log2(n + 1)), 9)}", f"link:{0 if not linked else 1 if 2 * linked < n else 2}"]
+            f += [f"in:{_kind(t.tag[parent])}", f"len:{min(int(math.log2(n + 1)), 9)}", f"link:{_linkage(linked, n)}"]
             if text[-1] in ".!?:;…。！？\"”":
                 f.append("stop")
             if "©" in text or "(c)" in text[:40].lower():
@@ -264,7 +302,7 @@ def fit(pages: list[str], ridge: float = 0.5, rounds: int = 250) -> Model:
     seen: dict[tuple[str, ...], list[int]] = {}
     pairs = []
     for html in pages:
-        t = parse(html)
+        t = parse(html, marked=True)
         for f, y in zip(node_features(t), t.label, strict=True):
             if y is not None:
                 seen.setdefault(tuple(f), [0, 0])[y] += 1
@@ -297,7 +335,7 @@ def fit(pages: list[str], ridge: float = 0.5, rounds: int = 250) -> Model:
         kinds.setdefault(kind, []).append((a, b))
     model = Model(dict(zip(names, w.tolist(), strict=True)), {k: potential(v) for k, v in kinds.items()}, potential([(a, b) for _, a, b in pairs]))
     # The share of the leaves' evidence under which most of the labelled leaves come out right, the larger of equals.
-    trees = [parse(html) for html in pages[::2]]
+    trees = [parse(html, marked=True) for html in pages[::2]]
 
     def wrong(leaf: float) -> int:
         model.leaf = leaf
@@ -339,8 +377,17 @@ def labelled_pages(n: int = 600, seed: int = 20) -> list[str]:
     def links(k: int) -> str:
         return "".join(f'<li><a href="/{word()}">{phrase(1, 3)}</a></li>' for _ in range(k))
 
+    nameless = False  # of the page that is being written
+
+    def unnamed(inner: str, label: int) -> str:
+        """An element that nothing tells what it is for."""
+        tag = r.choice(("div", "div", "section"))
+        return f"<{tag}{r.choice(('', f' class={word()}', f' id={word()}{r.randint(1, 99)}', ' style=margin:0'))} data-main=\"{label}\">{inner}</{tag}>"
+
     def named(kind: str, tags: tuple[str, ...], inner: str, bare: float = 0.4) -> str:
         """A block that isn't content: by its tag, or a div with a telling name."""
+        if nameless:
+            return unnamed(inner, 0)
         if tags and r.random() < bare:
             return f'<{tags[0]} data-main="0">{inner}</{tags[0]}>'
         tag = r.choice(("div", "div", "section", *tags))
@@ -399,16 +446,20 @@ def labelled_pages(n: int = 600, seed: int = 20) -> list[str]:
 
     out = []
     for _ in range(n):
+        nameless = r.random() < NAMELESS
         ends = ("....!?", "....!?", "....!?", ("", "", " *", "%", ","))[r.randrange(4)]  # some pages are written without full stops
         title = f"<h1>{phrase(1, 9)}{r.choice(('', '.', '?'))}</h1>"
         body = title * (r.random() < 0.9) + prose(1, 8)
-        inside = "".join(r.sample([*extras(), ""], 1)) if r.random() < 0.35 else ""
+        inside = "".join(r.sample([*extras(), ""], 1)) if r.random() < 0.35 and not nameless else ""
         if inside:
             body += inside + prose(1, 3) * (r.random() < 0.6)
         if r.random() < 0.3:
             body += embedded() + prose(1, 3) * (r.random() < 0.8)
         k = r.random()
-        if k < 0.45:
+        if nameless:
+            wrapped = re.sub("<(/?)(?:p|blockquote)>", r"<\1div>", body) if r.random() < 0.5 else body
+            main = unnamed(wrapped, 1)
+        elif k < 0.45:
             main = f'<article data-main="1">{body}</article>'
         elif k < 0.6:
             main = f'<main data-main="1">{body}</main>'
@@ -418,9 +469,10 @@ def labelled_pages(n: int = 600, seed: int = 20) -> list[str]:
         if r.random() < 0.6:
             before.insert(0, named("head", ("header",), r.choice((f"<p>{phrase(1, 6)}</p>", f"<h2>{phrase(1, 3)}</h2>", phrase(1, 5))), 0.6))
         after = [named("foot", ("footer",), r.choice((f"&copy; {phrase(1, 4)}. {sentences(1, 2)}", f"<p>{sentences(1, 2)}</p>", f"<ul>{links(4)}</ul><p>&copy; {phrase(2, 5)}</p>")), 0.7)]
-        if r.random() < 0.4:
+        if r.random() < 0.4 and not nameless:
             after.insert(0, comments())
-        more = extras()
+        # Without names, an advert or a notice of a few sentences can't be told from an article.
+        more = [unnamed(f"<ul>{links(r.randint(3, 6))}</ul>", 0)] * (r.random() < 0.5) if nameless else extras()
         split = r.randint(0, len(more))
         page = "".join([*before, *more[:split], main, *more[split:], *after])
         if r.random() < 0.3:
