@@ -9,8 +9,6 @@ under each part's cap, and of which the best round is kept.
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -20,6 +18,7 @@ from ..functions.scratch import kept
 from ..sources.graphs import TemporalGraph
 from . import supra as G
 from .metrics import placed
+from .placement import split
 from .stats import degree
 from .supra import both_ways
 
@@ -40,6 +39,7 @@ def streamed(g: TemporalGraph, parts: int, modes: tuple[str, ...] = ("fennel", "
     n, m = g.num_nodes, g.num_edges
 
     def place(key, e):
+        # The first part has no soft cap, so that there is always one to take.
         mode = key[0]
         e = e[e["src"] != e["dst"]]
         a, b = np.concatenate([e["src"], e["dst"]]).astype(np.int64), np.concatenate([e["dst"], e["src"]]).astype(np.int64)
@@ -86,6 +86,75 @@ def edge_streamed(g: TemporalGraph, parts: int, balance: tuple[float, ...] = (1.
     return g.edges.select(sets, "pos", "src", "dst").groupBy("balance").applyInPandas(place, "balance double, src long, dst long, part long")
 
 
+def fitted_caps(caps: list[int], n: int) -> list[int]:
+    """Vertices that each device may have: ``caps``, or in proportion to them what is needed to hold all n."""
+    own = [max(1, min(int(c), n)) for c in caps]
+    if sum(own) < n:
+        own = [max(1, c * n // sum(own)) for c in own]
+        own[own.index(max(own))] += max(0, n - sum(own))
+    return own
+
+
+def heterogeneous(g: TemporalGraph, caps: list[int], link: list[list[float]], alpha: float = 1.0, passes: int = 2, order: str = "auto", prior: DataFrame | None = None, budget: float = 0.0) -> DataFrame:
+    """v, part: a stream of vertices, each to the device from which its placed neighbours are cheapest to reach, plus ``alpha`` times how full it is.
+
+    ``caps`` are the devices' vertices, ``link`` the bandwidths between them (infinite or 0 on the diagonal: free).
+    Vertices come by first appearance if one device can hold all, else by degree, unless ``order`` names one; then
+    ``passes`` of moves that lessen the cost. With ``prior`` (v, part) only vertices without a part are placed, and
+    those, their neighbours and the share ``budget`` of all with the most crossing edges may move. One task, guarded.
+    """
+    _guard(g)
+    n, d = g.num_nodes, len(caps)
+    cap = np.array(fitted_caps(caps, n))
+    cost = np.array([[0.0 if i == j or not np.isfinite(b) or b <= 0 else 1.0 / b for j, b in enumerate(row)] for i, row in enumerate(link)])
+
+    def place(key, rows):
+        old, e = rows[rows["pos"] < 0], rows[rows["pos"] >= 0].sort_values("pos")
+        src, dst = e["src"].to_numpy(), e["dst"].to_numpy()
+        a, b = np.concatenate([src, dst]), np.concatenate([dst, src])
+        by = np.argsort(a, kind="stable")
+        near, at = b[by], np.searchsorted(a[by], np.arange(n + 1))
+        part = np.full(n, -1)
+        part[old["src"].to_numpy()] = old["dst"].to_numpy()
+        load, new = np.bincount(part[part >= 0], minlength=d), np.flatnonzero(part < 0)
+        if len(old):
+            turn = new
+        elif order == "degree" or order == "auto" and cap.max() < n:
+            turn = np.argsort(-np.diff(at), kind="stable")
+        else:
+            seen = pd.unique(np.stack([src, dst], axis=1).ravel())
+            turn = np.concatenate([seen, np.setdiff1d(np.arange(n), seen)])
+        reach = lambda v: cost @ np.bincount(p[p >= 0], minlength=d) if len(p := part[near[at[v] : at[v + 1]]]) else np.zeros(d)
+        for v in turn:
+            score = np.where(load < cap, reach(v) + alpha * load / cap, np.inf)
+            k = int(score.argmin()) if np.isfinite(score).any() else int((cap - load).argmax())
+            part[v] = k
+            load[k] += 1
+        touch = np.arange(n)
+        if len(old):
+            touch = np.unique(np.concatenate([new, *[near[at[v] : at[v + 1]] for v in new]])) if len(new) else new
+            cross = part[src] != part[dst]
+            stale = np.bincount(np.concatenate([src[cross], dst[cross]]), minlength=n)
+            stale[touch] = 0
+            worst = np.argsort(-stale, kind="stable")[: int(budget * n)]
+            touch = np.concatenate([touch, worst[stale[worst] > 0]])
+        for _ in range(passes):
+            moved = 0
+            for v in touch:
+                own, c = part[v], reach(v)
+                k = int(np.where((load < cap) | (np.arange(d) == own), c, np.inf).argmin())
+                if k != own and c[k] < c[own] - 1e-9:
+                    load[own], load[k], part[v], moved = load[own] - 1, load[k] + 1, k, moved + 1
+            if not moved:
+                break
+        return pd.DataFrame({"v": np.arange(n), "part": part})
+
+    rows = g.edges.select("pos", "src", "dst")
+    if prior is not None:
+        rows = rows.unionAll(prior.select(F.lit(-1).cast("long").alias("pos"), F.col("v").alias("src"), F.col("part").cast("long").alias("dst")))
+    return rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(place, "v long, part long")
+
+
 def cut_of(e: DataFrame, place: DataFrame) -> int:
     """Weight of edges (a, b, w; each once) between parts of ``place`` (v, part)."""
     p = place.select("v", "part")
@@ -93,54 +162,81 @@ def cut_of(e: DataFrame, place: DataFrame) -> int:
     return j.agg(F.sum(F.when(F.col("pa") != F.col("pb"), F.col("w")))).first()[0] or 0
 
 
+#: Moves of one gain are admitted in so many parts, by a hash.
+BUCKETS = 64
+
+
+def _admitted(moves: DataFrame, place: DataFrame, cap: float) -> DataFrame:
+    """v, to: of ``moves`` (v, to, gain, weight) those that fit under the cap of their target, by gain and then by a hash of v.
+
+    Running sums are taken over sums a target, gain and bucket, so no task has all moves of a part.
+    """
+    m = moves.withColumn("bucket", F.pmod(F.xxhash64("v"), F.lit(BUCKETS)))
+    sums = m.groupBy("to", "gain", "bucket").agg(F.sum("weight").alias("s"))
+    load = place.groupBy(F.col("part").alias("to")).agg(F.sum("w").alias("load"))
+    run = sums.withColumn("run", F.sum("s").over(Window.partitionBy("to").orderBy(F.desc("gain"), "bucket").rowsBetween(Window.unboundedPreceding, 0)))
+    fit = run.join(F.broadcast(load), "to", "left").where(F.coalesce("load", F.lit(0)) + F.col("run") <= cap).select("to", "gain", "bucket")
+    return m.join(fit, ["to", "gain", "bucket"], "left_semi").select("v", "to")
+
+
 def refined(e: DataFrame, place: DataFrame, parts: int, cap: float, rounds: int = 6) -> DataFrame:
     """v, w, part no worse than ``place``: rounds of moves with gain, admitted by gain while the target stays under ``cap``, upward and downward in turn.
 
-    ``e`` (a, b, w) holds each edge once, ``place`` has v, w (weight) and part.
+    ``e`` (a, b, w) holds each edge once, ``place`` has v, w (weight) and part. One table a round tells the cut of the
+    placement so far and the moves that would lessen it; only vertices with an edge to another part are in it.
     """
     sym = kept(e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "sym")
     best = now = kept(place.select("v", "w", "part"), "place")
-    least = cut_of(e, best)
-    for k in range(rounds):
+    least = None
+    for k in range(rounds + 1):
         near = sym.join(now.select(F.col("v").alias("b"), F.col("part").alias("to")), "b").groupBy("a", "to").agg(F.sum("w").alias("s"))
-        home = now.withColumnRenamed("v", "a")
-        stay = near.join(home.select("a", F.col("part").alias("to")), ["a", "to"]).select("a", F.col("s").alias("own"))
-        gain = near.join(home.withColumnRenamed("w", "weight"), "a").join(stay, "a", "left").withColumn("gain", F.col("s") - F.coalesce("own", F.lit(0)))
-        gain = gain.where((F.col("gain") > 0) & ((F.col("to") > F.col("part")) if k % 2 == 0 else (F.col("to") < F.col("part"))))
-        one = gain.groupBy("a").agg(F.max(F.struct("gain", (-F.col("to")).alias("t"), "weight")).alias("m")).select(F.col("a").alias("v"), (-F.col("m.t")).alias("to"), "m.gain", "m.weight")
-        load = now.groupBy(F.col("part").alias("to")).agg(F.sum("w").alias("load"))
-        run = one.withColumn("run", F.sum("weight").over(Window.partitionBy("to").orderBy(F.desc("gain"), "v").rowsBetween(Window.unboundedPreceding, 0)))
-        moves = run.join(F.broadcast(load), "to", "left").where(F.coalesce("load", F.lit(0)) + F.col("run") <= cap).select("v", "to")
-        now = kept(now.join(moves, "v", "left").select("v", "w", F.coalesce("to", "part").alias("part")), "place")
-        cut = cut_of(e, now)
-        if cut < least:
+        j = near.join(now.select(F.col("v").alias("a"), "part", F.col("w").alias("weight")), "a")
+        up = (F.col("to") > F.col("part")) if k % 2 == 0 else (F.col("to") < F.col("part"))
+        own = F.coalesce(F.sum(F.when(F.col("to") == F.col("part"), F.col("s"))), F.lit(0))
+        pick = F.max(F.when(up, F.struct("s", (-F.col("to")).alias("t"))))
+        one = j.groupBy(F.col("a").alias("v"), "weight").agg(F.sum("s").alias("all"), own.alias("own"), pick.alias("m")).where("all > own")
+        one = kept(one.select("v", "weight", (F.col("all") - F.col("own")).alias("out"), (-F.col("m.t")).alias("to"), (F.col("m.s") - F.col("own")).alias("gain")), "gains")
+        cut = (one.agg(F.sum("out")).first()[0] or 0) // 2
+        if least is None or cut < least:
             best, least = now, cut
-        elif k % 2:
+        elif k % 2 == 0:
             break
+        if k < rounds:
+            moves = _admitted(one.where("gain > 0"), now, cap)
+            now = kept(now.join(moves, "v", "left").select("v", "w", F.coalesce("to", "part").alias("part")), "place")
     return best
 
 
-def coarsened(e: DataFrame, v: DataFrame, most: float) -> DataFrame:
-    """v, up: vertices matched with the neighbour of the heaviest edge that chose them too, up being the lesser of both; weights stay under ``most``."""
+def coarsened(e: DataFrame, v: DataFrame, most: float, turn: int = 0) -> DataFrame:
+    """v, up: pairs of vertices with a heavy edge, up being the lesser of both; weights stay under ``most``.
+
+    A hash deals vertices into those that ask and those that answer: one asks along its heaviest edge,
+    and who is asked takes the heaviest offer. ``turn`` makes another deal.
+    """
     w = v.select("v", "w")
-    sym = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    side = lambda x: F.pmod(F.xxhash64(x, F.lit(turn)), F.lit(2))
+    sym = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).where((side("a") == 0) & (side("b") == 1))
     j = sym.join(w.withColumnsRenamed({"v": "a", "w": "wa"}), "a").join(w.withColumnsRenamed({"v": "b", "w": "wb"}), "b").where(F.col("wa") + F.col("wb") <= most)
-    # Equal weights are told apart by the pair, so that choices agree from both ends.
-    pick = j.groupBy("a").agg(F.max(F.struct("w", F.xxhash64(F.least("a", "b"), F.greatest("a", "b")).alias("h"), "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    mutual = pick.join(pick.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"])
-    return v.select("v").join(mutual.withColumnRenamed("a", "v"), "v", "left").select("v", F.least("v", F.coalesce("b", "v")).alias("up"))
+    # Heavy edges of light vertices first; equal ones are told apart by a hash, so that offers are spread.
+    rate = F.col("w") / (F.col("wa") * F.col("wb"))
+    asked = j.groupBy("a").agg(F.max(F.struct(rate.alias("r"), F.xxhash64("a", "b", F.lit(turn)).alias("h"), "b")).alias("m")).select("a", "m.r", "m.h", "m.b")
+    taken = asked.groupBy("b").agg(F.max(F.struct("r", "h", "a")).alias("m")).select("b", F.col("m.a").alias("a"))
+    both = taken.select(F.col("a").alias("v"), F.least("a", "b").alias("up")).unionAll(taken.select(F.col("b").alias("v"), F.least("a", "b").alias("up")))
+    return v.select("v").join(both, "v", "left").select("v", F.coalesce("up", "v").alias("up"))
+
 
+def multilevel(g: TemporalGraph, parts: int, slack: float = 1.03, coarsest: int = 20_000, weight: DataFrame | None = None) -> DataFrame:
+    """v, part: match and contract, place the coarsest graph in one task, then project and refine level by level.
 
-def multilevel(g: TemporalGraph, parts: int, slack: float = 1.03, levels: int = 8, weight: DataFrame | None = None) -> DataFrame:
-    """v, part: match and contract, place the coarsest graph in one task, then project and refine level by level."""
+    Contraction ends at ``coarsest`` vertices (30 a part at least) or when it no longer helps; a graph that then has
+    more than ``ONE_TASK_EDGES`` edges begins from its order by weight instead, and is refined in rounds of joins as all levels are.
+    """
     e = kept(g.edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("w")), "edges")
     v = kept(weight if weight is not None else g.vertices().select("v", F.lit(1).cast("long").alias("w")), "vertices")
     total = v.agg(F.sum("w")).first()[0] or 0
-    stop, stack, n = max(30 * parts, 200), [], g.num_nodes
-    for _ in range(levels):
-        if n <= stop:
-            break
-        up = kept(coarsened(e, v, 1.5 * total / stop), "match")
+    stop, stack, n = max(30 * parts, coarsest), [], g.num_nodes
+    while n > stop:
+        up = kept(coarsened(e, v, 1.5 * total / stop, len(stack)), "match")
         ve = kept(v.join(up, "v").groupBy(F.col("up").alias("v")).agg(F.sum("w").alias("w")), "vertices")
         fewer = ve.count()
         if fewer > 0.95 * n:
@@ -150,35 +246,58 @@ def multilevel(g: TemporalGraph, parts: int, slack: float = 1.03, levels: int =
         e = kept(e.join(x, "a").join(y, "b").where("x <> y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w")), "edges")
         v, n = ve, fewer
     cap = slack * total / parts
-    place = kept(_solve(e, v, parts, cap), "place")
-    place = refined(e, place, parts, 1.08 * cap if stack else cap)
-    for e, v, up in reversed(stack):
-        place = v.join(up, "v").join(place.select(F.col("v").alias("up"), "part"), "up").select("v", "w", "part")
-        place = refined(e, place, parts, cap, 4)
-    return place.select("v", "part")
+    if e.count() <= ONE_TASK_EDGES:
+        place = kept(_solve(e, v, parts, cap), "place")
+    else:
+        place = split(v.select("v", F.col("w").alias("work")), [F.desc("work"), F.asc("v")], parts).select("v", F.col("work").alias("w"), "part")
+    for ee, vv, up in reversed(stack):
+        place = refined(e, place, parts, cap, 3)
+        place = vv.join(up, "v").join(place.select(F.col("v").alias("up"), "part"), "up").select("v", "w", "part")
+        e = ee
+    return refined(e, place, parts, cap, 4).select("v", "part")
+
+
+#: Starts of the coarsest graph that are compared, and passes over it.
+STARTS, PASSES = 2, 5
 
 
 def _solve(e: DataFrame, v: DataFrame, parts: int, cap: float) -> DataFrame:
-    """v, w, part of a small graph, in one task: heaviest first to the part with most of its edges that has room, the emptiest else."""
+    """v, w, part of a small graph, in one task: from several orders, each vertex to the part with most of its edges that has room; then moves with gain; the least cut."""
 
     def solve(key, rows):
         verts, edges = rows[rows["b"] < 0], rows[rows["b"] >= 0]
-        near: dict[int, list[tuple[int, int]]] = {}
-        for a, b, w in edges[["a", "b", "w"]].itertuples(index=False):
-            near.setdefault(a, []).append((b, w))
-            near.setdefault(b, []).append((a, w))
-        part: dict[int, int] = {}
-        load = np.zeros(parts)
-        for a, w in sorted(verts[["a", "w"]].itertuples(index=False, name=None), key=lambda x: (-x[1], x[0])):
-            votes = np.zeros(parts)
-            for b, s in near.get(a, ()):
-                if b in part:
-                    votes[part[b]] += s
-            room = load + w <= cap
-            score = np.where(room, votes * np.maximum(0.05, 1 - load / max(cap, 1e-9)) - 1e-6 * load, -1e18 - load)
-            part[a] = k = int(score.argmax())
-            load[k] += w
-        return pd.DataFrame({"v": verts["a"], "w": verts["w"], "part": verts["a"].map(part)}).astype("int64")
+        ids, weight = verts["a"].to_numpy(), verts["w"].to_numpy().astype(float)
+        order = np.argsort(ids)
+        ids, weight, n = ids[order], weight[order], len(ids)
+        a, b, w = np.searchsorted(ids, edges["a"].to_numpy()), np.searchsorted(ids, edges["b"].to_numpy()), edges["w"].to_numpy().astype(float)
+        x, y, z = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w])
+        order = np.argsort(x, kind="stable")
+        y, z, at = y[order], z[order], np.searchsorted(x[order], np.arange(n + 1))
+        degree = np.bincount(x, weights=np.concatenate([w, w]), minlength=n)
+        best = None
+        for k in range(STARTS):
+            turn = np.argsort(-(weight if k == 0 else degree if k == 1 else np.random.default_rng(k).random(n)), kind="stable")
+            part, load = np.full(n, parts), np.zeros(parts)
+            for i in turn:
+                votes = np.bincount(part[y[at[i] : at[i + 1]]], weights=z[at[i] : at[i + 1]], minlength=parts + 1)[:parts]
+                score = np.where(load + weight[i] <= cap, votes * np.maximum(0.05, 1 - load / max(cap, 1e-9)) - 1e-6 * load, -1e18 - load)
+                part[i] = p = int(score.argmax())
+                load[p] += weight[i]
+            for _ in range(PASSES):
+                moved = 0
+                for i in turn:
+                    votes = np.bincount(part[y[at[i] : at[i + 1]]], weights=z[at[i] : at[i + 1]], minlength=parts)
+                    own = part[i]
+                    p = int(np.where((load + weight[i] <= cap) | (np.arange(parts) == own), votes, -1).argmax())
+                    if votes[p] > votes[own]:
+                        load[own], load[p], part[i], moved = load[own] - weight[i], load[p] + weight[i], p, moved + 1
+                if not moved:
+                    break
+            # Within the cap first, then the least cut.
+            cost = (max(0.0, load.max() - cap), w[part[a] != part[b]].sum())
+            if best is None or cost < best[0]:
+                best = (cost, part)
+        return pd.DataFrame({"v": ids, "w": weight.astype("int64"), "part": best[1] if best else []}).astype("int64")
 
     rows = v.select(F.col("v").alias("a"), F.lit(-1).cast("long").alias("b"), "w").unionAll(e.select("a", "b", "w"))
     return rows.withColumn("one", F.col("w") * 0).groupBy("one").applyInPandas(solve, "v long, w long, part long")
@@ -207,30 +326,10 @@ def two_level(g: TemporalGraph, groups: int, parts: int) -> DataFrame:
 
 
 def lpt(g: TemporalGraph, speeds: list[float]) -> DataFrame:
-    """v, part: vertices by falling degree, each to the part that ends soonest; planned on the counts of degrees.
+    """v, work, part: vertices by falling degree, each to the part that is free first; planned on the counts of degrees."""
+    from .orders import packed_by_work
 
-    The driver gets one row per distinct degree; ranks within a degree then find their parts.
-    """
-    from ..functions.position import with_position
-
-    deg = degree(g)
-    heap = [(0.0, p) for p in range(len(speeds))]
-    rows, counts = [], deg.groupBy("deg").agg(F.count("*").alias("c")).orderBy(F.desc("deg")).collect()
-    for r in counts:
-        got = [0] * len(speeds)
-        for _ in range(r["c"]):
-            t, p = heapq.heappop(heap)
-            got[p] += 1
-            heapq.heappush(heap, (t + max(r["deg"], 1e-9) / speeds[p], p))
-        at = 0
-        for p, k in enumerate(got):
-            if k:
-                rows.append((r["deg"], at, at + k, p))
-                at += k
-    spans = g.spark.createDataFrame(rows, "deg long, lo long, hi long, part long")
-    first = g.spark.createDataFrame([(r["deg"], s) for r, s in zip(counts, np.cumsum([0] + [r["c"] for r in counts])[:-1].tolist(), strict=True)], "deg long, base long")
-    ranked = with_position(deg, [F.desc("deg"), F.asc("v")], "r").join(F.broadcast(first), "deg").withColumn("i", F.col("r") - F.col("base"))
-    return ranked.join(F.broadcast(spans), (ranked["deg"] == spans["deg"]) & (F.col("i") >= F.col("lo")) & (F.col("i") < F.col("hi"))).select("v", ranked["deg"].alias("work"), "part")
+    return packed_by_work(degree(g).select("v", F.col("deg").alias("work")), speeds)
 
 
 def supra_solve(g: TemporalGraph, snaps: int, parts: int, w_space: int = 2, w_time: int = 1) -> DataFrame:

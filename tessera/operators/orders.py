@@ -86,31 +86,34 @@ def by_memory(g: TemporalGraph, parts: int, shares: list[int] | None = None) ->
     return split(work, [F.desc("deg"), F.asc("v")], parts, shares)
 
 
-def filled_by_time(sizes: list[tuple[float, int]], speeds: list[float]) -> list[list[int]]:
+def filled_by_time(sizes: list[tuple[int, int]], speeds: list[float]) -> list[list[int]]:
     """For each (size, count), in turn: how many each bin gets if every item goes to the bin that is free first, ties to the first bin.
 
-    Per size in closed form: bins fill up to one time, and the few items around it are placed one by one.
+    Per size in closed form: bins fill up to one time, and the few items around it are placed one by one. Times come
+    from whole sums, so no order of adding decides; an item without size counts as 1e-9.
     """
-    d, t, out = len(speeds), [0.0] * len(speeds), []
+    d, work, empty, out = len(speeds), [0] * len(speeds), [0] * len(speeds), []
     for size, count in sizes:
-        step = [max(size, 1e-9) / s for s in speeds]
+        at = lambda p, k: (work[p] + k * size + 1e-9 * empty[p] if size else work[p] + 1e-9 * (empty[p] + k)) / speeds[p]  # noqa: B023, E731
         got = [0] * d
         if count > 4 * d * d:
             # The time at which the bins, filled like water, have taken all.
-            order, rate, held, level = sorted(range(d), key=lambda p: t[p]), 0.0, 0.0, 0.0
+            step, t = [(size or 1e-9) / s for s in speeds], [at(p, 0) for p in range(d)]
+            order, rate, held, level = sorted(range(d), key=t.__getitem__), 0.0, 0.0, 0.0
             for i, p in enumerate(order):
                 rate, held = rate + 1 / step[p], held + t[p] / step[p]
                 level = (count + held) / rate
                 if i + 1 == d or level <= t[order[i + 1]]:
                     break
             got = [max(0, int((level - t[p]) / step[p]) - d) for p in range(d)]
-        heap = [(t[p] + got[p] * step[p], p) for p in range(d)]
+        heap = [(at(p, got[p]), p) for p in range(d)]
         heapq.heapify(heap)
         for _ in range(count - sum(got)):
-            at, p = heapq.heappop(heap)
+            _, p = heapq.heappop(heap)
             got[p] += 1
-            heapq.heappush(heap, (at + step[p], p))
-        t = [t[p] + got[p] * step[p] for p in range(d)]
+            heapq.heappush(heap, (at(p, got[p]), p))
+        for p in range(d):
+            work[p], empty[p] = work[p] + got[p] * size, empty[p] + got[p] * (not size)
         out.append(got)
     return out
 

@@ -65,6 +65,19 @@ def graph_stats(g: TemporalGraph, snaps: int) -> DataFrame:
     return out
 
 
+def ingest(g: TemporalGraph, snaps: int, mode: str = "dtdg", compute_stats: bool = True) -> DataFrame:
+    """The row that a front end keeps of a graph, of snapshots (dtdg) or events (ctdg); without ``compute_stats`` only what counts give."""
+    if mode not in ("dtdg", "ctdg"):
+        raise ValueError(f"mode {mode!r}: dtdg or ctdg")
+    if compute_stats:
+        return graph_stats(g, snaps)
+    n, e = g.num_nodes, g.num_edges
+    return g.vertices().agg(F.round(F.avg("fv"), DIGITS).alias("feat_dim_mean"), F.max("fv").alias("feat_dim_max")).select(
+        F.lit(n).cast("long").alias("num_nodes"), F.lit(e).cast("long").alias("num_edges"), F.round(F.lit(e / max(1, n)), DIGITS).alias("avg_degree"),
+        F.round(F.lit(e / max(1, n * (n - 1)) if n > 1 else 0.0), DIGITS).alias("density"), "feat_dim_mean", "feat_dim_max",
+    )
+
+
 def gini(values: DataFrame, column: str) -> DataFrame:
     """gini of a column of non-negative numbers: 2 * sum(rank * x) / (n * sum(x)) - (n + 1) / n; 0 if all are 0."""
     r = with_position(values.select(column), [column], "r")

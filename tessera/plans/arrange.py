@@ -15,6 +15,7 @@ from ..operators import iterate as I
 from ..operators import metrics as M
 from ..operators import placement as P
 from ..operators import stats as S
+from ..operators import supra as G
 from ..sources.graphs import TemporalGraph
 
 FLOOR = "locality floor"
@@ -108,6 +109,25 @@ def plan(g: TemporalGraph, snaps: int, cluster: str, link: float, feat_dim: int
     return m.join(ms, "part").join(flight, "part").select(F.lit(a.name).alias("winner"), "part", "nodes", "incident", F.col("halo").cast("double").alias("halo"), "total_ms", "footprint", "headroom")
 
 
+def allocate(g: TemporalGraph, snaps: int, dev: list[tuple], link: float, w_space: int = 2, w_time: int = 1) -> DataFrame:
+    """part, cells, vertices, bytes, cost, from_supra: the cells' devices by the supra solver or by the arrangement, whichever has the lesser weighted cut.
+
+    Vertices that an arrangement holds everywhere count at a device by their id.
+    """
+    d, cell = len(dev), kept(G.cells(g, snaps), "cells")
+    sp, tp = kept(G.spatial_pairs(g, cell, snaps), "spatial"), kept(G.temporal_pairs(cell), "temporal")
+    a = arrange(g, snaps, dev, link)
+    lifted = kept(cell.join(a.place.select("v", "part"), "v", "left").select("cell_id", F.coalesce("part", F.col("v") % d).cast("long").alias("dev")), "lifted")
+    solved = kept(K.supra_solve(g, snaps, d, w_space, w_time).select("cell_id", "dev"), "solved")
+    price = lambda p: (lambda r: w_space * r["spatial"] + w_time * r["temporal"])(G.cuts(sp, tp, p).first())
+    costs = {True: price(solved), False: price(lifted)}
+    supra = costs[True] <= costs[False]
+    c = cell.join(solved if supra else lifted, "cell_id")
+    count = c.groupBy(F.col("dev").alias("part")).agg(F.count("*").alias("cells"))
+    rows = c.select("dev", "v").distinct().join(g.vertices(), "v").groupBy(F.col("dev").alias("part")).agg(F.count("*").alias("vertices"), (F.sum("fv") * 4).alias("bytes"))
+    return M.filled(g, d, count, rows).select("part", "cells", "vertices", "bytes", F.lit(costs[supra]).cast("long").alias("cost"), F.lit(supra).alias("from_supra"))
+
+
 def schedule(g: TemporalGraph, snaps: int, cluster: str, link: float, feat_dim: int = 128, epochs: int = 10) -> DataFrame:
     """One row: axis, winner, makespan_ms, weights of cuts, feasible, and the estimate of a job of some epochs."""
     dev = C.cluster_rows(cluster)

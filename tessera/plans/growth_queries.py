@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scratch import kept
 from ..operators import choice as X
 from ..operators import cost as C
 from ..operators import greedy as K
@@ -233,6 +234,33 @@ _FL = lambda name, body: f"SELECT '{name}' AS cand, max(sec) AS makespan_sec, mi
 for _intent, _order in (("min_time", "makespan_sec"), ("fit_memory", "headroom DESC")):
     query(f"resolve_{_intent}", "F", Q._DEV + f" SELECT * FROM ({_FL('hash', _HASH)} UNION ALL {_FL('caphash', _CAPH)}) ORDER BY feasible DESC, {_order}, cand LIMIT 1")(lambda g, s, i=_intent: X.resolved(_flights(g), i))
 
+@query("allocate", "F", """, bl AS (SELECT cell_id, (dense_rank() OVER (ORDER BY v) - 1) * 4 // (SELECT count(DISTINCT v) FROM cells) AS dv, (dense_rank() OVER (ORDER BY snap) - 1) * 4 // (SELECT count(DISTINCT snap) FROM cells) AS dt FROM cells),
+sp AS (SELECT x.cell_id AS a, y.cell_id AS b, 2 AS w FROM es e JOIN cells x ON x.v = src AND x.snap = e.snap JOIN cells y ON y.v = dst AND y.snap = e.snap WHERE src <> dst),
+tp AS (SELECT a, b, 1 AS w FROM (SELECT lag(cell_id) OVER (PARTITION BY v ORDER BY snap) AS a, cell_id AS b FROM cells) WHERE a IS NOT NULL), pr AS (SELECT * FROM sp UNION ALL SELECT * FROM tp)
+SELECT (SELECT count(*) FROM cells)::BIGINT AS cells, 4::BIGINT AS devices, true AS vertices_held, true AS no_worse,
+least((SELECT sum(w) FROM pr JOIN bl x ON x.cell_id = a JOIN bl y ON y.cell_id = b WHERE x.dv <> y.dv), (SELECT sum(w) FROM pr JOIN bl x ON x.cell_id = a JOIN bl y ON y.cell_id = b WHERE x.dt <> y.dt))::BIGINT AS best_corner""")
+def _allocate(g, s):
+    """All cells are on a device, every active vertex is held, and the cost is no more than that of the better corner."""
+    a = kept(A.allocate(g, s, Q._DEVS, LINK), "allocation")
+    c = kept(G.cells(g, s), "cells")
+    sp, tp = G.spatial_pairs(g, c, s), G.temporal_pairs(c)
+    corner = min((lambda r: 2 * r["spatial"] + r["temporal"])(G.cuts(sp, tp, G.blocks_of(c, column, D)).first()) for column in ("v", "snap"))
+    t = a.agg(F.sum("cells").alias("cells"), F.count("*").alias("devices"), F.sum("vertices").alias("v"), F.max("cost").alias("cost")).first()
+    row = (t["cells"], t["devices"], t["v"] >= c.select("v").distinct().count(), t["cost"] <= corner, corner)
+    return g.spark.createDataFrame([row], "cells long, devices long, vertices_held boolean, no_worse boolean, best_corner long")
+
+
+@query("part_heterogeneous", "F", " SELECT (SELECT n FROM n)::BIGINT AS nodes, true AS covered, true AS within_cap, true AS grown_keeps")
+def _heterogeneous(g, s):
+    """Each vertex once within the devices' caps; from a prior placement without a budget, vertices that nothing new touches stay."""
+    caps, link = [50, 30, 20, 20], [[0.0 if i == j else 50.0 / (1 + abs(i - j)) for j in range(D)] for i in range(D)]
+    p = kept(K.heterogeneous(g, caps, link), "hetero")
+    n, most = p.agg(F.count("*").alias("n"), F.count_distinct("v").alias("d")).first(), {r["part"]: r["count"] for r in p.groupBy("part").count().collect()}
+    whole = K.heterogeneous(g, caps, link, prior=p)
+    row = (n["n"], n["n"] == n["d"] == g.num_nodes, all(most.get(k, 0) <= c for k, c in enumerate(K.fitted_caps(caps, g.num_nodes))), whole.exceptAll(p).count() == 0)
+    return g.spark.createDataFrame([row], "nodes long, covered boolean, within_cap boolean, grown_keeps boolean")
+
+
 # Orders and groups.
 query("degeneracy_order", "F", Q._H + ", o AS (SELECT v, row_number() OVER (ORDER BY core, v) - 1 AS rank FROM h6) SELECT v, rank FROM o")(lambda g, s: O.degeneracy_order(I.coreness(g, 6)))
 _SB = ", wsy AS (SELECT a, b, count(*) AS w FROM sym WHERE a <> b GROUP BY 1, 2), left0 AS (SELECT v FROM verts)" + "".join(

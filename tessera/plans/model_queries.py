@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.scratch import kept
 from ..operators import aggregate as X
 from ..operators import cost as C
 from ..operators import greedy as K
@@ -117,15 +119,38 @@ table("next_use", f"WITH {_SEQ} SELECT pos, unit, lead(pos) OVER (PARTITION BY u
 table("naive_misses", f"WITH {_SEQ} SELECT count(*) FILTER (r <= 4)::BIGINT AS pinned, sum(CASE WHEN r <= 4 THEN 1 ELSE c END)::BIGINT AS misses FROM (SELECT count(*) AS c, row_number() OVER (ORDER BY min(pos)) AS r FROM seq GROUP BY unit)")(
     lambda spark: R.naive_misses(R.access_sequence(spark, 12, 3, 1, 3), 4)
 )
-for _p in ("belady", "mrd"):
-    table(f"{_p}_misses")(lambda spark, p=_p: R.cache_misses(R.next_use(R.access_sequence(spark, 12, 3, 1, 3)).withColumn("device", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))).withColumn("slots", F.col("device") + 2), p))
+#: The state is the list of (value, unit) that a cache holds, in the order in which they came; the greatest value goes, the first of equals.
+_CACHE = """WITH RECURSIVE {seq}, ac AS (SELECT pos, unit, coalesce(lead(pos) OVER w, 1000000)::DOUBLE AS nxt, (pos - lag(pos) OVER w)::DOUBLE AS gap FROM seq WINDOW w AS (PARTITION BY unit ORDER BY pos)),
+vl AS (SELECT pos::BIGINT AS pos, unit, {value} AS val FROM ac), dv AS (SELECT unnest(range(0, 4)) AS device),
+st(device, slots, pos, units, vals, hits, misses, evictions) AS (SELECT device, device + 2, 0::BIGINT, []::BIGINT[], []::DOUBLE[], 0::BIGINT, 0::BIGINT, 0::BIGINT FROM dv UNION ALL
+SELECT device, slots, st.pos + 1,
+CASE WHEN list_contains(units, unit) THEN units WHEN len(units) < slots THEN list_append(units, unit) ELSE list_append(units[: list_position(vals, list_max(vals)) - 1] || units[list_position(vals, list_max(vals)) + 1 :], unit) END,
+CASE WHEN list_contains(units, unit) THEN vals[: list_position(units, unit) - 1] || [val] || vals[list_position(units, unit) + 1 :] WHEN len(units) < slots THEN list_append(vals, val) ELSE list_append(vals[: list_position(vals, list_max(vals)) - 1] || vals[list_position(vals, list_max(vals)) + 1 :], val) END,
+hits + list_contains(units, unit)::BIGINT, misses + (NOT list_contains(units, unit))::BIGINT, evictions + (NOT list_contains(units, unit) AND len(units) >= slots)::BIGINT FROM st JOIN vl ON vl.pos = st.pos)
+SELECT device::BIGINT AS device, slots::BIGINT AS slots, hits, misses, evictions FROM st WHERE pos = 90"""
+for _p, _v in (("belady", "nxt"), ("mrd", "coalesce(gap, 90)")):
+    table(f"{_p}_misses", _CACHE.format(seq=_SEQ, value=_v))(lambda spark, p=_p: R.cache_misses(R.next_use(R.access_sequence(spark, 12, 3, 1, 3)).withColumn("device", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))).withColumn("slots", F.col("device") + 2), p))
 _REQ = [(0, 80e9, 3.81e9, 47.7, 50.1, 60e9, 3.81e9), (1, 80e9, 3.81e9, 120.0, 50.0, 74e9, 3.81e9), (2, 10e9, 1e9, 47.7, 50.1, 8e9, 4e9), (3, 10e9, 1e9, 120.0, 50.0, 8e9, 4e9), (4, 80e9, 1e9, 47.7, 50.1, 67e9, 3e9), (5, 80e9, 1e9, 47.7, 50.1, 71e9, 3e9)]
 table("watermark_admit", f"""WITH q(id, cap, increment, fill, evict, resident, alloc) AS (VALUES {", ".join("(" + ", ".join(f"{x}::{t}" for x, t in zip(map(lambda y: int(y) if float(y).is_integer() and y > 1000 else y, r), ("BIGINT", "BIGINT", "BIGINT", "DOUBLE", "DOUBLE", "BIGINT", "BIGINT"), strict=True)) + ")" for r in _REQ)})
 SELECT *, CASE WHEN alloc > cap - resident OR resident + alloc > floor(0.9 * cap) THEN evict >= fill ELSE true END AS admit,
 (CASE WHEN alloc > cap - resident THEN alloc - (cap - resident) WHEN resident + alloc > floor(0.85 * cap) THEN greatest(0, resident + alloc - floor(0.70 * cap)) ELSE 0 END)::BIGINT AS spill FROM q""")(
     lambda spark: R.admission(spark.createDataFrame([(i, int(a), int(b), c, d, int(e), int(f)) for i, a, b, c, d, e, f in _REQ], "id long, cap long, increment long, fill double, evict double, resident long, alloc long"))
 )
-table("control_loop")(lambda spark: R.control_loop(spark.range(60).selectExpr("id % 3 AS device", "cast(20e9 AS double) AS cap", "id div 3 AS step", "cast((1 + id % 3) * 1.5e9 AS double) AS bytes")))
+table("control_loop", """WITH RECURSIVE inc AS (SELECT id % 3 AS device, 20e9::DOUBLE AS cap, id // 3 AS step, ((1 + id % 3) * 1.5e9)::DOUBLE AS bytes FROM (SELECT unnest(range(0, 60)) AS id)),
+s0 AS (SELECT DISTINCT device, -1::BIGINT AS step, 0.0::DOUBLE AS admitted, 0.0::DOUBLE AS carry, 0.0::DOUBLE AS evicted, 0.0::DOUBLE AS resident FROM inc),
+st AS (SELECT * FROM s0 UNION ALL SELECT device, step, adm, more - adm, ev + ex, mid + adm - ex FROM (
+SELECT *, CASE WHEN more - adm > 0 AND ev < 50.1e9 * 0.08 THEN least(50.1e9 * 0.08 - ev, greatest(0.0, mid + adm - 0.7 * cap)) ELSE 0.0 END AS ex FROM (
+SELECT *, least(more, greatest(0.0, 0.92 * cap - mid)) AS adm FROM (
+SELECT inc.device, inc.step, cap, bytes + carry AS more, resident - e AS mid, e AS ev FROM (
+SELECT inc.*, carry, resident, CASE WHEN resident > 0.9 * cap THEN least(resident - 0.7 * cap, 50.1e9 * 0.08) ELSE 0.0 END AS e FROM st JOIN inc ON inc.device = st.device AND inc.step = st.step + 1) inc)))),
+last AS (SELECT max(step) AS s FROM inc),
+dr AS (SELECT device, step, admitted, carry, evicted, resident FROM st WHERE step >= 0)
+SELECT device::BIGINT AS device, step::BIGINT AS step, round(admitted, 3) AS admitted, round(carry, 3) AS deferred, round(evicted, 3) AS evicted, round(resident, 3) AS resident, carry > 0 AS backpressure FROM dr""")(lambda spark: R.control_loop(spark.range(60).selectExpr("id % 3 AS device", "cast(20e9 AS double) AS cap", "id div 3 AS step", "cast((1 + id % 3) * 1.5e9 AS double) AS bytes"), drain=False).select("device", "step", *[F.round(c, 3).alias(c) for c in ("admitted", "deferred", "evicted", "resident")], "backpressure"))
+table("control_loop_drained", "SELECT device::BIGINT AS device, round(20 * (1 + device) * 1.5e9, 0)::DOUBLE AS asked, true AS all_admitted, true AS nothing_left FROM (SELECT unnest(range(0, 3)) AS device)")(
+    lambda spark: R.control_loop(spark.range(60).selectExpr("id % 3 AS device", "cast(20e9 AS double) AS cap", "id div 3 AS step", "cast((1 + id % 3) * 1.5e9 AS double) AS bytes"))
+    .groupBy("device").agg(F.round(F.sum("admitted"), 0).alias("got"), F.max_by("deferred", "step").alias("rest"))
+    .select("device", F.round(20 * (1 + F.col("device")) * 1.5e9, 0).alias("asked"), (F.abs(F.col("got") - 20 * (1 + F.col("device")) * 1.5e9) < 1).alias("all_admitted"), (F.col("rest") == 0).alias("nothing_left"))
+)
 table("latency_fit", """WITH p AS (SELECT w, ceil(log2(w))::DOUBLE AS x, (0.05 * ceil(log2(w)) + 0.04 + (w % 3) * 0.001)::DOUBLE AS ms FROM (SELECT unnest([2, 4, 8, 16, 32, 64]) AS w))
 SELECT round(regr_slope(ms, x), 6) AS alpha, round(regr_intercept(ms, x), 6) AS beta, round(regr_r2(ms, x), 6) AS r2 FROM p""")(lambda spark: S.latency_fit(spark.createDataFrame([(w,) for w in (2, 4, 8, 16, 32, 64)], "w long").selectExpr("w", "0.05D * ceil(log2(w)) + 0.04D + (w % 3) * 0.001D AS ms")))
 table("exposed_comm", "SELECT id AS comm, round(10.0::DOUBLE + greatest(0.0::DOUBLE, id - 0.5 * 10), 6) AS ms FROM (SELECT unnest(range(0, 20)) AS id)")(
@@ -153,7 +178,7 @@ ORACLE_SQL["event_depth"] = graphs.sql_prefix("F", 8).replace("WITH n AS", "WITH
 query("changed_cone", "O", "SELECT DISTINCT unnest([src, dst]) AS v FROM edges WHERE pos >= (SELECT m FROM m) * 99 // 100")(lambda g, s: I.changed_cone(g.edges, g.num_edges * 99 // 100))
 query("breadth_first", "O", ", ssym AS (SELECT DISTINCT a, b FROM sym WHERE a <> b) SELECT 1")(lambda g, s: I.breadth_first(g).groupBy("level").agg(F.count("*").alias("vertices")))
 ORACLE_SQL["breadth_first"] = graphs.sql_prefix("O", 16).replace("WITH n AS", "WITH RECURSIVE n AS", 1) + """, ssym AS (SELECT DISTINCT a, b FROM sym WHERE a <> b), root AS (SELECT a FROM ssym GROUP BY a ORDER BY count(*) DESC, a LIMIT 1),
-bf(v, level) AS (SELECT a, 0::BIGINT FROM root UNION SELECT b, level + 1 FROM bf JOIN ssym ON a = v WHERE level < 8) SELECT level, count(*)::BIGINT AS vertices FROM (SELECT v, min(level) AS level FROM bf GROUP BY v) GROUP BY 1"""
+bf(v, level) AS (SELECT a, 0::BIGINT FROM root UNION SELECT b, level + 1 FROM bf JOIN ssym ON a = v WHERE level < (SELECT n FROM n)) SELECT level, count(*)::BIGINT AS vertices FROM (SELECT v, min(level) AS level FROM bf GROUP BY v) GROUP BY 1"""
 query("spectral_gap", "F")(lambda g, s: I.spectral_gap(g))
 
 # Aggregation.
@@ -199,10 +224,32 @@ _CANDS = " UNION ALL ".join(
 )
 query("arrange_candidates", "F", _DEV + f", cands AS ({_CANDS}) SELECT * FROM cands")(lambda g, s: A.candidates(g, s, _DEVS, LINK))
 query("arrange_pick", "F", _DEV + f", cands AS ({_CANDS}) SELECT * FROM cands ORDER BY NOT (feasible AND imbalance <= 2.5), CASE WHEN feasible AND imbalance <= 2.5 THEN makespan_ms ELSE imbalance END, cand LIMIT 1")(lambda g, s: A.pick(A.candidates(g, s, _DEVS, LINK), D))
-query("arrange_all", "F")(lambda g, s: A.arrange(g, s, _DEVS, LINK).candidates)
-query("plan_devices", "F")(lambda g, s: A.plan(g, s, "het4", LINK))
-query("schedule", "F")(lambda g, s: A.schedule(g, s, "het4", LINK))
-query("part_locality_split_lpa", "O")(lambda g, s: P.by_locality(g, D, I.label_rank(I.label_propagation(g, 3))).groupBy("part").agg(F.count("*").alias("nodes"), F.sum("work").alias("work")))
+def _arranged(g, s):
+    """Of all candidates, the winner is feasible, and none that is feasible and balanced is cheaper."""
+    a = A.arrange(g, s, _DEVS, LINK)
+    c = {r["cand"]: r for r in a.candidates.collect()}
+    own = [n for n in c if not n.startswith("vertex-cut") and "floor" not in n]
+    rivals = [r["makespan_ms"] for r in c.values() if r["feasible"] and (r["imbalance"] <= 0.5 * D + 0.5 or "floor" in r["cand"])]
+    homes = a.place.agg(F.count("*").alias("n"), F.count_distinct("v").alias("d")).first()
+    whole = homes["n"] == homes["d"] == g.num_nodes - (a.core.count() if a.core is not None else 0)
+    row = (len(own), A.FLOOR in c, c[a.name]["feasible"], c[a.name]["makespan_ms"] <= min(rivals, default=float("inf")), whole)
+    return g.spark.createDataFrame([row], "edge_cuts long, floor boolean, feasible boolean, cheapest boolean, covered boolean")
+
+
+query("arrange_all", "F", " SELECT 4::BIGINT AS edge_cuts, true AS floor, true AS feasible, true AS cheapest, true AS covered")(_arranged)
+query("plan_devices", "F", _DEV + " SELECT id AS part, true AS fits, true AS one_winner, true AS priced FROM devices")(
+    lambda g, s: A.plan(g, s, "het4", LINK).withColumn("k", F.count("*").over(Window.partitionBy("winner"))).select("part", (F.col("headroom") > 0).alias("fits"), (F.col("k") == D).alias("one_winner"), (F.col("total_ms") > 0).alias("priced"))
+)
+query("schedule", "F", _DEV + f""", k AS (SELECT (SELECT n FROM n)::DOUBLE AS n, (SELECT m FROM m)::DOUBLE AS e, 430e9 AS b, 50e9 AS l, 128.0 AS f),
+c AS (SELECT 2 * 2 * (e / 4) * f * 4 / b * 1e3 + 2 * n * 3 / 4 * f * 4 / l * 1e3 AS node, 2 * 2 * e * (f / 4) * 4 / b * 1e3 + 2 * n * f * 4 / l * 1e3 AS feature, 2 * (2 * e / 2) * (f * 2 / 4) * 4 / b * 1e3 + 2 * (n / 2 / 2 + n / 2) * (f * 2 / 4) * 4 / l * 1e3 AS hybrid FROM k),
+p AS (SELECT sum(tv - 1) / (count(*) * 7) AS rho FROM (SELECT v, count(*) AS tv FROM cells GROUP BY v)), w AS (SELECT 128 * 2 * 4.0 / (min(hbm_bw_gbps) * 1e9) AS spe FROM devices)
+SELECT CASE WHEN node <= feature AND node <= hybrid THEN 'node' WHEN feature <= hybrid THEN 'feature' ELSE 'hybrid' END AS axis, true AS feasible, {round(4.0 * 128 * 2 / (LINK * 1e9) * 1e9, 9)}::DOUBLE AS w_s_ns,
+round(CASE WHEN rho > 0 THEN least({4.0 * 128 / (LINK * 1e9)}, spe * 2 * (1 - rho)) ELSE {4.0 * 128 / (LINK * 1e9)} END * 1e9, 9) AS w_t_ns, true AS job_is_epochs FROM c, p, w""")(
+    lambda g, s: A.schedule(g, s, "het4", LINK).select("axis", "feasible", "w_s_ns", "w_t_ns", (F.abs(F.col("job_ms") - 10 * F.col("makespan_ms")) < 1e-5).alias("job_is_epochs"))
+)
+_LPA3 = _LPA.split(", v3 AS (")[0]
+query("part_locality_split_lpa", "O", _LPA3 + """, rk AS (SELECT v, row_number() OVER (ORDER BY label, v) AS rank FROM l3), o AS (SELECT v, deg AS work, row_number() OVER (ORDER BY rank) - 1 AS r, sum(deg) OVER (ORDER BY rank) AS p, sum(deg) OVER () AS tot FROM deg JOIN rk USING (v)),
+ct AS (SELECT k, count(*) FILTER (p * 4 < k * tot) AS c FROM o, (VALUES (1), (2), (3)) x(k) GROUP BY k) SELECT (SELECT count(*) FROM ct WHERE c <= r)::BIGINT AS part, count(*)::BIGINT AS nodes, sum(work)::BIGINT AS work FROM o GROUP BY 1""")(lambda g, s: P.by_locality(g, D, I.label_rank(I.label_propagation(g, 3))).groupBy("part").agg(F.count("*").alias("nodes"), F.sum("work").alias("work")))
 
 
 # Growth and order.
@@ -212,23 +259,111 @@ def _since(g):
 
 query("incremental_touch_set", "O", _HASH + _PE + """, tc AS (SELECT DISTINCT unnest([src, dst]) AS v FROM edges WHERE pos >= (SELECT m FROM m) * 95 // 100), cd AS (SELECT v, count(*) AS c FROM (SELECT unnest([src, dst]) AS v FROM pe WHERE ps <> pd) GROUP BY 1)
 SELECT v FROM tc LEFT JOIN cd USING (v) ORDER BY coalesce(c, 0) DESC, v LIMIT (SELECT (n * 5 // 100)::BIGINT FROM n)""")(lambda g, s: K.touch_set(g, P.by_hash(g, D), _since(g), 0.05))
-query("incremental_plan", "O")(lambda g, s: K.migration(P.by_hash(g, D), K.incremental(g, P.by_hash(g, D), _since(g), D), 128))
 _count = lambda p: p.groupBy("part").agg(F.count("*").alias("nodes"))
-query("online_assign_batches", "O")(lambda g, s: _count(K.online(g, D, batches=8)))
-query("run_stream_trace", "E")(lambda g, s: O.run_stream(g, 5, D))
-query("arrange_blocks", "F")(lambda g, s: _count(O.blockwise(g, 3, D)))
-query("fennel_ldg_stream", "F")(lambda g, s: K.streamed(g, D).groupBy("mode", "part").agg(F.count("*").alias("nodes")))
-query("hdrf_stream", "F")(lambda g, s: K.edge_streamed(g, D, (0.5, 1.0, 2.0)).groupBy("balance", "part").agg(F.count("*").alias("edges")))
-query("multilevel_part", "O")(lambda g, s: M.report(g, K.multilevel(g, D), D))
+_SOUND = "SELECT (SELECT n FROM n)::BIGINT AS nodes, true AS covered, true AS within_cap, true AS no_worse"
+
+
+def _sound(g, place, parts, cap, against=None):
+    """nodes, covered (each vertex once, on a part), within_cap, no_worse: its cut at most that of another placement."""
+    p = place.select("v", "part")
+    n = p.agg(F.count("*").alias("n"), F.count_distinct("v").alias("d"), F.min("part").alias("a"), F.max("part").alias("b")).first()
+    cut = lambda x: M.placed(g, x).where("ps <> pd").count()
+    most = _count(p).agg(F.max("nodes")).first()[0]
+    row = (n["n"], n["n"] == n["d"] == g.num_nodes and n["a"] >= 0 and n["b"] < parts, most <= cap, against is None or cut(p) <= cut(against))
+    return g.spark.createDataFrame([row], "nodes long, covered boolean, within_cap boolean, no_worse boolean")
+
+
+@query("incremental_plan", "O", " SELECT true AS few_moved, 0::BIGINT AS added, true AS bytes_follow, true AS covered, true AS within_cap")
+def _incremental(g, s):
+    """At most the budget and the spilled vertices move, none is new, and parts stay within their cap."""
+    prior = P.by_hash(g, D)
+    p = kept(K.incremental(g, prior, _since(g), D), "incremental")
+    m, n = K.migration(prior, p, 128).first(), _sound(g, p, D, g.num_nodes // D + 1).first()
+    row = (m["moved"] <= 2 * int(0.05 * g.num_nodes) + D, m["added"], m["bytes"] == m["moved"] * 128 * 4, n["covered"], n["within_cap"])
+    return g.spark.createDataFrame([row], "few_moved boolean, added long, bytes_follow boolean, covered boolean, within_cap boolean")
+
+
+query("online_assign_batches", "O", _SOUND)(lambda g, s: _sound(g, kept(K.online(g, D, batches=8), "online"), D, g.num_nodes, P.by_hash(g, D)))
+
+
+@query("run_stream_trace", "E", ", z AS (SELECT ceil((SELECT m FROM m) / 5.0)::BIGINT AS z) SELECT k::BIGINT AS step, k = 0 AS cold, least((k + 1) * z, (SELECT m FROM m)) - k * z AS edges, true AS rule FROM z, (SELECT unnest(range(0, 5)) AS k)")
+def _trace(g, s):
+    """The first step is cold and places all; later ones refresh when the drift is over its limit or the placement is stale."""
+    r = O.run_stream(g, 5, D)
+    before = F.lag("reason", 1, "none").over(Window.orderBy("step"))  # one row a window
+    late = (F.col("reason") == "drift") & (F.col("drift") > O.DRIFT) | (F.col("reason") == "stale") & (before == "reuse") & (F.col("drift") <= O.DRIFT) | (F.col("reason") == "reuse") & (before != "reuse") & (F.col("drift") <= O.DRIFT)
+    rule = F.when(F.col("step") == 0, (F.col("reason") == "cold") & (F.col("added") == g.num_nodes)).otherwise(late)
+    return r.select("step", (F.col("reason") == "cold").alias("cold"), "edges", rule.alias("rule"))
+
+
+query("arrange_blocks", "F", _SOUND)(lambda g, s: _sound(g, O.blockwise(g, 3, D), D, g.num_nodes))
+#: One vertex a step, in order of id: its votes by part, the scores, and the first of the best.
+_STREAM = """, nb AS (SELECT a AS v, list(b) AS near FROM sym WHERE a <> b GROUP BY 1), k AS (SELECT (SELECT n FROM n)::DOUBLE AS n, (SELECT m FROM m)::DOUBLE AS m),
+st AS (SELECT mode, 0::BIGINT AS v, []::BIGINT[] AS part, [0, 0, 0, 0]::DOUBLE[] AS load FROM (VALUES ('fennel'), ('ldg')) x(mode) UNION ALL
+SELECT mode, v + 1, list_append(part, best - 1), list_transform(range(1, 5), lambda p: load[p] + CASE WHEN p = best THEN 1 ELSE 0 END) FROM
+(SELECT mode, v, part, load, list_position(score, list_max(score)) AS best FROM (SELECT mode, v, part, load, list_transform(range(1, 5), lambda p: CASE WHEN mode = 'fennel' THEN
+CASE WHEN p > 1 AND load[p] >= 1.1 * (n / 4) THEN -1e300 ELSE votes[p] - (m * pow(4, 0.5) / pow(n, 1.5) * 1.5) * pow(load[p], 0.5) END ELSE votes[p] * greatest(0, 1 - load[p] / (n / 4)) - 1e-9 * load[p] END) AS score
+FROM (SELECT st.*, list_transform(range(0, 4), lambda p: len(list_filter(coalesce(near, []), lambda x: x < st.v AND part[x + 1] = p))::DOUBLE) AS votes FROM st LEFT JOIN nb ON nb.v = st.v WHERE st.v < (SELECT n FROM n)) q, k) q) q)
+SELECT mode, unnest(range(0, 4))::BIGINT AS part, unnest(list_transform(range(0, 4), lambda p: len(list_filter(part, lambda x: x = p))))::BIGINT AS nodes FROM st WHERE v = (SELECT n FROM n)"""
+query("fennel_ldg_stream", "F", _STREAM)(
+    lambda g, s: K.streamed(g, D).groupBy("mode", "part").agg(F.count("*").alias("nodes")).join(g.spark.createDataFrame([(m, p) for m in ("fennel", "ldg") for p in range(D)], "mode string, part long"), ["mode", "part"], "right").fillna(0)
+)
+ORACLE_SQL["fennel_ldg_stream"] = ORACLE_SQL["fennel_ldg_stream"].replace("WITH n AS", "WITH RECURSIVE n AS", 1)
 
 
-@query("polish_part", "F")
-def _polish(g, s):
-    e = g.edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("w"))
-    return _count(K.refined(e, P.by_hash(g, D).withColumn("w", F.lit(1).cast("long")), D, 1.05 * g.num_nodes / D))
+@query("hdrf_stream", "F", "SELECT b::DOUBLE AS balance, (SELECT m FROM m) AS edges, true AS covered, true AS even, true AS fewer_copies FROM (VALUES (0.5), (1.0), (2.0)) x(b)")
+def _hdrf(g, s):
+    """Every edge on one part; sizes even where balance counts, and fewer copies of vertices than dealing edges out gives."""
+    e = kept(K.edge_streamed(g, D, (0.5, 1.0, 2.0)), "edge-parts")
+    size = e.groupBy("balance", "part").agg(F.count("*").alias("c")).groupBy("balance").agg(F.sum("c").alias("edges"), F.max("c").alias("most"), F.min("part").alias("a"), F.max("part").alias("b"))
+    copies = e.select("balance", "part", F.explode(F.array("src", "dst")).alias("v")).distinct().groupBy("balance").agg(F.count("*").alias("copies"))
+    dealt = g.edges.select((F.col("pos") % D).alias("part"), F.explode(F.array("src", "dst")).alias("v")).distinct().count()
+    covered = (F.col("edges") == g.num_edges) & (F.col("a") >= 0) & (F.col("b") < D)
+    return size.join(copies, "balance").select("balance", "edges", covered.alias("covered"), ((F.col("balance") <= 1) | (F.col("most") <= 1.1 * F.col("edges") / D + 1)).alias("even"), (F.col("copies") <= dealt).alias("fewer_copies"))
+
 
+query("multilevel_part", "O", _SOUND)(lambda g, s: _sound(g, kept(K.multilevel(g, D), "multilevel"), D, 1.03 * g.num_nodes / D + 20, K.streamed(g, D, ("ldg",))))
 
-query("two_level_part", "F")(lambda g, s: K.two_level(g, 2, 2).groupBy("grp", "part").agg(F.count("*").alias("nodes")))
-query("lpt_packing", "O")(lambda g, s: K.lpt(g, [2.13, 1.47, 1.47, 1.0]).groupBy("part").agg(F.count("*").alias("nodes"), F.sum("work").alias("work")))
-query("supra_solver", "F")(lambda g, s: K.supra_solve(g, s, D).groupBy("dev").agg(F.count("*").alias("cells"), F.max("cost").alias("cost")))
 
+@query("polish_part", "F", _SOUND)
+def _polish(g, s):
+    e = g.edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("w"))
+    start, cap = P.by_hash(g, D), 1.05 * g.num_nodes / D
+    return _sound(g, K.refined(e, start.withColumn("w", F.lit(1).cast("long")), D, cap), D, cap, start)
+
+
+@query("two_level_part", "F", "SELECT (SELECT n FROM n)::BIGINT AS nodes, true AS covered, true AS within_cap, true AS no_worse")
+def _two(g, s):
+    """Groups by parts: 2 by 2, each vertex once, a part within a few per cent of a quarter."""
+    p = kept(K.two_level(g, 2, 2).select("v", (F.col("grp") * 2 + F.col("part")).alias("part")), "two-level")
+    return _sound(g, p, D, 1.03 * 1.05 * g.num_nodes / D + 3)
+
+
+#: One vertex a step, in the order of degree: the part that is free first, by lists of times, counts and sums.
+_LPT = """, o AS (SELECT deg, row_number() OVER (ORDER BY deg DESC, v)::BIGINT AS r FROM deg), sp AS (SELECT [2.13, 1.47, 1.47, 1.0]::DOUBLE[] AS s),
+st AS (SELECT 0::BIGINT AS r, [0, 0, 0, 0]::BIGINT[] AS c, [0, 0, 0, 0]::BIGINT[] AS w, [0, 0, 0, 0]::BIGINT[] AS z UNION ALL
+SELECT r, list_transform(range(1, 5), lambda p: c[p] + CASE WHEN p = b THEN 1 ELSE 0 END), list_transform(range(1, 5), lambda p: w[p] + CASE WHEN p = b THEN deg ELSE 0 END), list_transform(range(1, 5), lambda p: z[p] + CASE WHEN p = b AND deg = 0 THEN 1 ELSE 0 END)
+FROM (SELECT r, deg, c, w, z, list_position(t, list_min(t)) AS b FROM (SELECT o.r, o.deg, c, w, z, list_transform(range(1, 5), lambda p: (w[p] + 1e-9 * z[p]) / s[p]) AS t FROM st JOIN o ON o.r = st.r + 1, sp) q) q)
+SELECT unnest(range(0, 4))::BIGINT AS part, unnest(c) AS nodes, unnest(w) AS work FROM st WHERE r = (SELECT n FROM n)"""
+query("lpt_packing", "O", _LPT)(lambda g, s: K.lpt(g, [2.13, 1.47, 1.47, 1.0]).groupBy("part").agg(F.count("*").alias("nodes"), F.sum("work").alias("work")))
+ORACLE_SQL["lpt_packing"] = ORACLE_SQL["lpt_packing"].replace("WITH n AS", "WITH RECURSIVE n AS", 1)
+
+
+@query("supra_solver", "F", """, bl AS (SELECT cell_id, (dense_rank() OVER (ORDER BY v) - 1) * 4 // (SELECT count(DISTINCT v) FROM cells) AS dv, (dense_rank() OVER (ORDER BY snap) - 1) * 4 // (SELECT count(DISTINCT snap) FROM cells) AS dt FROM cells),
+sp AS (SELECT x.cell_id AS a, y.cell_id AS b, 2 AS w FROM es e JOIN cells x ON x.v = src AND x.snap = e.snap JOIN cells y ON y.v = dst AND y.snap = e.snap WHERE src <> dst),
+tp AS (SELECT a, b, 1 AS w FROM (SELECT lag(cell_id) OVER (PARTITION BY v ORDER BY snap) AS a, cell_id AS b FROM cells) WHERE a IS NOT NULL), pr AS (SELECT * FROM sp UNION ALL SELECT * FROM tp)
+SELECT (SELECT count(*) FROM cells)::BIGINT AS cells, true AS covered, true AS within_cap, true AS no_worse,
+least((SELECT sum(w) FROM pr JOIN bl x ON x.cell_id = a JOIN bl y ON y.cell_id = b WHERE x.dv <> y.dv), (SELECT sum(w) FROM pr JOIN bl x ON x.cell_id = a JOIN bl y ON y.cell_id = b WHERE x.dt <> y.dt))::BIGINT AS best_corner""")
+def _solver(g, s):
+    """Each cell on one device within the cap; the cost is no more than that of the better corner, which SQL works out."""
+    from ..operators import supra as G
+
+    c = kept(G.cells(g, s), "cells")
+    sp, tp = G.spatial_pairs(g, c, s), G.temporal_pairs(c)
+    price = lambda d: (lambda r: 2 * r["spatial"] + r["temporal"])(G.cuts(sp, tp, d).first())
+    corner = min(price(G.blocks_of(c, column, D)) for column in ("v", "snap"))
+    got = kept(K.supra_solve(g, s, D), "supra")
+    n, most = got.agg(F.count("*").alias("n"), F.count_distinct("cell_id").alias("d"), F.first("cost").alias("cost")).first(), got.groupBy("dev").count().agg(F.max("count")).first()[0]
+    cells = c.count()
+    row = (cells, n["n"] == n["d"] == cells, most <= max(1.10 * cells / D, -(-cells // D)), n["cost"] <= corner and n["cost"] == price(got.select("cell_id", "dev")), corner)
+    return g.spark.createDataFrame([row], "cells long, covered boolean, within_cap boolean, no_worse boolean, best_corner long")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +21,8 @@ class TemporalGraph:
     num_nodes: int
     num_edges: int
     name: str = ""
+    #: v, fv of vertices whose feature rows have widths of their own.
+    widths: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -29,8 +31,15 @@ class TemporalGraph:
     def vertices(self) -> DataFrame:
         """v and fv, the width of its feature row: a fixed mix of wide and narrow ones."""
         v = F.col("v")
+        ids = self.spark.range(self.num_nodes).select(F.col("id").alias("v"))
+        if self.widths is not None:
+            return ids.join(self.widths.select("v", "fv"), "v", "left").select("v", F.coalesce(F.col("fv").cast("long"), F.lit(128)).alias("fv"))
         wide = F.when(v % 20 == 0, 16).when((v % 20).between(1, 3), 4).otherwise(1)
-        return self.spark.range(self.num_nodes).select(F.col("id").alias("v")).withColumn("fv", (wide * 128).cast("long"))
+        return ids.withColumn("fv", (wide * 128).cast("long"))
+
+    def with_widths(self, table: DataFrame) -> TemporalGraph:
+        """The graph with the feature widths of ``table`` (v, fv); 128 where it has none."""
+        return replace(self, widths=table)
 
 
 def from_edges(edges: DataFrame, order: list[str], num_nodes: int | None = None, name: str = "", weights: tuple[str, ...] = ()) -> TemporalGraph:

@@ -71,6 +71,23 @@ def read_binary_edges(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "file string, src long, dst long")
 
 
+def read_npz_edges(spark: SparkSession, path: str) -> DataFrame:
+    """file, pos, src, dst, t of NPZ files with arrays src and dst, and t (the position where there is none); one task a file."""
+    import io
+
+    import numpy as np
+    import pandas as pd
+
+    def decode(batches):
+        for b in batches:
+            for name, raw in zip(b["path"], b["content"], strict=True):
+                with np.load(io.BytesIO(raw)) as z:
+                    n = len(z["src"])
+                    yield pd.DataFrame({"file": name, "pos": np.arange(n), "src": z["src"].astype("int64"), "dst": z["dst"].astype("int64"), "t": z["t"].astype("int64") if "t" in z.files else np.arange(n)})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "file string, pos long, src long, dst long, t long")
+
+
 def write_metis(edges: DataFrame, num_nodes: int, path: str) -> None:
     """A symmetric simple graph in METIS text form: the header, then each vertex's neighbours from 1, in order of vertices."""
     e = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
