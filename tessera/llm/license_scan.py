@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .license_texts import SPELLINGS, TEXTS
+from .license_texts import DIGESTS, SPELLINGS, TEXTS
 from .shared import read_table
 
 #: Copyright with (c), a placeholder or a year, (c) with either, the sign, or rights reserved alone: not licence text that is wrapped before such a word.
@@ -35,10 +35,11 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(c, " +", " "))
 
 
-def known(spark: SparkSession, texts: dict[str, str] = TEXTS) -> DataFrame:
-    """license_id and digest of each known licence; of equal canonical forms the first id by name."""
-    rows = spark.createDataFrame(sorted(texts.items()), "license_id string, text string")
-    return rows.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+def known(spark: SparkSession, texts: dict[str, str] = TEXTS, digests: dict[str, str] = DIGESTS) -> DataFrame:
+    """license_id and digest of each known licence, by its text or by its digest; of equal canonical forms the first id by name."""
+    rows = spark.createDataFrame(sorted(texts.items()), "license_id string, text string").select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest"))
+    rows = rows.unionAll(spark.createDataFrame(sorted(digests.items()), "license_id string, digest string"))
+    return rows.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, licenses: DataFrame | None = None, text: str = "text") -> DataFrame:
@@ -64,8 +65,9 @@ def _sql() -> str:
 
     q = lambda s: "'" + s.replace("'", "''") + "'"
     return f"""
-WITH k AS (SELECT sha256({canon("text")}) AS digest, min(license_id) AS license_id
-           FROM (VALUES {", ".join(f"({q(a)}, {q(b)})" for a, b in sorted(TEXTS.items()))}) AS v(license_id, text) GROUP BY 1),
+WITH k AS (SELECT digest, min(license_id) AS license_id FROM (SELECT license_id, sha256({canon("text")}) AS digest
+           FROM (VALUES {", ".join(f"({q(a)}, {q(b)})" for a, b in sorted(TEXTS.items()))}) AS v(license_id, text)
+           UNION ALL SELECT * FROM (VALUES {", ".join(f"({q(a)}, {q(b)})" for a, b in sorted(DIGESTS.items()))}) AS v(license_id, digest)) GROUP BY 1),
 c AS (SELECT doc_id, {canon("text")} AS canon FROM documents),
 d AS (SELECT doc_id, length(canon)::BIGINT AS canon_chars, sha256(canon) AS digest FROM c)
 SELECT doc_id, canon_chars, digest, license_id, license_id IS NOT NULL AS is_license FROM d LEFT JOIN k USING (digest)
