@@ -9,7 +9,9 @@ go up from the leaves and down from the root, and a leaf whose marginal says
 content is a block of the text.
 
 The labelled pages come from ``labelled_pages``: layouts of many kinds, each
-with its content marked, filled with invented words by a fixed rule.
+with its content marked, filled with invented words by a fixed rule. A share of
+them, ``NAMELESS``, has no telling tags or names; such pages have weights and
+potentials of their own. Marks are only read from training pages.
 
 Defined results: a null or empty page, or one without content, gives the empty
 text; character references are decoded, white space inside a block (line breaks
@@ -226,6 +228,15 @@ def _kind(tag: str) -> str:
     return "h" if len(tag) == 2 and tag[0] == "h" and tag[1].isdigit() else tag
 
 
+def nameless(t: Tree) -> bool:
+    """Nothing on the page tells what it is for: it has features and potentials of its own, how much text an element has and how much of that is links."""
+    return not any(t.cues) and not any(x in TELLING for x in t.tag)
+
+
+def _pair_kind(t: Tree, i: int, plain: bool) -> str:
+    return f"{_kind(t.tag[i])}~" if plain else _kind(t.tag[i])
+
+
 def _linkage(linked: int, n: int) -> int:
     return 0 if not linked else 1 if 2 * linked < n else 2
 
@@ -238,12 +249,11 @@ def node_features(t: Tree) -> list[list[str]]:
         size[p] += size[i]
         linked_[p] += linked_[i]
         leaves[p] += leaves[i]
-    named = any(any(c) for c in t.cues) or any(x in TELLING for x in t.tag)
+    plain = nameless(t)
     out = []
     for i, (tag, parent, cues, text, linked) in enumerate(zip(t.tag, t.parent, t.cues, t.text, t.linked, strict=True)):
         f = [f"t:{_kind(tag)}", *(f"c:{c}" for c in cues)]
-        if not named and tag != LEAF:
-            # Nothing on the page tells what it is for: how much text an element has, and how much of that is links.
+        if plain and tag != LEAF:
             f.append(f"sub:{_linkage(linked_[i], size[i])}:{min(int(math.log2(size[i] + 1)) // 2, 5)}:{min(int(math.log2(leaves[i] + 1)), 3)}")
         if tag == LEAF:
             n = len(text)
@@ -252,7 +262,7 @@ def node_features(t: Tree) -> list[list[str]]:
                 f.append("stop")
             if "©" in text or "(c)" in text[:40].lower():
                 f.append("copyright")
-        out.append(f)
+        out.append([f"{x}~" for x in f] if plain else f)
     return out
 
 
@@ -271,7 +281,8 @@ class Model:
         n, weights, pair = len(t.tag), self.weights, self.pair
         unary = [sum(weights.get(x, 0.0) for x in f) for f in node_features(t)]
         unary = [self.leaf * u if tag == LEAF else u for u, tag in zip(unary, t.tag, strict=True)]
-        pot = [pair.get(_kind(tag), self.default) for tag in t.tag]
+        plain = nameless(t)
+        pot = [pair.get(_pair_kind(t, i, plain), self.default) for i in range(n)]
         # A message is the log-odds that it says; belief: unary and messages of the children.
         up, belief = [0.0] * n, unary[:]
         for i in range(n - 1, 0, -1):
@@ -306,7 +317,8 @@ def fit(pages: list[str], ridge: float = 0.5, rounds: int = 250) -> Model:
         for f, y in zip(node_features(t), t.label, strict=True):
             if y is not None:
                 seen.setdefault(tuple(f), [0, 0])[y] += 1
-        pairs += [(_kind(t.tag[i]), t.label[t.parent[i]], t.label[i]) for i in range(1, len(t.tag)) if t.label[i] is not None and t.label[t.parent[i]] is not None]
+        plain = nameless(t)
+        pairs += [(_pair_kind(t, i, plain), t.label[t.parent[i]], t.label[i]) for i in range(1, len(t.tag)) if t.label[i] is not None and t.label[t.parent[i]] is not None]
     names = sorted({x for f in seen for x in f})
     index = {x: i for i, x in enumerate(names)}
     x, count = np.zeros((len(seen), len(names))), np.array(list(seen.values()), float)
@@ -381,7 +393,7 @@ def labelled_pages(n: int = 600, seed: int = 20) -> list[str]:
 
     def unnamed(inner: str, label: int) -> str:
         """An element that nothing tells what it is for."""
-        tag = r.choice(("div", "div", "section"))
+        tag = r.choice(("div", "div", "section", "td"))
         return f"<{tag}{r.choice(('', f' class={word()}', f' id={word()}{r.randint(1, 99)}', ' style=margin:0'))} data-main=\"{label}\">{inner}</{tag}>"
 
     def named(kind: str, tags: tuple[str, ...], inner: str, bare: float = 0.4) -> str:
