@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import dropped, written
 
 MAX_ROUNDS = 60
 
@@ -26,7 +26,8 @@ def components(links: DataFrame) -> DataFrame:
         step = labels.join(near.withColumnRenamed("u", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "l").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
         step = step.join(up, "label").select("node", "old", F.least("label", "top").alias("label"))
-        step = written(step, "labels")
+        before, step = labels, written(step, "labels")
+        dropped(before)
         labels = step.select("node", "label")
         if step.where("old <> label").limit(1).count() == 0:
             return labels.withColumnRenamed("label", "component")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -34,10 +35,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` after an eager reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and that nothing will read again; other frames are left alone."""
+    for df in tables:
+        spark = df.sparkSession
+        top = shared_dir(spark).split(":", 1)[-1].lstrip("/")
+        for at in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if at.rsplit("/", 1)[-1].startswith("tessera-") and top in at:
+                path = spark._jvm.org.apache.hadoop.fs.Path(at)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,10 +78,15 @@ def rows_per_batch(spark: SparkSession, n: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now; else they stay until the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def release(spark: SparkSession, last: bool = False) -> None:
+    """Let Spark delete the shuffle files of finished steps now; else they stay until the driver's garbage is collected.
+
+    What has just ended may still be on its way to Spark's listeners; with ``last`` it is waited for.
+    """
+    for wait in (0, 1) if last else (0,):
+        time.sleep(wait)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 #: Rows of whole texts that an Arrow batch holds at most; Spark's own default of 10,000 is tens of megabytes a batch.
