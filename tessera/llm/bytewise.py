@@ -1,7 +1,7 @@
 """Vectorised words, word hashes and n-gram hashes over Arrow string buffers.
 
 A column's texts are handled as one run of UTF-8 bytes with offsets, in chunks
-of about half a megabyte, so the memory a task needs does not depend on how many
+of about a quarter of a megabyte, so the memory a task needs does not depend on how many
 rows an Arrow batch has. Hashes are polynomials modulo 2**64 over bytes (words)
 or over word hashes (n-grams), each passed through a bijective mixer.
 """
@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 BLOCK_WORDS = 1 << 18
 #: White space of the word pattern ``[^\x20\x09-\x0D]+``.
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
@@ -44,7 +45,6 @@ class Powers:
 
 BYTE_POWERS = Powers(0x9E3779B97F4A7C15 | 1)
 GRAM_POWERS = Powers(0xD1342543DE82EF95)
-SECOND_POWERS = Powers(0xAF251AF3B0F025B5)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -110,6 +110,30 @@ def words(chunk: Chunk, separators: np.ndarray = _IS_SEP) -> Words:
     return Words(start, end, np.searchsorted(start, chunk.offsets))
 
 
+class Joined:
+    """A chunk's words with one space after each, for cryptographic digests of runs of words."""
+
+    def __init__(self, chunk: Chunk, w: Words):
+        n = len(chunk.data)
+        keep = ~_IS_SEP[chunk.data]
+        keep[w.end[w.end < n]] = True  # a separator, or the first word of the next text
+        at = np.concatenate([[0], np.cumsum(keep)])
+        self.first, self.last = at[w.start], at[w.end]
+        self.data = np.where(_IS_SEP[chunk.data], np.uint8(32), chunk.data)[keep].tobytes()
+
+    def digests(self, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit halves of the BLAKE2b digest of words ``first..stop - 1`` of each run, joined by a space."""
+        data = self.data
+        raw = b"".join([blake2b(data[a:b], digest_size=16).digest() for a, b in zip(self.first[first].tolist(), self.last[stop - 1].tolist(), strict=True)])
+        both = np.frombuffer(raw, dtype="<i8").reshape(-1, 2)
+        return both[:, 0], both[:, 1]
+
+
+def digest_of(words: list[str]) -> int:
+    """The first half of ``Joined.digests``."""
+    return int.from_bytes(blake2b(" ".join(words).encode(), digest_size=16).digest()[:8], "little", signed=True)
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     """A-Z to a-z; other bytes as they are."""
     return _LOWER[data]

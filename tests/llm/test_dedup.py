@@ -91,7 +91,7 @@ def test_substring_index_grows_by_batches_and_compacts(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     one = {tuple(r) for r in S.repeats(docs, batches=1).collect()}
     many = {tuple(r) for r in S.repeats(docs, path=f"file://{tmp_path}/index", batches=5, fanout=2).collect()}
-    cover = lambda rs: {(d, k) for d, s, n in rs for k in range(s, s + n)}
+    cover = lambda rs: {(d, k) for d, s, n, _ in rs for k in range(s, s + n)}
     assert cover(one) == cover(many)
     index = S.Index.open(spark, f"file://{tmp_path}/index", 2)
     assert 1 <= len(index.runs) < 5 and max(level for level, _ in index.runs) >= 1
@@ -106,6 +106,31 @@ def test_substring_texts_and_extra_columns(spark):
     assert out[1].text == p and out[4].text is None and out[None].text == p
 
 
+def test_substring_index_in_a_later_session(spark, tmp_path):
+    """A batch is added to an index that was opened anew; what is removed from it is as if all had come at once."""
+    import pytest
+
+    rows = corpus(6, 40)
+    path, at = f"file://{tmp_path}/index", 30
+    first, later = (spark.createDataFrame(x, "doc_id long, text string") for x in (rows[:at], rows[at:]))
+    S.deduplicated(first, path=path).collect()
+    with pytest.raises(ValueError):
+        S.repeats(later, path=path)
+    got = {r.doc_id: (r.text, r.n_removed) for r in S.deduplicated(later, path=path, earlier=first).collect()}
+    both = {r.doc_id: (r.text, r.n_removed) for r in S.deduplicated(first.unionAll(later)).collect() if r.doc_id >= at}
+    want = plain_substrings(rows)
+    assert got == both and all(got[i][1] == want[i][1] for i in got) and any(n for _, n in got.values())
+
+
+def test_substrings_of_shared_ids_and_clashing_names(spark):
+    p, q = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(70))
+    rows = [(1, p, 1, "a"), (5, f"x {p}", 2, "b"), (5, q, 3, "c"), (5, "short", 4, "d"), (5, f"x {p}", 2, "b"), (7, q, 5, "e"), (8, f"{p} {q} end", 6, "f")]
+    docs = spark.createDataFrame([(*r, None) for r in rows], "doc_id int, text string, n_removed int, _gone string, start string")
+    out = S.deduplicated(docs)
+    assert out.columns == ["doc_id", "text", "_gone", "start", "n_removed"]
+    assert sorted((r.doc_id, r._gone, r.text, r.n_removed) for r in out.collect()) == [(1, "a", p, 0), (5, "b", "x", 60), (5, "b", "x", 60), (5, "c", q, 0), (5, "d", "short", 0), (8, "f", "end", 130)]
+
+
 def test_substrings_of_nothing(spark, tmp_path):
     assert query(spark, S.op1_substring_dedup, tmp_path, "documents", spark.createDataFrame([], "doc_id long, text string")) == []
 
@@ -135,6 +160,19 @@ def test_jaccard_edges(spark):
     assert sorted((r.doc_id or -1, r.component or -1) for r in J.classes(docs).collect()) == [(-1, -1), (-1, 2), (2, 2), (5, 2), (5, 2), (7, 7)]
     kept = J.representatives(docs).collect()
     assert sorted((r.doc_id or -1) for r in kept) == [-1, -1, 2, 7]
+    # Two texts under one id, the second like an earlier document; names that the operator uses itself.
+    texts = [(2, "a b c d e f"), (3, "k l m n o p"), (3, "a b c d e f"), (3, "k l m n o p")]
+    more = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in texts], "doc_id int, text string, hash int, d int, component int")
+    assert sorted((r.doc_id, r.text) for r in J.representatives(more).collect()) == [(2, "a b c d e f"), (3, "k l m n o p")]
+    assert J.representatives(more).columns == more.columns and J.representatives(more.limit(0)).collect() == []
+
+
+def test_suffix_filter_is_an_upper_bound():
+    r = np.random.default_rng(0)
+    for _ in range(300):
+        x, y = (np.unique(r.integers(0, 60, r.integers(0, 40))).astype(np.uint64) for _ in range(2))
+        assert J.most_shared(x, y) >= len(np.intersect1d(x, y))
+    assert J.most_shared(np.arange(64), np.arange(64)) == 64 and J.most_shared(np.arange(64), np.arange(64) + 1000) < 10
 
 
 def test_embeddings(spark, tmp_path):
