@@ -12,10 +12,13 @@ the code is off (each vector's quantisation error is stored), may be a link is
 reranked by its exact cosine in double precision. So codes lose no link and only
 save exact work; probes may lose one (measured: recall above 0.9999).
 
-Lists are cut into blocks of ``BLOCK`` vectors by position, queries of a list
-into groups, so a list that holds a third of all rows is many tasks, and no
-task gets more than a block and a group. A task doesn't give its links one by
-one but each vector's number of them and a spanning forest of them.
+Equal vectors are one node with a weight, so a group of copies costs no more than
+one of them. Lists are cut into blocks of ``BLOCK`` nodes by position, queries of
+a list into groups, so a list that holds a third of all nodes is many tasks, and
+no task gets more than a block and a group. A task doesn't give its links one by
+one but each node's number of them and a spanning forest of them. There are at
+most ``MAX_LISTS`` lists, as many as the sample can fit: beyond about 260,000
+different vectors lists grow longer, and so does the work for each vector.
 
 Defined results: vectors that are null, zero, of another length than most, or
 with null or non-finite components link with nothing and are components of their
@@ -26,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .sampling import share
-from .shared import freeing, read_table, written
+from .shared import dropped, freeing, read_table, written
 
 THRESHOLD = 0.95
 SAMPLE = 20_000
@@ -167,7 +171,7 @@ def _forest(q: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def links(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", column: str = "embedding", sample: int = SAMPLE, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(key, n: counts of links to add up; a, b: a spanning forest of the links), both from one written table."""
+    """(key, n: counts of links to add up; a, b: a spanning forest of the links), from written tables."""
     spark = vectors.sparkSession
     v = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     sizes = v.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -198,14 +202,19 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id",
                 continue
             cell, code, off = q.encode(_unit(raw, kind, dim))
             ids = b.column(0).take(pa.array(at))
+            same = pa.array([blake2b(x, digest_size=16).digest() for x in raw], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(cell), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(off), pa.array(raw, pa.binary())], ["id", "cell", "code", "off", "x"]
+                [ids, same, pa.array(cell), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(off), pa.array(raw, pa.binary())], ["id", "same", "cell", "code", "off", "x"]
             )
 
-    table = written(v.mapInArrow(index, "id long, cell long, code binary, off double, x binary"), "index")
+    rows = written(v.mapInArrow(index, "id long, same binary, cell long, code binary, off double, x binary"), "vectors")
+    # Equal vectors are one node, by the least id.
+    table = written(rows.groupBy("same").agg(F.min("id").alias("id"), F.count_distinct("id").alias("w"), *[F.first(c).alias(c) for c in ("cell", "code", "off", "x")]), "index")
+    copies = written(rows.select("id", "same").join(table.where("w > 1").select("same", F.col("id").alias("rep"), "w"), "same").select("id", "rep", "w").distinct(), "copies")
+    dropped(rows)
     # Blocks of a list: as many as its size asks for, dealt by a hash of the id, so that ranks aren't needed.
     count = table.groupBy("cell").agg(F.count("*").alias("c")).select("cell", F.greatest(F.lit(1), F.ceil(F.col("c") / block)).cast("long").alias("blocks"))
-    blocked = table.join(F.broadcast(count), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).select("id", "cell", "block", "code", "off", "x")
+    blocked = table.join(F.broadcast(count), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).select("id", "w", "cell", "block", "code", "off", "x")
 
     @freeing
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,16 +222,16 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id",
         for b in batches:
             for i in range(0, b.num_rows, 1024):
                 part = b.slice(i, 1024)
-                row, cell = q.probes(_unit(part.column(1).to_pylist(), kind, dim), margin)
-                yield pa.RecordBatch.from_arrays([*part.take(pa.array(row)).columns, pa.array(cell.astype(np.int64))], ["id", "x", "cell"])
+                row, cell = q.probes(_unit(part.column(2).to_pylist(), kind, dim), margin)
+                yield pa.RecordBatch.from_arrays([*part.take(pa.array(row)).columns, pa.array(cell.astype(np.int64))], ["id", "w", "x", "cell"])
 
     # A query meets each block of each probed list; the group spreads the queries of a list that many probe.
-    asked = table.select("id", "x").mapInArrow(probe, "id long, x binary, cell long")
+    asked = table.select("id", "w", "x").mapInArrow(probe, "id long, w long, x binary, cell long")
     crowd = written(asked, "queries")
     many = crowd.groupBy("cell").agg(F.count("*").alias("c")).select("cell", F.greatest(F.lit(1), F.ceil(F.col("c") / block)).cast("long").alias("groups"))
     grouped = crowd.join(F.broadcast(many.join(count, "cell")), "cell").withColumn("group", F.pmod(F.xxhash64("id", F.lit(1)), F.col("groups")))
-    left = grouped.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("cell", "block", "group", "id", "x")
-    right = blocked.join(F.broadcast(many), "cell").withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).select("cell", "block", "group", "id", "code", "off", "x")
+    left = grouped.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("cell", "block", "group", "id", "w", "x")
+    right = blocked.join(F.broadcast(many), "cell").withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).select("cell", "block", "group", "id", "w", "code", "off", "x")
 
     def meet(key, one: pa.Table, two: pa.Table) -> pa.Table:
         q = shared.value
@@ -230,7 +239,7 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id",
         none = pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         if not one.num_rows or not two.num_rows:
             return none
-        ids, other = one.column("id").to_numpy(), two.column("id").to_numpy()
+        (ids, other), (weight, weight_other) = ([t.column(c).to_numpy() for t in (one, two)] for c in ("id", "w"))
         y = _unit(two.column("x").to_pylist(), kind, dim)
         code = np.frombuffer(b"".join(two.column("code").to_pylist()), dtype=np.uint8).reshape(len(y), -1)
         off = two.column("off").to_numpy()
@@ -244,14 +253,15 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id",
             a, b = np.nonzero(np.sqrt(d) <= radius + off[None, :] + SLACK)
             if not len(a):
                 continue
-            exact = np.einsum("ij,ij->i", x[a], y[b]) >= threshold if len(a) * 8 < len(x) * len(y) else (x @ y.T)[a, b] >= threshold
+            # One order of summation whatever the block's density, so that a pair at the threshold is judged alike from both ends.
+            exact = np.concatenate([np.einsum("ij,ij->i", x[a[k : k + 65536]], y[b[k : k + 65536]]) for k in range(0, len(a), 65536)]) >= threshold
             a, b = a[exact], b[exact]
             mine = ids[a + i] != other[b]
             a, b = a[mine], b[mine]
             back = q.probed(y[b], cell, nearest(x, q.coarse)[a], margin)
             a += i
-            np.add.at(counts, a, 1)
-            np.add.at(counts_other, b[~back], 1)  # this link shows from here only
+            np.add.at(counts, a, weight_other[b])
+            np.add.at(counts_other, b[~back], weight[a[~back]])  # this link shows from here only
             us.append(ids[a])
             vs.append(other[b])
         if not us or not sum(map(len, us)):
@@ -264,7 +274,10 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id",
 
     by = ["cell", "block", "group"]
     found = written(left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, result), "links")
-    return found.where("id IS NOT NULL").select("id", "n"), found.where("a IS NOT NULL AND a <> b").select("a", "b")
+    own = found.where("id IS NOT NULL").groupBy("id").agg(F.sum("n").alias("n"))
+    other = copies.where("id <> rep")
+    counts = own.unionAll(copies.select("id", (F.col("w") - 1).alias("n"))).unionAll(other.join(written(own, "counts").withColumnRenamed("id", "rep"), "rep").select("id", "n"))
+    return counts, found.where("a IS NOT NULL AND a <> b").select("a", "b").unionAll(other.select("id", "rep"))
 
 
 def classes(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", column: str = "embedding", **options) -> DataFrame:
