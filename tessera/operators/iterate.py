@@ -52,8 +52,9 @@ def coreness(g: TemporalGraph, rounds: int | None = None) -> DataFrame:
     core = g.vertices().select("v").join(sym.groupBy(F.col("a").alias("v")).agg(F.count("*").alias("core")), "v", "left").fillna(0)
     k = 0
     while rounds is None or k < rounds:
-        near = sym.join(core.withColumnRenamed("v", "b"), "b")
-        r = near.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("core"), "b")))
+        # On the counts of equal values, so that a hub is as many rows as its neighbours have values.
+        near = sym.join(core.withColumnRenamed("v", "b"), "b").groupBy("a", "core").agg(F.count("*").alias("c"))
+        r = near.withColumn("r", F.sum("c").over(Window.partitionBy("a").orderBy(F.desc("core")).rowsBetween(Window.unboundedPreceding, 0)))
         h = r.groupBy(F.col("a").alias("v")).agg(F.max(F.least("core", "r")).cast("long").alias("h"))
         step = core.join(h, "v", "left").select("v", F.col("core").alias("old"), F.coalesce("h", "core").alias("core"))
         k += 1

@@ -89,5 +89,7 @@ def hubs(g: TemporalGraph, percent: int) -> DataFrame:
     """v, deg of the ``percent`` % of highest degree, with all that tie with the last of them."""
     k = max(1, g.num_nodes * percent // 100)
     deg = degree(g)
-    last = deg.orderBy(F.desc("deg"), "v").limit(k).agg(F.min("deg").alias("least"))
+    # The degree of the last of them by the counts of degrees, one row each.
+    run = F.sum("c").over(Window.orderBy(F.desc("deg")).rowsBetween(Window.unboundedPreceding, 0))
+    last = deg.groupBy("deg").agg(F.count("*").alias("c")).withColumn("run", run).where(F.col("run") >= k).agg(F.max("deg").alias("least"))
     return deg.join(F.broadcast(last), F.col("deg") >= F.col("least")).select("v", "deg")

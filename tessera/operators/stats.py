@@ -79,9 +79,14 @@ def ingest(g: TemporalGraph, snaps: int, mode: str = "dtdg", compute_stats: bool
 
 
 def gini(values: DataFrame, column: str) -> DataFrame:
-    """gini of a column of non-negative numbers: 2 * sum(rank * x) / (n * sum(x)) - (n + 1) / n; 0 if all are 0."""
-    r = with_position(values.select(column), [column], "r")
-    s = r.agg(F.sum((F.col("r") + 1) * F.col(column)).alias("a"), F.sum(column).alias("b"), F.count("*").alias("n"))
+    """gini of a column of non-negative numbers: 2 * sum(rank * x) / (n * sum(x)) - (n + 1) / n; 0 if all are 0.
+
+    Ranks are taken on the counts of equal numbers, one row each, so no task has all vertices of a degree.
+    """
+    h = values.groupBy(F.col(column).alias("x")).agg(F.count("*").alias("c"))
+    h = h.withColumn("before", F.sum("c").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c"))
+    ranks = F.col("c") * F.col("before") + F.expr("c * (c + 1) div 2")
+    s = h.agg(F.sum(ranks * F.col("x")).alias("a"), F.sum(F.col("x") * F.col("c")).alias("b"), F.sum("c").alias("n"))
     return s.select(F.when(F.col("b") > 0, F.round(2 * F.col("a") / (F.col("n") * F.col("b")) - (F.col("n") + 1) / F.col("n"), 6)).otherwise(0.0).alias("gini"))
 
 
