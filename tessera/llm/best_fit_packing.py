@@ -20,6 +20,7 @@ import string
 import zlib
 from array import array
 from collections.abc import Iterator
+from contextlib import closing
 
 import numpy as np
 import pyarrow as pa
@@ -128,22 +129,25 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
 
     @freeing
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _cache(path)
-        for b in batches:
-            for lo, texts in slices(b.column(1)):
-                rows, ids = [], []
-                for i, x in enumerate(cache.ids(texts), lo):
-                    x = np.append(x, np.array([end_id], dtype="<u4"))
-                    for k, (s, n) in enumerate(cut(len(x), capacity)):
-                        rows.append((i, k, s, n, zlib.crc32(x[s : s + n].tobytes())))
-                        if keep_ids:
-                            ids.append(x[s : s + n].astype(np.int32))
-                at, k, s, n, c = (np.array(v, dtype=np.int64) for v in zip(*rows, strict=True))
-                out = [b.column(0).take(pa.array(at)), pa.array(k.astype(np.int32)), pa.array(s), pa.array(n), pa.array(c)]
-                names = [key, "piece", "start", "length", "ids_crc32"]
-                if keep_ids:
-                    out, names = [*out, pa.array(ids, type=pa.list_(pa.int32()))], [*names, "ids"]
-                yield pa.RecordBatch.from_arrays(out, names)
+        with closing(_cache(path)) as cache:
+            for b in batches:
+                yield from encoded(cache, b)
+
+    def encoded(cache: WordCache, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for lo, texts in slices(b.column(1)):
+            rows, ids = [], []
+            for i, x in enumerate(cache.ids(texts), lo):
+                x = np.append(x, np.array([end_id], dtype="<u4"))
+                for k, (s, n) in enumerate(cut(len(x), capacity)):
+                    rows.append((i, k, s, n, zlib.crc32(x[s : s + n].tobytes())))
+                    if keep_ids:
+                        ids.append(x[s : s + n].astype(np.int32))
+            at, k, s, n, c = (np.array(v, dtype=np.int64) for v in zip(*rows, strict=True))
+            out = [b.column(0).take(pa.array(at)), pa.array(k.astype(np.int32)), pa.array(s), pa.array(n), pa.array(c)]
+            names = [key, "piece", "start", "length", "ids_crc32"]
+            if keep_ids:
+                out, names = [*out, pa.array(ids, type=pa.list_(pa.int32()))], [*names, "ids"]
+            yield pa.RecordBatch.from_arrays(out, names)
 
     return modest_batches(docs).select(key, text).mapInArrow(encode, schema)
 

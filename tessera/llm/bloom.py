@@ -68,10 +68,8 @@ def bloom(keys: DataFrame, tasks: int = 8) -> Bloom:
 def may_hold(df: DataFrame, shared, column: str) -> DataFrame:
     """The rows of ``df`` whose key may be in the broadcast filter; rows with a null key go."""
 
-    @F.pandas_udf("boolean")
-    def passes(keys):
-        import pandas as pd
-
-        return pd.Series(shared.value.may_hold(keys.fillna(0).to_numpy(np.int64)))
+    @F.arrow_udf("boolean")
+    def passes(keys: pa.Array) -> pa.Array:
+        return pa.array(shared.value.may_hold(keys.to_numpy(zero_copy_only=False)))
 
     return df.where(F.col(column).isNotNull() & passes(F.coalesce(F.col(column).cast("long"), F.lit(0))))

@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
-MAX_ENTRIES = 700_000
-SLICE_BYTES = 1 << 20
+#: Chunks that are kept, twice: about 200 bytes each.
+MAX_ENTRIES = 200_000
+SLICE_BYTES = 1 << 19
 
 
 class WordCache:
@@ -38,6 +39,11 @@ class WordCache:
         self.known: dict[str, bytes | None] = {}
         self.before: dict[str, bytes | None] = {}
 
+    def close(self) -> None:
+        """Forget all, and the functions, which refer to the cache in turn: then nothing waits for the garbage collector."""
+        self.known, self.before = {}, {}
+        del self.split, self.encode_chunks, self.encode
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Unsigned 32-bit ids of each text."""
         cut = [self.split(t) for t in texts]
