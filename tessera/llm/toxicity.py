@@ -16,7 +16,8 @@ chunk of texts.
 
 Defined results: null and empty texts have no segment and get the score of a
 text without evidence; repeated rows each get their row; without labels of both
-classes every score is the share of toxic labels (0.5 where there are none).
+classes every score is the share of toxic labels, within 0.001 and 0.999 (0.001 where
+there are none: then nothing is rejected).
 """
 
 from __future__ import annotations
@@ -245,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, key: str
     empty = np.zeros(0, np.uint64)
     if not n_toxic or not n_clean:
         total = sum(sizes.values())
-        share = sum(n for (t, _), n in sizes.items() if t == 1) / total if total else 0.5
+        share = sum(n for (t, _), n in sizes.items() if t == 1) / total if total else 0.0
         share = min(max(share, 1e-3), 1 - 1e-3)
         return Model(empty, np.zeros(0), 1.0, 1.0, 0.0, math.log(share / (1 - share)))
     counts = _counted(sample.where("fold < 4"))
