@@ -1,8 +1,16 @@
 """A corpus pipeline over ``documents``: toxicity, language, near duplicates, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
-each result as Parquet to the shared folder and gives it to the next stage. All
-but the last return the columns of ``documents``.
+each result as Parquet to the shared folder, gives it to the next stage and
+deletes it when that is written. All but the last return the columns of
+``documents``.
+
+Defined results: documents without text or letters go at the second stage, as
+their language can't be told; of rows that repeat an id and a text one stays,
+rows that share an id but not a text are told apart; ties among near duplicates
+go to the least id; rows without an id are neither near duplicates nor give or
+lose passages; an empty table gives an empty result, without labels nothing is
+toxic; extra columns of any name pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -11,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import best_fit_packing, jaccard_join, language_id, substring_dedup, toxicity
-from tessera.llm.shared import read_table, written
+from tessera.llm.shared import dropped, read_table, written
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +63,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        dropped(before)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    dropped(docs)  # the last stage has written its pieces
+    return out
