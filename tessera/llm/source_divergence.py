@@ -23,27 +23,93 @@ other than the three are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import dropped, read_table, written
+from . import bytewise as B
+from .shared import dropped, freeing, modest_batches, read_table, written
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_DOCS, TOP, SCALE = 3, 200, 1_000_000_000
 #: Groups of a block, terms of a chunk, chunks that a task goes through.
 BLOCK, CHUNK, SPAN = 8, 1024, 16
+#: Bytes of text that are counted at once, and (group, term) counts that a task holds before it passes them on.
+TEXT_BYTES, MOST = 1 << 21, 1 << 22
+_NO_TERM = np.array([b < 0x41 or 0x5B <= b < 0x61 or 0x7B <= b < 0x80 for b in range(256)])
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term: occurrences ``n`` and documents ``d``, in one pass with partial sums."""
-    text = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
-    d = docs.select(*_group(), F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("w"))
-    use = lambda n, d: lambda w: F.struct(w.alias("term"), F.lit(n).cast("long").alias("n"), F.lit(d).cast("long").alias("d"))
-    d = d.select("lang", "source", F.explode(F.concat(F.transform("w", use(1, 0)), F.transform(F.array_distinct("w"), use(0, 1)))).alias("u"))
-    return d.groupBy("lang", "source", F.col("u.term").alias("term")).agg(F.sum("u.n").alias("n"), F.sum("u.d").alias("d"))
+    """lang, source, term: occurrences ``n`` and documents ``d``, counted in each task before rows are shuffled."""
+    d = modest_batches(docs.select(*_group(), F.coalesce("text", F.lit("")).alias("text")))
+    return d.mapInArrow(_counted, "lang string, source string, term string, n long, d long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+
+
+@freeing
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = Counts()
+    for b in batches:
+        groups = np.array([counts.group(g) for g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], np.int64)
+        for c in B.chunks(b.column(2), TEXT_BYTES):
+            counts.add(c, groups[c.lo : c.hi])
+            if counts.full():
+                yield from counts.rows()
+                counts = Counts(counts)
+    yield from counts.rows()
+
+
+class Counts:
+    """Occurrences and documents of (group, term) in what a task has read: terms are told apart by their bytes."""
+
+    def __init__(self, before: Counts | None = None):
+        self.groups: dict[tuple[str, str], int] = before.groups if before else {}
+        self.terms: dict[bytes, int] = {}
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = self.least = 0
+
+    def group(self, name: tuple[str, str]) -> int:
+        return self.groups.setdefault(name, len(self.groups))
+
+    def full(self) -> bool:
+        if self.size > max(1 << 20, 2 * self.least):
+            self.parts = [self.total()]
+            self.size = self.least = len(self.parts[0][0])
+        return self.least > MOST
+
+    def add(self, c: B.Chunk, groups: np.ndarray) -> None:
+        data = B.lowered(c.data)
+        w = B.words(B.Chunk(c.lo, c.hi, data, c.offsets), _NO_TERM)
+        if not len(w.start):
+            return
+        at = np.concatenate([[0], np.cumsum(w.end - w.start)]).astype(np.int32)
+        found = pa.Array.from_buffers(pa.binary(), len(w.start), [None, pa.py_buffer(at), pa.py_buffer(data[~_NO_TERM[data]])]).dictionary_encode()
+        names = np.array([self.terms.setdefault(t, len(self.terms)) for t in found.dictionary.to_pylist()], np.int64)
+        of = np.repeat(np.arange(c.hi - c.lo), np.diff(w.row))
+        key, n = np.unique(of * len(names) + found.indices.to_numpy(), return_counts=True)
+        self.parts.append((groups[key // len(names)] << 32 | names[key % len(names)], n, np.ones(len(n), np.int64)))
+        self.size += len(n)
+
+    def total(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key, n, d = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        return key[first], np.add.reduceat(n[order], first), np.add.reduceat(d[order], first)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if not self.parts:
+            return
+        key, n, d = self.total()
+        names = [pa.array([g[k] for g in self.groups], pa.string()) for k in (0, 1)]
+        terms = pa.array(list(self.terms), pa.binary()).cast(pa.string())
+        for a in range(0, len(key), 1 << 16):
+            k = key[a : a + (1 << 16)]
+            of, term = pa.array(k >> 32), pa.array(k & 0xFFFFFFFF)
+            yield pa.RecordBatch.from_arrays([names[0].take(of), names[1].take(of), terms.take(term), pa.array(n[a : a + len(k)]), pa.array(d[a : a + len(k)])], ["lang", "source", "term", "n", "d"])
 
 
 def _group() -> list[Column]:
@@ -125,11 +191,12 @@ def _terms(groups: DataFrame, cells: DataFrame) -> DataFrame:
 def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
     """lang, source, part, item, value, rank: all other sources, and the ``top`` terms, of each group."""
     counts = written(term_counts(docs), "divergence-counts")
-    vocabulary = counts.groupBy("lang", "term").agg(F.sum("n").alias("uses"), F.sum("d").alias("d")).where(F.col("d") >= min_docs).drop("d")
-    sizes = vocabulary.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("uses").alias("all"))
+    vocabulary = written(counts.groupBy("lang", "term").agg(F.sum("n").alias("uses"), F.sum("d").alias("d")).where(F.col("d") >= min_docs).drop("d"), "divergence-terms")
+    sizes = written(vocabulary.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("uses").alias("all")), "divergence-sizes")
     n_chunks = F.ceil(F.col("kept") / CHUNK)
     place = vocabulary.join(sizes, "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), n_chunks).cast("int"))
-    place = place.withColumn("pos", F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")) - 1)
+    # Dealt out by chunk, not by language: a language's terms are no one task's.
+    place = place.repartition("lang", "chunk").withColumn("pos", F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")) - 1)
     cells = written(counts.join(place.select("lang", "term", "uses", "chunk", "pos"), ["lang", "term"]).select("lang", "source", "term", "n", "uses", "chunk", "pos"), "divergence-cells")
     groups = docs.select(*_group()).distinct()
     of_lang = groups.groupBy("lang").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -139,7 +206,7 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> Dat
     rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
     pairs = _pairs(groups, cells).withColumn("rank", rank)
     out = written(pairs.unionByName(_terms(groups, cells).withColumn("rank", rank).where(F.col("rank") <= top)), "divergence")
-    dropped(counts, cells, groups)
+    dropped(counts, vocabulary, sizes, cells, groups)
     return out
 
 
