@@ -40,11 +40,12 @@ def _words(text: Column) -> Column:
 
 def _runs(words: Column, run: int) -> Column:
     """All runs of 1 to ``run`` consecutive words, joined by one space."""
-    out = [words]
-    for n in range(2, run + 1):
+
+    def of(n: int) -> Column:
         last = F.size(words) - n + 1
-        out.append(F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i, n=n: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>")))
-    return F.concat(*out)
+        return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(words, *[of(n) for n in range(2, run + 1)])
 
 
 def _buckets(words: Column, run: int, buckets: int) -> Column:
