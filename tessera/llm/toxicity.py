@@ -237,19 +237,23 @@ def _scan(rows: DataFrame, shared, columns: list[str], schema: str, make) -> Dat
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, key: str = "doc_id") -> Model:
-    """A model from labelled documents outside fold 0: folds 1 to 3 give the counts, fold 4 the calibration."""
+    """A model from labelled documents outside fold 0: folds 1 to 3 give the counts, fold 4 the calibration.
+
+    Where either of these has labels of one class only, all four folds give both;
+    where all labels are of one class, the score is the share of toxic labels,
+    but under 0.5: what can't be told apart isn't rejected.
+    """
     marked = labels.where(fold(key) > 0).where(F.col("toxic").isNotNull()).groupBy(key).agg(F.max("toxic").alias("toxic"))
     # At most 4 * per_class ids: a bounded table, so that whole texts needn't be shuffled to meet their labels.
     sample = written(docs.select(key, "text").join(F.broadcast(bounded(marked, "toxic", per_class, key)), key).withColumn("fold", fold(key)), "toxic-sample")
     sizes = {(r["toxic"], r["calibrate"]): r["n"] for r in sample.groupBy("toxic", (F.col("fold") == 4).alias("calibrate")).agg(F.count("*").alias("n")).collect()}
-    n_toxic, n_clean = sizes.get((1, False), 0), sizes.get((0, False), 0)
+    parted = all(sizes.get((t, c), 0) for t in (0, 1) for c in (False, True))
+    n_toxic, n_clean = (sizes.get((t, False), 0) + (0 if parted else sizes.get((t, True), 0)) for t in (1, 0))
     empty = np.zeros(0, np.uint64)
     if not n_toxic or not n_clean:
-        total = sum(sizes.values())
-        share = sum(n for (t, _), n in sizes.items() if t == 1) / total if total else 0.0
-        share = min(max(share, 1e-3), 1 - 1e-3)
+        share = min(max(n_toxic / max(n_toxic + n_clean, 1), 1e-3), 0.499)
         return Model(empty, np.zeros(0), 1.0, 1.0, 0.0, math.log(share / (1 - share)))
-    counts = _counted(sample.where("fold < 4"))
+    counts = _counted(sample.where("fold < 4") if parted else sample)
     # Features that stand out, and the prefixes they lean on.
     t, c = F.col("toxic") / n_toxic, F.col("clean") / n_clean
     z = F.abs(F.log((t + 0.5 / n_toxic) / (c + 0.5 / n_clean))) / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
@@ -269,12 +273,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, key: str
         best = [max((x[2] for x in f), default=0.0) for f in found]
         return pa.RecordBatch.from_arrays([b.column(1).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array([[x[2] for x in f] for f in found], pa.list_(pa.float64())), pa.array(best)], ["toxic", "n", "found", "best"])
 
-    calibration = _scan(sample.where("fold = 4"), spark.sparkContext.broadcast(model), ["text", "toxic"], f"toxic {sample.schema['toxic'].dataType.simpleString()}, n long, found array<double>, best double", texts).toPandas()
+    calibration = _scan(sample.where("fold = 4") if parted else sample, spark.sparkContext.broadcast(model), ["text", "toxic"], f"toxic {sample.schema['toxic'].dataType.simpleString()}, n long, found array<double>, best double", texts).toPandas()
     y = calibration["toxic"].to_numpy(float)
     n, best = calibration["n"].to_numpy(float), calibration["best"].to_numpy(float)
     quiet = y == 0
-    if not len(y) or quiet.all() or not quiet.any():
-        return model
     tokens = max(n[quiet].sum() * n_clean / max(quiet.sum(), 1), 1.0)
     model.lam = min(_lambda(odds[positive], uses[positive], tokens, DRIFT), 2.0) if positive.any() else 1.0
     level = float(np.median(odds[positive])) if positive.any() else 1.0

@@ -277,3 +277,26 @@ def test_pipeline_edges(spark, tmp_path):
     docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+
+
+@pytest.mark.parametrize("classes", ["no toxic in fold 4", "no clean in fold 4", "only fold 4", "only toxic", "only clean", "none"])
+def test_toxicity_with_labels_of_one_class(spark, classes):
+    import random
+
+    rng = random.Random(5)
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    text = lambda toxic: " ".join(rng.choice(["vile", "filth", "scum"] if toxic and k % 3 == 0 else ["tree", "river", "stone", "cloud", "house", "road"]) for k in range(60))
+    rows = [(i, text(i % 4 == 0), int(i % 4 == 0)) for i in range(2400)]
+    keep = {
+        "no toxic in fold 4": lambda i, t: fold(i) != 4 or not t, "no clean in fold 4": lambda i, t: fold(i) != 4 or t, "only fold 4": lambda i, t: fold(i) == 4,
+        "only toxic": lambda i, t: t, "only clean": lambda i, t: not t, "none": lambda i, t: False,
+    }[classes]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows if keep(i, t)], "doc_id long, toxic int")
+    kept = {r.doc_id for r in T.clean(docs, T.fit(docs, labels)).collect()}
+    clean, toxic = {i for i, _, t in rows if not t}, {i for i, _, t in rows if t}
+    assert clean <= kept
+    if classes.startswith("only fold") or classes.endswith("fold 4"):
+        assert len(toxic & kept) < 0.05 * len(toxic)
+    else:
+        assert kept == clean | toxic
