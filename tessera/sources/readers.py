@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.position import with_position
+from .binary import read_edge_arrays
 
 NUMBER = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
 
@@ -57,35 +58,13 @@ def read_jodie(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_binary_edges(spark: SparkSession, path: str) -> DataFrame:
-    """file, src, dst of little-endian files: int64 N, int64 M, M int32 sources, M int32 destinations; one task a file."""
-    import numpy as np
-    import pandas as pd
-
-    def decode(batches):
-        for b in batches:
-            for name, raw in zip(b["path"], b["content"], strict=True):
-                m = int(np.frombuffer(raw, "<i8", 2)[1])
-                ends = np.frombuffer(raw, "<i4", 2 * m, 16)
-                yield pd.DataFrame({"file": name, "src": ends[:m].astype("int64"), "dst": ends[m:].astype("int64")})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "file string, src long, dst long")
+    """file, pos, src, dst of little-endian files: int64 N, int64 M, M int32 sources, M int32 destinations; many tasks read one."""
+    return read_edge_arrays(spark, path).select("file", "pos", "src", "dst")
 
 
 def read_npz_edges(spark: SparkSession, path: str) -> DataFrame:
-    """file, pos, src, dst, t of NPZ files with arrays src and dst, and t (the position where there is none); one task a file."""
-    import io
-
-    import numpy as np
-    import pandas as pd
-
-    def decode(batches):
-        for b in batches:
-            for name, raw in zip(b["path"], b["content"], strict=True):
-                with np.load(io.BytesIO(raw)) as z:
-                    n = len(z["src"])
-                    yield pd.DataFrame({"file": name, "pos": np.arange(n), "src": z["src"].astype("int64"), "dst": z["dst"].astype("int64"), "t": z["t"].astype("int64") if "t" in z.files else np.arange(n)})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "file string, pos long, src long, dst long, t long")
+    """file, pos, src, dst, t of NPZ files with arrays src and dst, and t (the position where there is none)."""
+    return read_edge_arrays(spark, path)
 
 
 def write_metis(edges: DataFrame, num_nodes: int, path: str) -> None:

@@ -16,7 +16,7 @@ TIERS = ("small", "medium", "large", "ultra")
 
 
 class EdgeStorage(Protocol):
-    """What keeps edges: ``readers.EdgeStore`` is one."""
+    """What keeps edges: ``readers.EdgeStore`` is one; ``open_storage`` takes any."""
 
     def ingest(self, edges: DataFrame) -> None: ...
     def load(self) -> DataFrame: ...
@@ -40,7 +40,7 @@ FORMS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ratings": readers.read_ratings,
     "jodie": lambda spark, path: readers.read_jodie(spark, path).withColumnsRenamed({"user": "src", "item": "dst"}),
     "npz": readers.read_npz_edges,
-    "binary": lambda spark, path: readers.read_binary_edges(spark, path).withColumn("t", F.monotonically_increasing_id()),
+    "binary": lambda spark, path: readers.read_binary_edges(spark, path).withColumn("t", F.col("pos")),
     "parquet": lambda spark, path: spark.read.parquet(path),
     "store": lambda spark, path: readers.EdgeStore(spark, path).load(),
 }
@@ -93,3 +93,9 @@ def open_edges(spark: SparkSession, path: str, form: str, name: str = "") -> Tem
     if form not in FORMS:
         raise ValueError(f"form {form!r}: one of {sorted(FORMS)}")
     return from_edges(FORMS[form](spark, path).select("src", "dst", "t"), ["t", "src", "dst"], name=name or "file")
+
+
+def open_storage(storage: EdgeStorage, t0: int | None = None, t1: int | None = None, num_nodes: int | None = None, name: str = "store") -> TemporalGraph:
+    """The graph of the edges that a storage keeps, of all or with t0 <= t < t1."""
+    edges = storage.load() if t0 is None or t1 is None else storage.range(t0, t1)
+    return from_edges(edges.select("src", "dst", "t"), ["t", "src", "dst"], num_nodes, name)

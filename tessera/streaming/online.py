@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.position import with_position
 from ..functions.scratch import kept
 from ..operators import greedy as K
 from ..operators import stats as S
-from ..sources.graphs import TemporalGraph, from_edges
+from ..sources.graphs import TemporalGraph
 
 DRIFT, STALENESS, BUDGET = 0.15, 1, 0.05
 TRACE = "step long, reason string, drift double, moved long, added long, edges long"
@@ -67,7 +68,9 @@ def run_stream(g: TemporalGraph, windows: int, parts: int, sliding: bool = False
 def stream_files(spark: SparkSession, source: str, out: str, num_nodes: int, parts: int, checkpoint: str, **options) -> None:
     """Place the edges (eid, src, dst, t) of Parquet files as they come, one file a batch; the trace and placements go under ``out``.
 
-    A batch reads what the one before it wrote, keyed by its number.
+    A batch reads what the one before it wrote, keyed by its number, and numbers
+    its own edges on from there: edges have their places in the order in which
+    they came, and by time within a batch. A batch that is run again writes the same.
     """
     schema = "eid long, src long, dst long, t long"
 
@@ -82,19 +85,22 @@ def stream_files(spark: SparkSession, source: str, out: str, num_nodes: int, par
             raise
 
     def batch(df: DataFrame, k: int) -> None:
-        df.write.mode("overwrite").parquet(f"{out}/edges/batch={k}")
-        seen = spark.read.parquet(f"{out}/edges").where(F.col("batch") <= k).select("eid", "src", "dst", "t")
-        g = from_edges(seen, ["t", "eid"], num_nodes, "stream")
         before = read(f"{out}/state/batch={k - 1}") if k else None
+        last = before.first().asDict() if before is not None else None
+        since = last["edges"] if last else 0
+        # Only what has come is put in order and numbered, after all that came before.
+        with_position(df, ["t", "eid"]).withColumn("pos", F.col("pos") + since).write.mode("overwrite").parquet(f"{out}/edges/batch={k}")
+        came = spark.read.parquet(f"{out}/edges/batch={k}").count()
+        seen = spark.read.parquet(f"{out}/edges").where(F.col("batch") <= k).select("pos", "src", "dst", "t")
+        g = TemporalGraph(seen, num_nodes, since + came, "stream")
         state = None
-        if before is not None:
-            r = before.first().asDict()
-            state = {"stats": {n: r[n] for n in ("persistence", "avg_degree", "max_snapshot_nodes", "clusterability")}, "stale": r["stale"], "place": spark.read.parquet(f"{out}/place/batch={k - 1}")}
-        new = step(g, g.num_edges - df.count(), parts, state, **options)
+        if last is not None:
+            state = {"stats": {n: last[n] for n in ("persistence", "avg_degree", "max_snapshot_nodes", "clusterability")}, "stale": last["stale"], "place": spark.read.parquet(f"{out}/place/batch={k - 1}")}
+        new = step(g, since, parts, state, **options)
         new["place"].write.mode("overwrite").parquet(f"{out}/place/batch={k}")
         stats = new["stats"]
-        row = [(float(stats["persistence"]), float(stats["avg_degree"]), int(stats["max_snapshot_nodes"]), float(stats["clusterability"]), new["stale"], new["reason"], new["drift"], new["moved"], new["added"])]
-        spark.createDataFrame(row, "persistence double, avg_degree double, max_snapshot_nodes long, clusterability double, stale long, reason string, drift double, moved long, added long").write.mode("overwrite").parquet(f"{out}/state/batch={k}")
+        row = [(float(stats["persistence"]), float(stats["avg_degree"]), int(stats["max_snapshot_nodes"]), float(stats["clusterability"]), new["stale"], new["reason"], new["drift"], new["moved"], new["added"], since + came)]
+        spark.createDataFrame(row, "persistence double, avg_degree double, max_snapshot_nodes long, clusterability double, stale long, reason string, drift double, moved long, added long, edges long").write.mode("overwrite").parquet(f"{out}/state/batch={k}")
 
     q = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
