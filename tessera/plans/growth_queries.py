@@ -31,15 +31,23 @@ ORACLE_SQL: dict[str, str] = {}
 LINK = 50.0
 
 
-def query(name, on, body=None):
-    def add(fn):
-        _query(name, on, body)(fn)
-        QUERIES[name] = _QS.pop(name)
-        if body is not None:
-            ORACLE_SQL[name] = _S.pop(name)
-        return fn
+def registrar(queries: dict, sql: dict):
+    """A ``query`` that registers in these tables."""
 
-    return add
+    def query(name, on, body=None):
+        def add(fn):
+            _query(name, on, body)(fn)
+            queries[name] = _QS.pop(name)
+            if body is not None:
+                sql[name] = _S.pop(name)
+            return fn
+
+        return add
+
+    return query
+
+
+query = registrar(QUERIES, ORACLE_SQL)
 
 
 def table(name, sql=None):

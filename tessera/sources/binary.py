@@ -7,6 +7,9 @@ are read by offset where they are stored as they are (``numpy.savez``), and a
 compressed archive is one partition, as it can't be entered in the middle.
 A task reads its range of each array and no more, batch by batch.
 
+``df.write.format("edge_arrays").mode("append").save(path)`` writes src and dst as raw
+files of at most ``EDGES`` edges each; they have their names, which readers see, once all tasks are done.
+
 Paths are local, shared, or of a store that Arrow's file systems reach (hdfs,
 s3, gs). A file that is shorter than its header says is an error, not a short
 table. Rows: file, pos (place in the file), src, dst, t (pos where there is none).
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import posixpath
 import struct
+import uuid
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,11 +29,11 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 SCHEMA = "file string, pos long, src long, dst long, t long"
-#: Edges of a partition, and of a batch within it.
-RANGE, BATCH = 1 << 22, 1 << 17
+#: Edges of a partition, of a batch within it, and of a file that is written.
+RANGE, BATCH, EDGES = 1 << 22, 1 << 17, 1 << 24
 
 
 @dataclass(frozen=True)
@@ -116,6 +120,11 @@ class EdgeArrays(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return EdgeReader(self.options["path"], int(self.options.get("edges", RANGE)))
 
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        if overwrite:
+            raise ValueError("edge_arrays appends files, it doesn't overwrite a folder")
+        return EdgeWriter(self.options["path"])
+
 
 class EdgeReader(DataSourceReader):
     def __init__(self, path: str, edges: int):
@@ -160,6 +169,61 @@ class EdgeReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array([part.path] * (b - a)), pa.array(pos), *map(pa.array, ends), pa.array(pos if t is None else t.astype(np.int64))], ["file", "pos", "src", "dst", "t"])
 
 
+@dataclass
+class Files(WriterCommitMessage):
+    """Files that a task has written under names that readers pass over."""
+
+    names: list[str]
+
+
+class EdgeWriter(DataSourceArrowWriter):
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Files:
+        system, at = _system(self.path)
+        system.create_dir(at, recursive=True)
+        names, held, size = [], [], 0
+
+        def close() -> None:
+            nonlocal held, size
+            a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+            if min(a.min(), b.min()) < 0 or max(a.max(), b.max()) >= 1 << 31:
+                raise ValueError("ids that 32 bits don't hold")
+            names.append(f"_{uuid.uuid4().hex}.bin")
+            with system.open_output_stream(f"{at}/{names[-1]}") as f:
+                f.write(struct.pack("<qq", int(max(a.max(), b.max())) + 1, len(a)))
+                f.write(a.astype("<i4").tobytes())
+                f.write(b.astype("<i4").tobytes())
+            held, size = [], 0
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in ("src", "dst")))
+                size += batch.num_rows
+                if size >= EDGES:
+                    close()
+        if held:
+            close()
+        return Files(names)
+
+    def commit(self, messages: list[Files | None]) -> None:
+        system, at = _system(self.path)
+        for name in (n for m in messages if m for n in m.names):
+            system.move(f"{at}/{name}", f"{at}/{name[1:]}")
+
+    def abort(self, messages: list[Files | None]) -> None:
+        system, at = _system(self.path)
+        for name in (n for m in messages if m for n in m.names):
+            system.delete_file(f"{at}/{name}")
+
+
+def write_edge_arrays(edges: DataFrame, path: str) -> None:
+    """Append src and dst as raw files, one or more a task."""
+    edges.sparkSession.dataSource.register(EdgeArrays)
+    edges.select("src", "dst").write.format("edge_arrays").mode("append").save(path)
+
+
 def read_edge_arrays(spark: SparkSession, path: str, edges: int = RANGE) -> DataFrame:
     """file, pos, src, dst, t of the raw and NPZ files of a path, at most ``edges`` a partition."""
     spark.dataSource.register(EdgeArrays)

@@ -10,8 +10,8 @@ whose edges have all left has no state. What the stream writes are changes
 A vertex is dealt over ``SALTS`` keys by edge, so a hub's state and rows are
 spread; changes of its keys add up. An edge that its source delivers again
 within the window is told by its id and counts once; a batch that is run again
-after a failure starts from the state before it. Rows that come later than
-``late`` after the newest are left out: that is the watermark.
+after a failure starts from the state before it. Rows that are more than
+``late`` older than the newest of the batches before are left out: that is the watermark.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 EDGES = "eid long, src long, dst long, clock long"
 CHANGES = "v long, position long, arrived long, departed long"
-SALTS = 16
+SALTS = 8
 #: The vertex of rows that only move the clock on.
 TICK = -1
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -68,8 +68,9 @@ class LiveSteps(StatefulProcessor):
 
 
 def changes(edges: DataFrame, step: int, width: int, late: int = 0, salts: int = SALTS) -> DataFrame:
-    """Changes of a stream of edges (eid, src, dst, clock): the clock counts milliseconds, as far as Spark is concerned."""
-    e = edges.withColumn("at", F.timestamp_millis("clock")).withWatermark("at", f"{late} milliseconds")
+    """Changes of a stream of edges (eid, src, dst, clock from 0 on): the clock counts milliseconds, as far as Spark is concerned."""
+    # Spark takes a row for late that isn't after the watermark, which begins at 0: one more lets ties with it in.
+    e = edges.withColumn("at", F.timestamp_millis(F.col("clock") + 1)).withWatermark("at", f"{late + 1} milliseconds")
     e = e.dropDuplicatesWithinWatermark(["eid"])
     ends = e.select(F.explode(F.array("src", "dst")).alias("v"), F.pmod("eid", F.lit(salts)).alias("salt"), "clock", "at")
     return ends.groupBy("v", "salt").transformWithStateInPandas(statefulProcessor=LiveSteps(step, width), outputStructType=CHANGES, outputMode="Append", timeMode="EventTime")
