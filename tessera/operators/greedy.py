@@ -2,13 +2,15 @@
 
 A stream of decisions is one task by nature: ``streamed`` and ``edge_streamed``
 run one per parameter set, side by side, up to ``ONE_TASK_EDGES`` edges. Above
-that, and wherever rounds will do, placements come from ``coarsened`` and
+that, and wherever rounds will do, placements come from ``multilevel`` and
 ``refined``: joins and aggregations whose moves are admitted by running sums
 under each part's cap, and of which the best round is kept.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,7 +20,7 @@ from ..functions.scratch import kept
 from ..sources.graphs import TemporalGraph
 from . import supra as G
 from .metrics import placed
-from .placement import split
+from .multilevel import multilevel
 from .stats import degree
 from .supra import both_ways
 
@@ -207,122 +209,16 @@ def refined(e: DataFrame, place: DataFrame, parts: int, cap: float, rounds: int
     return best
 
 
-def coarsened(e: DataFrame, v: DataFrame, most: float, turn: int = 0) -> DataFrame:
-    """v, up: pairs of vertices with a heavy edge, up being the lesser of both; weights stay under ``most``.
-
-    A hash deals vertices into those that ask and those that answer: one asks along its heaviest edge,
-    and who is asked takes the heaviest offer. ``turn`` makes another deal.
-    """
-    w = v.select("v", "w")
-    side = lambda x: F.pmod(F.xxhash64(x, F.lit(turn)), F.lit(2))
-    sym = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).where((side("a") == 0) & (side("b") == 1))
-    j = sym.join(w.withColumnsRenamed({"v": "a", "w": "wa"}), "a").join(w.withColumnsRenamed({"v": "b", "w": "wb"}), "b").where(F.col("wa") + F.col("wb") <= most)
-    # Heavy edges of light vertices first; equal ones are told apart by a hash, so that offers are spread.
-    rate = F.col("w") / (F.col("wa") * F.col("wb"))
-    asked = j.groupBy("a").agg(F.max(F.struct(rate.alias("r"), F.xxhash64("a", "b", F.lit(turn)).alias("h"), "b")).alias("m")).select("a", "m.r", "m.h", "m.b")
-    taken = asked.groupBy("b").agg(F.max(F.struct("r", "h", "a")).alias("m")).select("b", F.col("m.a").alias("a"))
-    both = taken.select(F.col("a").alias("v"), F.least("a", "b").alias("up")).unionAll(taken.select(F.col("b").alias("v"), F.least("a", "b").alias("up")))
-    return v.select("v").join(both, "v", "left").select("v", F.coalesce("up", "v").alias("up"))
-
-
-def multilevel(g: TemporalGraph, parts: int, slack: float = 1.03, coarsest: int = 20_000, weight: DataFrame | None = None) -> DataFrame:
-    """v, part: match and contract, place the coarsest graph in one task, then project and refine level by level.
-
-    Contraction ends at ``coarsest`` vertices (30 a part at least) or when it no longer helps; a graph that then has
-    more than ``ONE_TASK_EDGES`` edges begins from its order by weight instead, and is refined in rounds of joins as all levels are.
-    """
-    e = kept(g.edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("w")), "edges")
-    v = kept(weight if weight is not None else g.vertices().select("v", F.lit(1).cast("long").alias("w")), "vertices")
-    total = v.agg(F.sum("w")).first()[0] or 0
-    stop, stack, n = max(30 * parts, coarsest), [], g.num_nodes
-    while n > stop:
-        up = kept(coarsened(e, v, 1.5 * total / stop, len(stack)), "match")
-        ve = kept(v.join(up, "v").groupBy(F.col("up").alias("v")).agg(F.sum("w").alias("w")), "vertices")
-        fewer = ve.count()
-        if fewer > 0.95 * n:
-            break
-        stack.append((e, v, up))
-        x, y = up.withColumnsRenamed({"v": "a", "up": "x"}), up.withColumnsRenamed({"v": "b", "up": "y"})
-        e = kept(e.join(x, "a").join(y, "b").where("x <> y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w")), "edges")
-        v, n = ve, fewer
-    cap = slack * total / parts
-    if e.count() <= ONE_TASK_EDGES:
-        place = kept(_solve(e, v, parts, cap), "place")
-    else:
-        place = split(v.select("v", F.col("w").alias("work")), [F.desc("work"), F.asc("v")], parts).select("v", F.col("work").alias("w"), "part")
-    for ee, vv, up in reversed(stack):
-        place = refined(e, place, parts, cap, 3)
-        place = vv.join(up, "v").join(place.select(F.col("v").alias("up"), "part"), "up").select("v", "w", "part")
-        e = ee
-    return refined(e, place, parts, cap, 4).select("v", "part")
-
-
-#: Starts of the coarsest graph that are compared, and passes over it.
-STARTS, PASSES = 2, 5
-
-
-def _solve(e: DataFrame, v: DataFrame, parts: int, cap: float) -> DataFrame:
-    """v, w, part of a small graph, in one task: from several orders, each vertex to the part with most of its edges that has room; then moves with gain; the least cut."""
-
-    def solve(key, rows):
-        verts, edges = rows[rows["b"] < 0], rows[rows["b"] >= 0]
-        ids, weight = verts["a"].to_numpy(), verts["w"].to_numpy().astype(float)
-        order = np.argsort(ids)
-        ids, weight, n = ids[order], weight[order], len(ids)
-        a, b, w = np.searchsorted(ids, edges["a"].to_numpy()), np.searchsorted(ids, edges["b"].to_numpy()), edges["w"].to_numpy().astype(float)
-        x, y, z = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w])
-        order = np.argsort(x, kind="stable")
-        y, z, at = y[order], z[order], np.searchsorted(x[order], np.arange(n + 1))
-        degree = np.bincount(x, weights=np.concatenate([w, w]), minlength=n)
-        best = None
-        for k in range(STARTS):
-            turn = np.argsort(-(weight if k == 0 else degree if k == 1 else np.random.default_rng(k).random(n)), kind="stable")
-            part, load = np.full(n, parts), np.zeros(parts)
-            for i in turn:
-                votes = np.bincount(part[y[at[i] : at[i + 1]]], weights=z[at[i] : at[i + 1]], minlength=parts + 1)[:parts]
-                score = np.where(load + weight[i] <= cap, votes * np.maximum(0.05, 1 - load / max(cap, 1e-9)) - 1e-6 * load, -1e18 - load)
-                part[i] = p = int(score.argmax())
-                load[p] += weight[i]
-            for _ in range(PASSES):
-                moved = 0
-                for i in turn:
-                    votes = np.bincount(part[y[at[i] : at[i + 1]]], weights=z[at[i] : at[i + 1]], minlength=parts)
-                    own = part[i]
-                    p = int(np.where((load + weight[i] <= cap) | (np.arange(parts) == own), votes, -1).argmax())
-                    if votes[p] > votes[own]:
-                        load[own], load[p], part[i], moved = load[own] - weight[i], load[p] + weight[i], p, moved + 1
-                if not moved:
-                    break
-            # Within the cap first, then the least cut.
-            cost = (max(0.0, load.max() - cap), w[part[a] != part[b]].sum())
-            if best is None or cost < best[0]:
-                best = (cost, part)
-        return pd.DataFrame({"v": ids, "w": weight.astype("int64"), "part": best[1] if best else []}).astype("int64")
-
-    rows = v.select(F.col("v").alias("a"), F.lit(-1).cast("long").alias("b"), "w").unionAll(e.select("a", "b", "w"))
-    return rows.withColumn("one", F.col("w") * 0).groupBy("one").applyInPandas(solve, "v long, w long, part long")
-
-
 def two_level(g: TemporalGraph, groups: int, parts: int) -> DataFrame:
-    """v, grp, part: groups by multilevel, then parts within each group, groups side by side."""
+    """v, grp, part: groups by multilevel, then parts of each group by multilevel on its own edges."""
     top = kept(multilevel(g, groups).withColumnRenamed("part", "grp"), "groups")
-    e = placed(g, top.withColumnRenamed("grp", "part")).where("ps = pd").select(F.col("ps").alias("grp"), F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1).cast("long").alias("w"))
-    rows = e.unionAll(top.select("grp", F.col("v").alias("a"), F.lit(-1).cast("long").alias("b"), F.lit(1).cast("long").alias("w")))
-
-    def inside(key, rows):
-        verts, edges = rows[rows["b"] < 0]["a"].to_numpy(), rows[rows["b"] >= 0]
-        near: dict[int, list[int]] = {}
-        for a, b in edges[["a", "b"]].itertuples(index=False):
-            near.setdefault(a, []).append(b)
-            near.setdefault(b, []).append(a)
-        cap, load, part = 1.03 * len(verts) / parts + 1, np.zeros(parts), {}
-        for a in sorted(verts.tolist(), key=lambda x: (-len(near.get(x, ())), x)):
-            votes = np.bincount([part[b] for b in near.get(a, ()) if b in part], minlength=parts)
-            part[a] = k = int(np.where(load + 1 <= cap, votes * (1 - load / cap) - 1e-6 * load, -1e9 - load).argmax())
-            load[k] += 1
-        return pd.DataFrame({"v": verts, "grp": key[0], "part": [part[a] for a in verts.tolist()]})
-
-    return rows.groupBy("grp").applyInPandas(inside, "v long, grp long, part long")
+    inside = kept(placed(g, top.withColumnRenamed("grp", "part")).where("ps = pd").select("pos", F.col("ps").alias("grp"), "src", "dst"), "inside")
+    one = F.lit(1).cast("long").alias("w")
+    each = []
+    for k in range(groups):
+        own = TemporalGraph(inside.where(F.col("grp") == k).select("pos", "src", "dst"), g.num_nodes, g.num_edges, f"{g.name}-{k}")
+        each.append(multilevel(own, parts, weight=top.where(F.col("grp") == k).select("v", one)).select("v", F.lit(k).cast("long").alias("grp"), "part"))
+    return reduce(DataFrame.unionAll, each)
 
 
 def lpt(g: TemporalGraph, speeds: list[float]) -> DataFrame:
