@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.position import with_position
 from ..functions.scratch import kept
 from ..sources.graphs import TemporalGraph
 from . import supra as G
@@ -88,75 +89,6 @@ def edge_streamed(g: TemporalGraph, parts: int, balance: tuple[float, ...] = (1.
     return g.edges.select(sets, "pos", "src", "dst").groupBy("balance").applyInPandas(place, "balance double, src long, dst long, part long")
 
 
-def fitted_caps(caps: list[int], n: int) -> list[int]:
-    """Vertices that each device may have: ``caps``, or in proportion to them what is needed to hold all n."""
-    own = [max(1, min(int(c), n)) for c in caps]
-    if sum(own) < n:
-        own = [max(1, c * n // sum(own)) for c in own]
-        own[own.index(max(own))] += max(0, n - sum(own))
-    return own
-
-
-def heterogeneous(g: TemporalGraph, caps: list[int], link: list[list[float]], alpha: float = 1.0, passes: int = 2, order: str = "auto", prior: DataFrame | None = None, budget: float = 0.0) -> DataFrame:
-    """v, part: a stream of vertices, each to the device from which its placed neighbours are cheapest to reach, plus ``alpha`` times how full it is.
-
-    ``caps`` are the devices' vertices, ``link`` the bandwidths between them (infinite or 0 on the diagonal: free).
-    Vertices come by first appearance if one device can hold all, else by degree, unless ``order`` names one; then
-    ``passes`` of moves that lessen the cost. With ``prior`` (v, part) only vertices without a part are placed, and
-    those, their neighbours and the share ``budget`` of all with the most crossing edges may move. One task, guarded.
-    """
-    _guard(g)
-    n, d = g.num_nodes, len(caps)
-    cap = np.array(fitted_caps(caps, n))
-    cost = np.array([[0.0 if i == j or not np.isfinite(b) or b <= 0 else 1.0 / b for j, b in enumerate(row)] for i, row in enumerate(link)])
-
-    def place(key, rows):
-        old, e = rows[rows["pos"] < 0], rows[rows["pos"] >= 0].sort_values("pos")
-        src, dst = e["src"].to_numpy(), e["dst"].to_numpy()
-        a, b = np.concatenate([src, dst]), np.concatenate([dst, src])
-        by = np.argsort(a, kind="stable")
-        near, at = b[by], np.searchsorted(a[by], np.arange(n + 1))
-        part = np.full(n, -1)
-        part[old["src"].to_numpy()] = old["dst"].to_numpy()
-        load, new = np.bincount(part[part >= 0], minlength=d), np.flatnonzero(part < 0)
-        if len(old):
-            turn = new
-        elif order == "degree" or order == "auto" and cap.max() < n:
-            turn = np.argsort(-np.diff(at), kind="stable")
-        else:
-            seen = pd.unique(np.stack([src, dst], axis=1).ravel())
-            turn = np.concatenate([seen, np.setdiff1d(np.arange(n), seen)])
-        reach = lambda v: cost @ np.bincount(p[p >= 0], minlength=d) if len(p := part[near[at[v] : at[v + 1]]]) else np.zeros(d)
-        for v in turn:
-            score = np.where(load < cap, reach(v) + alpha * load / cap, np.inf)
-            k = int(score.argmin()) if np.isfinite(score).any() else int((cap - load).argmax())
-            part[v] = k
-            load[k] += 1
-        touch = np.arange(n)
-        if len(old):
-            touch = np.unique(np.concatenate([new, *[near[at[v] : at[v + 1]] for v in new]])) if len(new) else new
-            cross = part[src] != part[dst]
-            stale = np.bincount(np.concatenate([src[cross], dst[cross]]), minlength=n)
-            stale[touch] = 0
-            worst = np.argsort(-stale, kind="stable")[: int(budget * n)]
-            touch = np.concatenate([touch, worst[stale[worst] > 0]])
-        for _ in range(passes):
-            moved = 0
-            for v in touch:
-                own, c = part[v], reach(v)
-                k = int(np.where((load < cap) | (np.arange(d) == own), c, np.inf).argmin())
-                if k != own and c[k] < c[own] - 1e-9:
-                    load[own], load[k], part[v], moved = load[own] - 1, load[k] + 1, k, moved + 1
-            if not moved:
-                break
-        return pd.DataFrame({"v": np.arange(n), "part": part})
-
-    rows = g.edges.select("pos", "src", "dst")
-    if prior is not None:
-        rows = rows.unionAll(prior.select(F.lit(-1).cast("long").alias("pos"), F.col("v").alias("src"), F.col("part").cast("long").alias("dst")))
-    return rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(place, "v long, part long")
-
-
 def cut_of(e: DataFrame, place: DataFrame) -> int:
     """Weight of edges (a, b, w; each once) between parts of ``place`` (v, part)."""
     p = place.select("v", "part")
@@ -250,7 +182,8 @@ def touch_set(g: TemporalGraph, prior: DataFrame, since: int, budget: float) ->
     room = int(budget * g.num_nodes)
     touched = g.edges.where(F.col("pos") >= since).select(F.explode(F.array("src", "dst")).alias("v")).distinct().join(prior.select("v"), "v", "left_semi")
     cross = placed(g, prior).where("ps <> pd").select(F.explode(F.array("src", "dst")).alias("v")).groupBy("v").agg(F.count("*").alias("c"))
-    return touched.join(cross, "v", "left").orderBy(F.desc(F.coalesce("c", F.lit(0))), "v").limit(room).select("v")
+    # Places in ranges of the order, so that no one task takes the first ``room``.
+    return with_position(touched.join(cross, "v", "left").fillna(0, ["c"]), [F.desc("c"), F.asc("v")], "i").where(F.col("i") < room).select("v")
 
 
 def incremental(g: TemporalGraph, prior: DataFrame, since: int, parts: int, budget: float = 0.05, rounds: int = 6) -> DataFrame:
@@ -292,7 +225,10 @@ def _spilled(place: DataFrame, parts: int, cap: int) -> DataFrame:
     if not spans:
         return place.select("v", "part")
     s = place.sparkSession.createDataFrame(spans, "part long, lo long, hi long, to long")
-    ranked = place.where("free").withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("v"))) - 1)
+    # Places within a part from places in all of them: ranges of (part, id) are sorted, not parts.
+    ranked = with_position(place.where("free"), [F.asc("part"), F.desc("v")], "r")
+    first = ranked.groupBy("part").agg(F.min("r").alias("base"))
+    ranked = ranked.join(F.broadcast(first), "part").withColumn("i", F.col("r") - F.col("base"))
     moves = ranked.join(F.broadcast(s), (ranked["part"] == s["part"]) & (F.col("i") >= F.col("lo")) & (F.col("i") < F.col("hi"))).select("v", "to")
     return place.join(moves, "v", "left").select("v", F.coalesce("to", "part").alias("part"))
 

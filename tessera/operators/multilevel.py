@@ -1,9 +1,9 @@
 """Multilevel placement in rounds of joins: cluster and contract, bisect the small graph, project and swap.
 
-Clusters grow by labels under a cap of weight: half of the vertices, by a hash,
-take the label with most of their edges, admitted by gain. What is still alone
-then joins others whose heaviest neighbour has the same label (two hops away),
-vertices without an edge each other. The graph is contracted until it has about
+Two thirds of the vertices, by a hash, join the heaviest neighbour of the rest;
+what is still alone then joins others whose heaviest neighbour has the same
+label (two hops away), vertices without an edge each other. Clusters that would
+be too heavy are dealt out by a hash. The graph is contracted until it has about
 ``SMALL`` vertices, whatever it had at first, and these are split by recursive
 bisection in one task, whose size is that bound.
 
@@ -28,6 +28,8 @@ from .placement import split
 
 #: Vertices of the graph that is bisected, more only for more than a few dozen parts; buckets that moves of one gain are told apart by.
 SMALL, BUCKETS = 1000, 16
+#: Of the buckets, those whose vertices may move in one round.
+OUT = 12
 #: A cluster's weight in one contraction is at most so many times the mean.
 GROWTH = 8
 
@@ -44,43 +46,26 @@ def both(e: DataFrame) -> DataFrame:
 # Contraction
 
 
-def clustered(sym: DataFrame, v: DataFrame, most: float, rounds: int = 2) -> DataFrame:
-    """v, w, up: clusters of at most ``most`` in weight (a vertex may weigh more by itself), ``up`` being one of their vertices."""
-    now = v.select("v", "w", F.col("v").alias("up"))
-    for k in range(rounds):
-        turn = F.pmod(F.xxhash64("a", F.lit(k // 2)), F.lit(2)) == k % 2
-        near = sym.where(turn).join(now.select(F.col("v").alias("b"), F.col("up").alias("to")), "b").groupBy("a", "to").agg(F.sum("w").alias("s"))
-        j = near.join(now.select(F.col("v").alias("a"), F.col("w").alias("weight"), "up"), "a")
-        own = F.coalesce(F.sum(F.when(F.col("to") == F.col("up"), F.col("s"))), F.lit(0))
-        pick = F.max(F.when(F.col("to") != F.col("up"), F.struct("s", F.xxhash64("a", "to").alias("h"), "to")))
-        one = j.groupBy(F.col("a").alias("v"), "weight").agg(own.alias("own"), pick.alias("m")).select("v", "weight", F.col("m.to").alias("to"), (F.col("m.s") - F.col("own")).alias("gain")).where("gain > 0")
-        now = kept(now.join(_under(one, now, most), "v", "left").select("v", "w", F.coalesce("to", "up").alias("up")), "clusters")
-    return kept(_two_hops(sym, now, most), "clusters")
-
-
-def _under(moves: DataFrame, now: DataFrame, most: float) -> DataFrame:
-    """v, to: of ``moves`` (v, to, gain, weight) those that keep their target cluster under ``most``."""
-    m = moves.withColumn("bucket", F.pmod(F.xxhash64("v", F.lit(7)), F.lit(BUCKETS)))
-    sums = m.groupBy("to", "gain", "bucket").agg(F.sum("weight").alias("s"))
-    load = now.groupBy(F.col("up").alias("to")).agg(F.sum("w").alias("load"))
-    run = F.sum("s").over(Window.partitionBy("to").orderBy(F.desc("gain"), "bucket").rowsBetween(Window.unboundedPreceding, 0))
-    fit = sums.withColumn("run", run).join(load, "to", "left").where(F.coalesce("load", F.lit(0)) + F.col("run") <= most)
-    return m.join(fit.select("to", "gain", "bucket"), ["to", "gain", "bucket"], "left_semi").select("v", "to")
-
-
-def _two_hops(sym: DataFrame, now: DataFrame, most: float) -> DataFrame:
-    """Clusters of one vertex joined where their heaviest neighbours have one label; those without neighbours, too."""
+def clustered(sym: DataFrame, v: DataFrame, most: float, turn: int = 0) -> DataFrame:
+    """v, w, up: clusters of about ``most`` in weight at most (a vertex may weigh more by itself), ``up`` being one of their vertices."""
+    asks = lambda x: F.pmod(F.xxhash64(x, F.lit(turn)), F.lit(3)) < 2
+    asked = sym.where(asks("a") & ~asks("b")).groupBy(F.col("a").alias("v")).agg(F.max(F.struct("w", F.xxhash64("a", "b", F.lit(turn)).alias("h"), "b")).alias("m")).select("v", F.col("m.b").alias("to"))
+    now = kept(_parted(v.join(asked, "v", "left").select("v", "w", F.coalesce("to", "v").alias("hub")), most), "clusters")
+    # Two hops: clusters of one vertex join where their heaviest neighbours have one label; those without neighbours, too.
     size = now.groupBy("up").agg(F.count("*").alias("n"), F.min("v").alias("v")).where("n = 1").select("v", F.lit(True).alias("alone"))
     alone = now.join(size, "v").select("v", "w")
     near = sym.join(alone.select(F.col("v").alias("a")), "a", "left_semi").join(now.select(F.col("v").alias("b"), F.col("up").alias("hub")), "b")
     hub = near.groupBy("a", "hub").agg(F.sum("w").alias("s")).groupBy(F.col("a").alias("v")).agg(F.max(F.struct("s", "hub")).alias("m")).select("v", F.col("m.hub").alias("hub"))
-    asked = alone.join(hub, "v", "left").fillna(-1, ["hub"])
-    # By a hash into as many groups as the weight around the hub needs, two thirds full on average.
-    groups = asked.groupBy("hub").agg(F.ceil(F.sum("w") / (most / 1.5)).alias("k"))
-    group = F.pmod(F.xxhash64("v", F.lit(11)), F.col("k"))
-    asked = asked.join(groups, "hub").withColumn("group", group)
-    ids = asked.groupBy("hub", "group").agg(F.min("v").alias("to"))
-    return now.join(asked.join(ids, ["hub", "group"]).select("v", "to"), "v", "left").select("v", "w", F.coalesce("to", "up").alias("up"))
+    joined = _parted(alone.join(hub, "v", "left").fillna(-1, ["hub"]), most).select("v", F.col("up").alias("to"))
+    return kept(now.join(joined, "v", "left").select("v", "w", F.coalesce("to", "up").alias("up")), "clusters")
+
+
+def _parted(asked: DataFrame, most: float) -> DataFrame:
+    """v, w, up: those that ask for one hub (v, w, hub) together, in as many groups by a hash as their weight needs, two thirds full on average."""
+    groups = asked.groupBy("hub").agg(F.greatest(F.lit(1), F.ceil(F.sum("w") / (most / 1.5))).alias("k"))
+    asked = asked.join(groups, "hub").withColumn("group", F.when(F.col("v") == F.col("hub"), 0).otherwise(F.pmod(F.xxhash64("v", F.lit(11)), F.col("k"))))
+    ids = asked.groupBy("hub", "group").agg(F.min("v").alias("up"))
+    return asked.join(ids, ["hub", "group"]).select("v", "w", "up")
 
 
 def contracted(e: DataFrame, up: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -149,11 +134,12 @@ def halves(near: np.ndarray, weight: np.ndarray, share: float) -> np.ndarray:
 # Refinement
 
 
-def exchanged(e: DataFrame, place: DataFrame, parts: int, cap: float, rounds: int = 6, sym: DataFrame | None = None) -> DataFrame:
-    """v, w, part: the placement of least cut among those under ``cap`` that rounds of exchanges come to, ``place`` included.
+def exchanged(e: DataFrame, place: DataFrame, parts: int, cap: float | list[float], rounds: int = 6, sym: DataFrame | None = None) -> DataFrame:
+    """v, w, part: the placement of least cut among those under ``cap`` (one, or one a part) that rounds of exchanges come to, ``place`` included.
 
     If none of them is under the cap, rounds go on while the greatest load falls, and the last is given.
     """
+    cap = np.broadcast_to(np.asarray(cap, float), parts)
     sym = sym if sym is not None else kept(both(e), "sym")
     now, best, least, heaviest, k = kept(place.select("v", "w", "part"), "place"), None, None, None, 0
     load = np.zeros(parts)
@@ -170,8 +156,8 @@ def exchanged(e: DataFrame, place: DataFrame, parts: int, cap: float, rounds: in
         level = (F.signum(gain) * F.round(4 * F.log2(1 + F.abs(gain)))).cast("int")
         one = kept(one.select("v", "part", "weight", (F.col("all") - F.col("own")).alias("out"), F.col("m.to").alias("to"), gain.alias("gain"), level.alias("level"), F.pmod(F.xxhash64("v", F.lit(k)), F.lit(BUCKETS)).cast("int").alias("bucket")), "gains")
         sums = one.groupBy("part", "to", "level", "bucket").agg(F.sum("weight").alias("w"), F.sum("out").alias("out"), (F.sum(F.col("gain") * F.col("weight")) / F.sum("weight")).alias("gain")).toPandas()
-        cut, top = int(sums["out"].sum()) // 2, load.max()
-        if top <= cap and (least is None or cut < least):
+        cut, top = int(sums["out"].sum()) // 2, (load / np.maximum(cap, 1e-9)).max()
+        if top <= 1 and (least is None or cut < least):
             best, least = now, cut
         if k >= rounds and (best is not None or heaviest is not None and top >= heaviest):
             return best if best is not None else now
@@ -186,13 +172,13 @@ def exchanged(e: DataFrame, place: DataFrame, parts: int, cap: float, rounds: in
                 load[r["part"]] = r["s"]
 
 
-def _chosen(sums: pd.DataFrame, load: np.ndarray, cap: float) -> tuple[list[tuple], np.ndarray]:
+def _chosen(sums: pd.DataFrame, load: np.ndarray, cap: np.ndarray) -> tuple[list[tuple], np.ndarray]:
     """Which cells (part, to, level, bucket) of moves are carried out, and the loads then.
 
     ``sums`` has a row for each cell that occurs: at most parts * parts * levels * buckets of them. Of the buckets
-    half are exchanged, as vertices that leave together spoil each other's gain.
+    a share is exchanged, as vertices that leave together spoil each other's gain.
     """
-    load, out = load.copy(), []
+    load, out, cap = load.copy(), [], cap * 0.999
     sums = sums.sort_values(["level", "bucket"], ascending=[False, True], kind="stable")
     queue = {key: d for key, d in sums.groupby(["part", "to"], sort=False)}
     take = lambda d: out.extend(zip(d["part"], d["to"], d["level"], d["bucket"], strict=True))
@@ -201,7 +187,7 @@ def _chosen(sums: pd.DataFrame, load: np.ndarray, cap: float) -> tuple[list[tupl
         taken[p, q] = 0
         if p > q or (q, p) not in queue:
             continue
-        x, y = (z[z["bucket"] < BUCKETS // 2] for z in (d, queue[q, p]))
+        x, y = (z[z["bucket"] < OUT] for z in (d, queue[q, p]))
         if not len(x) or not len(y):
             continue
         gx, gy, wx, wy = x["gain"].to_numpy(), y["gain"].to_numpy(), x["w"].to_numpy().cumsum(), y["w"].to_numpy().cumsum()
@@ -215,14 +201,14 @@ def _chosen(sums: pd.DataFrame, load: np.ndarray, cap: float) -> tuple[list[tupl
             moved = w[taken[key] - 1] if taken[key] else 0
             load[key[0]] -= moved
             load[key[1]] += moved
-            queue[key] = pd.concat([z.iloc[taken[key] :], queue[key][queue[key]["bucket"] >= BUCKETS // 2]]) if load[key[0]] > cap else z.iloc[taken[key] :]
+            queue[key] = pd.concat([z.iloc[taken[key] :], queue[key][queue[key]["bucket"] >= OUT]]) if load[key[0]] > cap[key[0]] else z.iloc[taken[key] :]
     # Moves that there is room for: those with gain, then any from a part over its cap until it is under.
     for (p, q), d in sorted(queue.items(), key=lambda kv: -load[kv[0][0]]):
         d = d.sort_values(["level", "bucket"], ascending=[False, True], kind="stable")
-        good = (d["gain"] > 0) & ((d["bucket"] < BUCKETS // 2) | (load[p] > cap))
-        for own, room in ((d[good], cap - load[q]), (d[~good], None)):
+        good = (d["gain"] > 0) & ((d["bucket"] < OUT) | (load[p] > cap[p]))
+        for own, room in ((d[good], cap[q] - load[q]), (d[~good], None)):
             run = own["w"].to_numpy().cumsum()
-            n = int(np.searchsorted(run, room if room is not None else min(cap - load[q], load[p] - cap), side="right"))
+            n = int(np.searchsorted(run, room if room is not None else min(cap[q] - load[q], load[p] - cap[p]), side="right"))
             if n:
                 take(own.iloc[:n])
                 load[p] -= run[n - 1]
@@ -230,7 +216,7 @@ def _chosen(sums: pd.DataFrame, load: np.ndarray, cap: float) -> tuple[list[tupl
     return [tuple(int(z) for z in x) for x in out] or [(-1, -1, 0, 0)], load
 
 
-def _inner(now: DataFrame, edge: DataFrame, load: np.ndarray, cap: float, k: int) -> DataFrame | None:
+def _inner(now: DataFrame, edge: DataFrame, load: np.ndarray, cap: np.ndarray, k: int) -> DataFrame | None:
     """v, to: of parts that are over the cap still, vertices without an edge to another part, as many as are over, to parts with room."""
     over, room = np.maximum(load - cap, 0), np.maximum(cap - load, 0)
     if over.sum() < 1 or room.sum() <= 0:
@@ -246,7 +232,7 @@ def _inner(now: DataFrame, edge: DataFrame, load: np.ndarray, cap: float, k: int
 # All levels
 
 
-def multilevel(g: TemporalGraph, parts: int, slack: float = 1.03, weight: DataFrame | None = None, small: int = SMALL, rounds: tuple[int, int] = (3, 8)) -> DataFrame:
+def multilevel(g: TemporalGraph, parts: int, slack: float = 1.03, weight: DataFrame | None = None, small: int = SMALL, rounds: tuple[int, int] = (1, 10)) -> DataFrame:
     """v, part with at most ``slack`` times the mean weight on a part, of vertices (v, w) that weigh 1 if none are given.
 
     ``rounds`` are those of the contracted graphs and of the whole one. A graph that clusters can't make smaller
@@ -257,15 +243,17 @@ def multilevel(g: TemporalGraph, parts: int, slack: float = 1.03, weight: DataFr
     row = v.agg(F.sum("w").alias("w"), F.count("*").alias("n")).first()
     total, n, cap = row["w"] or 0, row["n"], slack * (row["w"] or 0) / parts
     stop, stack = max(30 * parts, small), []
-    while n > stop:
+    while n > 2 * stop:
         sym = kept(both(e), "sym")
-        up = clustered(sym, v, min(1.5 * total / stop, GROWTH * total / n))
+        up = clustered(sym, v, min(3 * total / stop, GROWTH * total / n), len(stack))
         ee, vv = (kept(x, "contracted") for x in contracted(e, up))
         fewer = vv.count()
         if fewer > 0.95 * n:
             break
         stack.append((e, sym, up))
-        e, v, n = ee, vv, fewer
+        e, v, slow, n = ee, vv, fewer > 0.7 * n, fewer
+        if slow and n <= 4 * stop:
+            break
     if n <= 4 * stop:
         place = kept(bisected(e, v, parts), "place")
     else:

@@ -16,13 +16,11 @@ from ..functions.scratch import kept
 from ..sources.graphs import TemporalGraph
 from . import supra as G
 from .metrics import block_matrix
+from .multilevel import exchanged
 from .placement import split
 from .stats import degree
 from .supra import both_ways
 
-#: Chunks of cells at most: their sums and pairs are what the driver gets.
-MAX_CHUNKS = 1024
-
 
 def degeneracy_order(core: DataFrame) -> DataFrame:
     """v, rank in the order of (core, v)."""
@@ -175,7 +173,7 @@ def supra_chunks(g: TemporalGraph, snaps: int, w_space: int = 2, w_time: int = 1
     """cell_id, v, snap, chunk: cells by the chunk of most weight around them, from runs of the rank (v, rank; ids without one), as many as the root of the cells' number."""
     cell = kept(G.cells(g, snaps), "cells")
     n = cell.count()
-    chunks = max(1, min(MAX_CHUNKS, int(n**0.5)))
+    chunks = max(1, int(n**0.5))
     ranked = cell.join(rank, "v") if rank is not None else cell.withColumn("rank", F.col("v"))
     now = ranked.select("cell_id", F.expr(f"rank * {chunks} div {max(1, g.num_nodes)}").alias("chunk"))
     near = kept(cell_pairs(g, cell, snaps, w_space, w_time), "pairs")
@@ -187,35 +185,22 @@ def supra_chunks(g: TemporalGraph, snaps: int, w_space: int = 2, w_time: int = 1
 
 
 def by_chunks(g: TemporalGraph, snaps: int, speeds: list[float], w_space: int = 2, w_time: int = 1, tolerance: float = 1.10) -> DataFrame:
-    """v, part: chunks of cells, the heaviest first, to the part with most room and most weight to it that isn't over its share; a vertex follows most of its cells' weight.
+    """v, part: chunks of cells on parts by their speeds, exchanged while the weight between parts falls and no part is over ``tolerance`` times its share; a vertex follows most of its cells' weight.
 
-    The driver gets at most ``MAX_CHUNKS`` sums and the weights between them.
+    The chunks are the vertices of a graph of their own: they begin in runs of their order, cut at the parts' shares.
     """
     c = kept(supra_chunks(g, snaps, w_space, w_time), "chunks")
     pair = kept(cell_pairs(g, c.select("cell_id", "v", "snap"), snaps, w_space, w_time), "pairs")
     own = kept(c.join(pair.groupBy(F.col("a").alias("cell_id")).agg(F.sum("w").alias("w")), "cell_id", "left").fillna(0, ["w"]), "weights")
-    work = {r["chunk"]: float(r["w"]) for r in own.groupBy("chunk").agg(F.sum("w").alias("w")).collect()}
+    work = kept(own.groupBy(F.col("chunk").alias("v")).agg(F.sum("w").alias("work")), "work")
     x, y = c.select(F.col("cell_id").alias("a"), F.col("chunk").alias("x")), c.select(F.col("cell_id").alias("b"), F.col("chunk").alias("y"))
-    near: dict[int, list[tuple[int, float]]] = {}
-    for r in pair.join(x, "a").join(y, "b").where("x <> y").groupBy("x", "y").agg(F.sum("w").alias("w")).collect():
-        near.setdefault(r["x"], []).append((r["y"], float(r["w"])))
-    speed = np.array(speeds)
-    target, load, home = speed / speed.sum() * sum(work.values()), np.zeros(len(speeds)), {}
-    top = max([1.0, *work.values()])
-    for k in sorted(work, key=lambda k: (-work[k], k)):
-        tie = np.zeros(len(speeds))
-        for other, w in near.get(k, ()):
-            if other in home:
-                tie[home[other]] += w
-        room = load < tolerance * target
-        score = (target - load) / np.maximum(1.0, target) + tie / top
-        home[k] = p = int(np.where(room, score, -np.inf).argmax()) if room.any() else int(load.argmin())
-        load[p] += work[k]
-    names = g.spark.createDataFrame(list(home.items()), "chunk long, part long")
-    votes = own.join(F.broadcast(names), "chunk").groupBy("v", "part").agg(F.sum("w").alias("w"))
+    e = kept(pair.join(x, "a").join(y, "b").where("x < y").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w")), "chunk-edges")
+    total = work.agg(F.sum("work")).first()[0] or 0
+    start = split(work, [F.asc("v")], len(speeds), [max(1, round(1000 * s / max(speeds))) for s in speeds]).select("v", F.col("work").alias("w"), "part")
+    home = exchanged(e, start, len(speeds), [tolerance * total * s / sum(speeds) for s in speeds]).select(F.col("v").alias("chunk"), "part")
+    votes = own.join(home, "chunk").groupBy("v", "part").agg(F.sum("w").alias("w"))
     best = votes.groupBy("v").agg(F.min(F.struct((-F.col("w")).alias("w"), "part")).alias("m")).select("v", F.col("m.part").alias("part"))
-    least = int(load.argmin())
-    return g.vertices().select("v").join(best, "v", "left").select("v", F.coalesce("part", F.lit(least)).cast("long").alias("part"))
+    return g.vertices().select("v").join(best, "v", "left").select("v", F.coalesce("part", F.pmod("v", F.lit(len(speeds)))).cast("long").alias("part"))
 
 
 def feature_clusters(features: DataFrame, k: int, seed: int = 0, rounds: int = 25) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scratch import kept
+from ..operators import batched as B
 from ..operators import choice as X
 from ..operators import cost as C
 from ..operators import greedy as K
@@ -263,10 +264,10 @@ def _allocate(g, s):
 def _heterogeneous(g, s):
     """Each vertex once within the devices' caps; from a prior placement without a budget, vertices that nothing new touches stay."""
     caps, link = [50, 30, 20, 20], [[0.0 if i == j else 50.0 / (1 + abs(i - j)) for j in range(D)] for i in range(D)]
-    p = kept(K.heterogeneous(g, caps, link), "hetero")
+    p = kept(B.heterogeneous(g, caps, link), "hetero")
     n, most = p.agg(F.count("*").alias("n"), F.count_distinct("v").alias("d")).first(), {r["part"]: r["count"] for r in p.groupBy("part").count().collect()}
-    whole = K.heterogeneous(g, caps, link, prior=p)
-    row = (n["n"], n["n"] == n["d"] == g.num_nodes, all(most.get(k, 0) <= c for k, c in enumerate(K.fitted_caps(caps, g.num_nodes))), whole.exceptAll(p).count() == 0)
+    whole = B.heterogeneous(g, caps, link, prior=p)
+    row = (n["n"], n["n"] == n["d"] == g.num_nodes, all(most.get(k, 0) <= c for k, c in enumerate(B.fitted_caps(caps, g.num_nodes))), whole.exceptAll(p).count() == 0)
     return g.spark.createDataFrame([row], "nodes long, covered boolean, within_cap boolean, grown_keeps boolean")
 
 

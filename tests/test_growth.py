@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from tessera import catalog
+from tessera.operators import batched as B
 from tessera.operators import choice as X
 from tessera.operators import greedy as K
 from tessera.operators import memory as R
@@ -102,16 +103,16 @@ def test_control_loop_drains(spark):
 def test_heterogeneous_streaming(spark):
     g, e = toy(spark, 40, 300, 5)
     link = [[0.0, 50.0, 1.0], [50.0, 0.0, 1.0], [1.0, 1.0, 0.0]]
-    one = {r.v: r.part for r in K.heterogeneous(g, [40, 40, 40], link, alpha=0.1).collect()}
+    one = {r.v: r.part for r in B.heterogeneous(g, [40, 40, 40], link, alpha=0.1).collect()}
     assert len(one) == 40 and set(one.values()) <= {0, 1}  # a device can hold all, the third is dear to reach
     caps = [20, 15, 10]
-    two = {r.v: r.part for r in K.heterogeneous(g, caps, link).collect()}
+    two = {r.v: r.part for r in B.heterogeneous(g, caps, link).collect()}
     assert all(sum(p == k for p in two.values()) <= c for k, c in enumerate(caps))
     prior = spark.createDataFrame([(v, p) for v, p in two.items() if v < 35], "v long, part long")
-    grown = {r.v: r.part for r in K.heterogeneous(g, caps, link, prior=prior).collect()}
+    grown = {r.v: r.part for r in B.heterogeneous(g, caps, link, prior=prior).collect()}
     near = {b for s, d, _ in e for a, b in ((s, d), (d, s)) if a >= 35}
     assert all(grown[v] == two[v] for v in range(35) if v not in near) and len(grown) == 40
-    assert K.fitted_caps([1, 1], 10) == [5, 5] and sum(K.fitted_caps([3, 1, 1], 11)) == 11
+    assert B.fitted_caps([1, 1], 10) == [5, 5] and sum(B.fitted_caps([3, 1, 1], 11)) == 11
 
 
 def test_merging_blocks_and_order_blocks(spark):
