@@ -275,13 +275,16 @@ class Model:
     default: tuple[float, float, float, float]
     #: How much a leaf's own potential counts: leaves of one block repeat each other's evidence.
     leaf: float = 1.0
+    #: The same on pages without telling names.
+    plain_leaf: float = 1.0
 
     def marginals(self, t: Tree) -> list[float]:
         """Log-odds of content of each node by sum-product over the tree."""
         n, weights, pair = len(t.tag), self.weights, self.pair
         unary = [sum(weights.get(x, 0.0) for x in f) for f in node_features(t)]
-        unary = [self.leaf * u if tag == LEAF else u for u, tag in zip(unary, t.tag, strict=True)]
         plain = nameless(t)
+        leaf = self.plain_leaf if plain else self.leaf
+        unary = [leaf * u if tag == LEAF else u for u, tag in zip(unary, t.tag, strict=True)]
         pot = [pair.get(_pair_kind(t, i, plain), self.default) for i in range(n)]
         # A message is the log-odds that it says; belief: unary and messages of the children.
         up, belief = [0.0] * n, unary[:]
@@ -318,7 +321,8 @@ def fit(pages: list[str], ridge: float = 0.5, rounds: int = 250) -> Model:
             if y is not None:
                 seen.setdefault(tuple(f), [0, 0])[y] += 1
         plain = nameless(t)
-        pairs += [(_pair_kind(t, i, plain), t.label[t.parent[i]], t.label[i]) for i in range(1, len(t.tag)) if t.label[i] is not None and t.label[t.parent[i]] is not None]
+        # What holds both content and other things has no label: it isn't content itself, but its children may be (without names, they tell by themselves).
+        pairs += [(_pair_kind(t, i, plain), t.label[t.parent[i]] or 0, t.label[i]) for i in range(1, len(t.tag)) if t.label[i] is not None and not (plain and t.label[t.parent[i]] is None)]
     names = sorted({x for f in seen for x in f})
     index = {x: i for i, x in enumerate(names)}
     x, count = np.zeros((len(seen), len(names))), np.array(list(seen.values()), float)
@@ -349,11 +353,13 @@ def fit(pages: list[str], ridge: float = 0.5, rounds: int = 250) -> Model:
     # The share of the leaves' evidence under which most of the labelled leaves come out right, the larger of equals.
     trees = [parse(html, marked=True) for html in pages[::2]]
 
-    def wrong(leaf: float) -> int:
-        model.leaf = leaf
-        return sum((m > 0) != bool(y) for t in trees for tag, y, m in zip(t.tag, t.label, model.marginals(t), strict=True) if tag == LEAF and y is not None)
+    def wrong(name: str, leaf: float) -> int:
+        setattr(model, name, leaf)
+        own = [t for t in trees if nameless(t) == (name == "plain_leaf")]
+        return sum((m > 0) != bool(y) for t in own for tag, y, m in zip(t.tag, t.label, model.marginals(t), strict=True) if tag == LEAF and y is not None)
 
-    model.leaf = min((0.05, 0.1, 0.2, 0.35, 0.6, 1.0), key=lambda x: (wrong(x), -x))
+    for name in ("leaf", "plain_leaf"):
+        setattr(model, name, min((0.05, 0.1, 0.2, 0.35, 0.6, 1.0), key=lambda x: (wrong(name, x), -x)))  # noqa: B023
     return model
 
 
@@ -411,10 +417,15 @@ def labelled_pages(n: int = 600, seed: int = 20) -> list[str]:
         out = []
         for _ in range(r.randint(lo, hi)):
             k = r.random()
-            if k < 0.7:
+            if k < (0.7 if nameless else 0.6):  # without names, links are what tells a menu
                 out.append(f"<p>{inline(sentences(1, 6))}" + "</p>" * (r.random() < 0.85))
+            elif k < 0.67:  # a paragraph that is a link
+                out.append(f"<p><a href='#'>{r.choice((phrase(1, 6), sentences(1, 3)))}</a></p>")
+            elif k < 0.7:  # sources
+                out.append(f"<ul>{links(r.randint(1, 5))}</ul>")
             elif k < 0.78:
-                out.append(f"<h2>{phrase(2, 8)}</h2><p>{sentences(1, 5)}</p>")
+                h = phrase(2, 8)
+                out.append(f"<h2>{h if nameless or r.random() < 0.75 else f'<a href=#>{h}</a>'}</h2><p>{sentences(1, 5)}</p>")
             elif k < 0.86:
                 out.append("<ul>" + "".join(f"<li>{r.choice((phrase(2, 8), sentences(1, 2)))}</li>" for _ in range(r.randint(2, 5))) + "</ul>")
             elif k < 0.92:
@@ -461,6 +472,8 @@ def labelled_pages(n: int = 600, seed: int = 20) -> list[str]:
         nameless = r.random() < NAMELESS
         ends = ("....!?", "....!?", "....!?", ("", "", " *", "%", ","))[r.randrange(4)]  # some pages are written without full stops
         title = f"<h1>{phrase(1, 9)}{r.choice(('', '.', '?'))}</h1>"
+        if r.random() < 0.3 and not nameless:  # a header of the article's own
+            title = f"<header>{title}{r.choice(('', f'<p>{phrase(1, 5)}</p>', f'<p>{sentences(1, 2)}</p>'))}</header>"
         body = title * (r.random() < 0.9) + prose(1, 8)
         inside = "".join(r.sample([*extras(), ""], 1)) if r.random() < 0.35 and not nameless else ""
         if inside:
@@ -471,7 +484,7 @@ def labelled_pages(n: int = 600, seed: int = 20) -> list[str]:
         if nameless:
             wrapped = re.sub("<(/?)(?:p|blockquote)>", r"<\1div>", body) if r.random() < 0.5 else body
             main = unnamed(wrapped, 1)
-        elif k < 0.45:
+        elif k < 0.35:
             main = f'<article data-main="1">{body}</article>'
         elif k < 0.6:
             main = f'<main data-main="1">{body}</main>'

@@ -300,3 +300,27 @@ def test_toxicity_with_labels_of_one_class(spark, classes):
         assert len(toxic & kept) < 0.05 * len(toxic)
     else:
         assert kept == clean | toxic
+
+
+ONE, TWO, THREE = "First text of the page, that is long enough to be one. It goes on.", "Second text of the page, also long enough. It ends here.", "A third text, with what is left to say about it."
+H1, HEAD = "<h1>A title of it</h1>", "A title of it"
+
+
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [
+        ("<main>{h1}{p}</main>", [HEAD, ONE, TWO, THREE]), ("<main>{p}</main>", [ONE, TWO, THREE]), ("<div class=wrapper><main>{h1}{p}</main></div>", [HEAD, ONE, TWO, THREE]),
+        ("<article>{h1}{p}<p><a href=x>A text that is a link as a whole, and long.</a></p></article>", [HEAD, ONE, TWO, THREE, "A text that is a link as a whole, and long."]),
+        ("<article>{h1}<p><a href=x>See the notes</a></p>{p}</article>", [HEAD, "See the notes", ONE, TWO, THREE]),
+        ("<article><header>{h1}</header>{p}</article>", [HEAD, ONE, TWO, THREE]), ("<article><header>{h1}</header><p>" + ONE + "</p></article>", [HEAD, ONE]),
+        ('<div class="content"><header>{h1}</header><p>' + ONE + "</p></div>", [HEAD, ONE]), ('<div class="content"><header>{h1}</header>{p}{p}</div>', [HEAD, ONE, TWO, THREE] * 1 + [ONE, TWO, THREE]),
+        ("<article>{h1}{p}<h2><a href=y>A linked heading</a></h2><p>" + ONE + "</p></article>", [HEAD, ONE, TWO, THREE, "A linked heading", ONE]),
+        ("<article>{h1}{p}<ul><li><a href=s>First source</a></li><li><a href=t>Second source</a></li></ul></article>", [HEAD, ONE, TWO, THREE, "First source", "Second source"]),
+        ('<article>{h1}{p}</article><section class="comments"><p>I liked this text. It is good.</p></section>', [HEAD, ONE, TWO, THREE]),
+    ],
+)
+def test_page_written_by_hand(page_model, inner, want):
+    """Whole articles come back, between an ordinary nav and footer that don't."""
+    nav = "<nav><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li><li><a href=c>About us</a></li></ul></nav>"
+    html = f"<body>{nav}{inner.format(h1=H1, p=''.join(f'<p>{x}</p>' for x in (ONE, TWO, THREE)))}<footer><p>&copy; 2020 A company. All rights reserved.</p></footer></body>"
+    assert H.blocks(html, page_model) == want
