@@ -5,12 +5,14 @@ A coarse quantiser and one codebook per subspace are fitted on a bounded sample
 its nearest centroid, with a code of its residual. A neighbour at distance r lies in another
 cell only if it is across the plane between that cell's centroid and the
 query's own. Of a difference of length r, the part along one direction is about
-r / sqrt(dimensions); a query goes to every list whose plane is within ``SIGMAS``
-times that, and a link is found if either end's query finds it. In a list, table
+r / sqrt(d) where differences fill d dimensions; d is measured on the sample, as
+the lesser of what all its differences fill and what those of close vectors do.
+A query goes to every list whose plane is within ``SIGMAS`` times that, and never
+further than r (at d of 5 or less that is exact), and a link is found if either end's query finds it. In a list, table
 lookups give asymmetric distances to the codes; a pair whose distance, less what
 the code is off (each vector's quantisation error is stored), may be a link is
 reranked by its exact cosine in double precision. So codes lose no link and only
-save exact work; probes may lose one (measured: recall above 0.9999).
+save exact work; probes may lose one (recall is tested at several intrinsic dimensions).
 
 Equal vectors are one node with a weight, so a group of copies costs no more than
 one of them. Lists are cut into blocks of ``BLOCK`` nodes by position, queries of
@@ -75,6 +77,28 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
+def filled(x: np.ndarray, anchors: int = 256, near: int = 24) -> float:
+    """How many dimensions the differences of vectors fill: the participation ratio of their covariance, of all or around an anchor, whichever is less."""
+
+    def ratio(c: np.ndarray) -> float:
+        return float(np.trace(c) ** 2 / max((c * c).sum(), 1e-300))
+
+    d = x - x.mean(axis=0)
+    whole = ratio(d.T @ d)
+    if len(x) < 4 * near:
+        return max(1.0, whole)
+    local = []
+    for a in x[:: max(1, len(x) // anchors)][:anchors]:
+        far = ((x - a) ** 2).sum(axis=1)
+        far[far < 1e-12] = np.inf  # itself and its copies
+        d = x[np.argpartition(far, near)[:near]] - a
+        d = d - d.mean(axis=0)
+        # Of so few differences the ratio is too small by a known amount: 1 / ratio = 1 / d + 1 / (near - 1).
+        r = ratio(d @ d.T)
+        local.append(1.0 / max(1.0 / r - 1.0 / (near - 1), 1.0 / x.shape[1]))
+    return max(1.0, min(whole, float(np.median(local))))
+
+
 @dataclass
 class Quantiser:
     """Coarse centroids and, for each subspace, codewords of residuals."""
@@ -182,13 +206,13 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id",
     dim, total = sizes["n"], sizes["count"]
     lists = int(min(MAX_LISTS, max(1, 2 * round(total**0.5))))
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    margin = min(radius, SIGMAS * radius / float(np.sqrt(dim)))
     picked = v.where(share("id") < min(1.0, sample / total)).limit(2 * sample).select("v").toArrow()
     kind = "<f4" if vectors.schema[column].dataType.elementType.typeName() == "float" else "<f8"
     x = _unit(_usable(picked.column("v"), kind, dim)[0], kind, dim)
     if not len(x):
         empty = spark.createDataFrame([], result)
         return empty.select("id", "n"), empty.select("a", "b")
+    margin = min(radius, SIGMAS * radius / filled(x) ** 0.5)
     quantiser = Quantiser.fit(x, lists)
     quantiser.prepare()
     shared = spark.sparkContext.broadcast(quantiser)
