@@ -344,11 +344,21 @@ _CH = (
     + "".join(f", c{i + 1} AS (SELECT c{i}.cell_id, coalesce(t.chunk, c{i}.chunk) AS chunk FROM c{i} LEFT JOIN (SELECT a, chunk FROM (SELECT a, chunk, row_number() OVER (PARTITION BY a ORDER BY sum(w) DESC, chunk) AS r FROM pw JOIN c{i} ON c{i}.cell_id = b GROUP BY a, chunk) WHERE r = 1) t ON t.a = c{i}.cell_id)" for i in range(2))
 )
 query("supra_chunks", "F", _CH + " SELECT cell_id, chunk FROM c2")(lambda g, s: O.supra_chunks(g, s).select("cell_id", "chunk"))
-query("part_chunks", "F", _LOADS_SQL.format("true"))(lambda g, s: _cover(g, O.by_chunks(g, s, [d[4] for d in Q._DEVS]), True))
-query("feature_clusters", "F", _LOADS_SQL.format("true"))(
-    lambda g, s: _cover(g, O.feature_clusters(Q.X.features(g), D).withColumnRenamed("label", "part"), True)
-)
-query("spectral_parts", "F", _LOADS_SQL.format("true"))(lambda g, s: _cover(g, O.spectral_parts(g, D), True))
+# Parts of these differ in size, so they cut less than even, unrelated ones do, or what they are for is lost; the hash's cut is a value.
+_CUT_SQL = _HASH + " SELECT (SELECT n FROM n)::BIGINT AS nodes, true AS covered, count(*) FILTER (x.part <> y.part)::BIGINT AS hash_cut, true AS cuts_less FROM edges JOIN pl x ON x.v = src JOIN pl y ON y.v = dst"
+
+
+def _cuts_less(g, p):
+    p = kept(p.select("v", "part"), "parts")
+    n = p.agg(F.count("*").alias("n"), F.count_distinct("v").alias("d"), F.min("part").alias("a"), F.max("part").alias("b")).first()
+    cut = lambda x: M.placed(g, x).where("ps <> pd").count()
+    base = cut(P.by_hash(g, D))
+    return g.spark.createDataFrame([(n["n"], n["n"] == n["d"] == g.num_nodes and n["a"] >= 0 and n["b"] < D, base, cut(p) <= base)], "nodes long, covered boolean, hash_cut long, cuts_less boolean")
+
+
+query("part_chunks", "F", _CUT_SQL)(lambda g, s: _cuts_less(g, O.by_chunks(g, s, [d[4] for d in Q._DEVS])))
+query("feature_clusters", "F", _CUT_SQL)(lambda g, s: _cuts_less(g, O.feature_clusters(Q.X.features(g), D).withColumnRenamed("label", "part")))
+query("spectral_parts", "F", _CUT_SQL)(lambda g, s: _cuts_less(g, O.spectral_parts(g, D)))
 
 
 def _peek_sql(upto: int) -> str:

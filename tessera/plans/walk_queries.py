@@ -1,14 +1,17 @@
-"""Queries on visit orders and spectra."""
+"""Queries on visit orders, spectra and refinements of a placement."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions.scratch import kept
+from ..operators import halo as H
+from ..operators import placement as P
 from ..operators import spectra as E
 from ..operators import walks as W
 from ..sources import graphs
 from .growth_queries import registrar
+from .structure_queries import _HASH, D
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -44,3 +47,28 @@ def _fiedler(g, s):
 
 query("snapshot_lambda2", "F")(lambda g, s: E.snapshot_gaps(g, s))
 query("space_time_bound", "F")(lambda g, s: E.lower_bound(g, s, 4))
+
+
+# Halo rows and edge ends of the placement that refinement begins from; loops don't count.
+_START = _HASH + """, hs AS (SELECT DISTINCT x.part, b FROM sym JOIN pl x ON x.v = a JOIN pl y ON y.v = b WHERE a <> b AND x.part <> y.part),
+wk AS (SELECT part, count(*) AS ends FROM sym JOIN pl ON v = a WHERE a <> b GROUP BY part), hc AS (SELECT part, count(*) AS halo FROM hs GROUP BY part)"""
+
+
+def _refined(objective: str):
+    def run(g, s):
+        """The objective before (a value), and whether it falls, is what it is said to be, and vertices and caps are kept."""
+        start = kept(P.by_hash(g, D).select("v", "part"), "start")
+        cap = 1.05 * g.num_nodes / D
+        done, trace = H.refined(g, start, D, cap, objective)
+        sym = kept(H.both(H.simple(g)), "sym")
+        costs = H.part_costs(H.incidence(sym, done), done)
+        now = sum(c[2] for c in costs.values()) if objective == "halo" else max(c[1] + H.ALPHA * c[2] for c in costs.values())
+        row = (trace[0], all(a > b for a, b in zip(trace, trace[1:], strict=False)) and now <= trace[0], now == trace[-1], sum(c[0] for c in costs.values()) == g.num_nodes, max(c[0] for c in costs.values()) <= cap)
+        return g.spark.createDataFrame([row], "before long, falls boolean, recounted boolean, covered boolean, within_cap boolean")
+
+    return run
+
+
+_KEPT = "true AS falls, true AS recounted, true AS covered, true AS within_cap"
+query("halo_polish", "O", _START + f" SELECT (SELECT count(*) FROM hs)::BIGINT AS before, {_KEPT}")(_refined("halo"))
+query("straggler_polish", "O", _START + f" SELECT (SELECT max(ends + {H.ALPHA} * coalesce(halo, 0)) FROM wk LEFT JOIN hc USING (part))::BIGINT AS before, {_KEPT}")(_refined("straggler"))
