@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .license_texts import DIGESTS, SPELLINGS, TEXTS
-from .shared import read_table
+from .shared import read_table, unused
 
 #: Copyright with (c), a placeholder or a year, (c) with either, the sign, or rights reserved alone: not licence text that is wrapped before such a word.
 NOTICE_LINE = r"(?m)^[^\p{L}\p{N}\n(©]*(?:copyright\b(?:[^\p{L}\p{N}\n]*(?:\(c\)|©|[<\[{])|[^\n]*\b(?:19|20)\d\d\b)[^\n]*|\(c\)[ \t]*(?:copyright\b|(?:19|20)\d\d|[<\[{])[^\n]*|©[^\n]*|all rights reserved[^\p{L}\p{N}\n]*)$"
@@ -46,8 +46,9 @@ def scan(docs: DataFrame, licenses: DataFrame | None = None, text: str = "text")
     """``docs`` with canon_chars, digest, license_id (null: none) and is_license."""
     licenses = known(docs.sparkSession) if licenses is None else licenses
     kept = [c for c in docs.columns if c not in ("canon_chars", "digest", "license_id", "is_license")]
-    d = docs.select(*kept, canonical(F.col(text)).alias("_canon"))
-    d = d.select(*kept, F.length("_canon").cast("long").alias("canon_chars"), F.sha2("_canon", 256).alias("digest"))
+    own = unused(docs, "_canon")
+    d = docs.select(*kept, canonical(F.col(text)).alias(own))
+    d = d.select(*kept, F.length(own).cast("long").alias("canon_chars"), F.sha2(own, 256).alias("digest"))
     return d.join(F.broadcast(licenses), "digest", "left").select(*kept, "canon_chars", "digest", "license_id", F.col("license_id").isNotNull().alias("is_license"))
 
 

@@ -50,6 +50,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, or one like it that isn't a column of ``docs``: for columns of an operator's own."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def freeing(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """The generator function of a task, giving freed memory back to the system at its end: Python workers live on."""
 
