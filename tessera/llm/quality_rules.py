@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read_table
+from .shared import read_table, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 MIN_WORDS = 50
@@ -55,7 +55,10 @@ RULES = (
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_stop_words and the ratios."""
-    d = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    # A caller's columns with the names of this function's own step aside until the end.
+    aside = {c: unused(docs, f"{c}_aside") for c in docs.columns if c.lower() in ("_t", "_w", "_lines", "_grams", "_sorted")}
+    d = docs.withColumnsRenamed(aside)
+    d = d.withColumn("_t", F.coalesce(F.col(aside.get(text, text)), F.lit("")))
     d = d.withColumn("_w", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)))
     d = d.withColumns(
         {
@@ -99,7 +102,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
             "repeat_ratio": ratio("n_repeat_words", "n_words"),
         }
     )
-    return d.drop("_t", "_w", "_lines", "_grams", "_sorted")
+    return d.drop("_t", "_w", "_lines", "_grams", "_sorted").withColumnsRenamed({v: k for k, v in aside.items()})
 
 
 def verdict(rules: tuple[Rule, ...] = RULES) -> dict[str, Column]:
