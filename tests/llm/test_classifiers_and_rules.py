@@ -2,6 +2,8 @@
 
 import zlib
 
+import duckdb
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -214,7 +216,11 @@ def test_licences_wrapped(spark):
 
     rows = [(k, wrapped(t, w)) for k, t in TEXTS.items() for w in range(20, 90, 3)]
     docs = spark.createDataFrame(rows, "doc_id string, text string")
-    assert [r.doc_id for r in Z.scan(docs).collect() if r.license_id != r.doc_id] == []
+    got = Z.scan(docs).collect()
+    assert [r.doc_id for r in got if r.license_id != r.doc_id] == []
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}))
+    assert sorted(con.execute(Z.ORACLE_SQL["op5_license_scan"]).fetchall()) == sorted((r.doc_id, r.canon_chars, r.digest, r.license_id, r.is_license) for r in got)
 
 
 def test_long_licences_by_digest(spark):
