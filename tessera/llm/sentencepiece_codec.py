@@ -3,10 +3,11 @@
 The model protobuf is parsed here and its parts rebuilt: normaliser (compiled
 character map, extra white space, dummy prefix), the metaspace marker, unigram
 scores or, for BPE models, merges ranked by the score of the piece they make,
-and byte fallback. Where the model cuts at the marker, texts are
-split at single spaces, new words go through the library one by one on one thread
-and a cache keeps their ids; other texts go to the library's threads in batches. Encodings can
-be held against the ``sentencepiece`` library's own, text by text.
+and byte fallback. Everything is encoded in batches on the library's threads:
+where the model cuts at the marker, the words that single spaces separate and
+that a cache doesn't know yet, in one batch for a slice of texts; other texts
+whole. Encodings can be held against the ``sentencepiece`` library's own, text
+by text.
 
 Defined results: null and empty texts have no ids and decode to the empty text;
 repeated rows each get their row; rows are independent, so there is no shuffle.
@@ -148,17 +149,16 @@ class Codec:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         self.model = Model.read(path)
-        self.tokenizer = t = self.model.tokenizer()
+        self.tokenizer = self.model.tokenizer()
         #: The bytes of each piece, with a space for the marker.
         self.bytes = np.array([bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in self.model.pieces], dtype=object)
         self.byte_ids = np.array([k == BYTE for _, _, k in self.model.pieces])
         self.plain = self.model.cuts_at_marker and not self.model.charsmap and not self.model.remove_extra and self.model.dummy_prefix
         unsafe = re.compile(f"  |^ | $|{MARK}")
-        tokenize = t.model.tokenize
 
         def chunks(words: list[str]) -> list[bytes]:
-            """A word and the marker before it are one text to the model; words are tokens of it and nothing else."""
-            return [np.array([x.id for x in tokenize(MARK + w)], dtype="<u4").tobytes() for w in words]
+            """A word alone gets the marker before it, as it has in its text."""
+            return [np.array(x, dtype="<u4").tobytes() for x in self._whole(words)]
 
         self.cache = WordCache(lambda x: None if unsafe.search(x) else x.split(" ") if x else [], chunks, self._whole)
 
