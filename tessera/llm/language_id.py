@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import bytewise as B
 from .sampling import bounded, fold
-from .shared import freeing, modest_batches, read_table
+from .shared import freeing, modest_batches, read_table, unused
 
 PER_LANGUAGE = 600
 DIMENSIONS = 4096
@@ -231,7 +231,8 @@ def predicted(docs: DataFrame, model: Model, pred: str = "lang_pred", score: str
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that have a language, with its columns: texts without a letter, which no language fits, go."""
-    return predicted(docs, model, "_pred", "_score").where(F.col("_pred") != UNDETERMINED).select(*docs.columns)
+    pred, score = unused(docs, "_pred"), unused(docs, "_score")
+    return predicted(docs, model, pred, score).where(F.col(pred) != UNDETERMINED).select(*docs.columns)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -339,15 +339,15 @@ def kept_text(text: str, spans: list[tuple[int, int]] | None, mask: np.ndarray |
     return "\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in zip(edge[::2], edge[1::2], strict=True))
 
 
-def deduplicated(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
-    """``docs`` with texts cut, and n_removed; rows that lose their last word go."""
+def deduplicated(docs: DataFrame, window: int = WINDOW, removed: str = "n_removed", **options) -> DataFrame:
+    """``docs`` with texts cut, and the number of removed words, which replaces a column named ``removed``; rows that lose their last word go."""
 
     def make(text, spans, mask):
         return kept_text(text, spans, mask), 0 if mask is None else int(mask.sum()), 1 if mask is not None and mask.all() else 0
 
-    kept = [c for c in docs.columns if c != "n_removed"]
-    out = _cut(docs.select(*kept).withColumn(_NULL, F.col("text").isNull()), repeats(docs, window=window, **options), window, make, f"text string, n_removed long, {_GONE} long")
-    return out.where(f"{_GONE} = 0").withColumn("text", F.when(~F.col(_NULL), F.col("text"))).select(*kept, "n_removed")
+    kept = [c for c in docs.columns if c != removed]
+    out = _cut(docs.select(*kept).withColumn(_NULL, F.col("text").isNull()), repeats(docs, window=window, **options), window, make, f"text string, `{removed}` long, {_GONE} long")
+    return out.where(f"{_GONE} = 0").withColumn("text", F.when(~F.col(_NULL), F.col("text"))).select(*kept, removed)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
