@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import best_fit_packing, jaccard_join, language_id, substring_dedup, toxicity
-from tessera.llm.shared import dropped, read_table, written
+from tessera.llm.shared import dropped, read_table, unused, written
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has; what has no word left goes."""
-    out = substring_dedup.deduplicated(docs)
+    out = substring_dedup.deduplicated(docs, removed=unused(docs, "n_removed"))
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(*docs.columns)
 
 
