@@ -26,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .shared import freeing, modest_batches, read_table
-from .word_cache import WordCache, slices
+from .word_cache import WordCache, cut_after, slices
 
 MODEL = "piece_bpe_32k.model"
+#: New words that go to the library as one text.
+JOINED = 256
 MARK = "▁"
 #: Piece types and model types of the protobuf.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -153,12 +155,18 @@ class Codec:
         #: The bytes of each piece, with a space for the marker.
         self.bytes = np.array([bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in self.model.pieces], dtype=object)
         self.byte_ids = np.array([k == BYTE for _, _, k in self.model.pieces])
-        self.plain = self.model.cuts_at_marker and not self.model.charsmap and not self.model.remove_extra and self.model.dummy_prefix
+        self.plain = self.model.cuts_at_marker and not self.model.charsmap and not self.model.remove_extra and self.model.dummy_prefix and not any(k == USER_DEFINED for _, _, k in self.model.pieces)
         unsafe = re.compile(f"  |^ | $|{MARK}")
 
+        starts = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
+
         def chunks(words: list[str]) -> list[bytes]:
-            """A word alone gets the marker before it, as it has in its text."""
-            return [np.array(x, dtype="<u4").tobytes() for x in self._whole(words)]
+            """Words in texts of ``JOINED`` for the library's threads: the ids of each begin with a piece that begins with the marker, and no other piece has one."""
+            out = []
+            for x in self._whole([" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]):
+                ids = np.array(x, dtype="<u4")
+                out += cut_after(ids, starts[ids])
+            return out
 
         self.cache = WordCache(lambda x: None if unsafe.search(x) else x.split(" ") if x else [], chunks, self._whole)
 
