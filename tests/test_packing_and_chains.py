@@ -3,10 +3,12 @@
 import itertools
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import catalog
 from tessera.operators import chains as C
 from tessera.operators import packing as P
 from tessera.sources.graphs import from_edges
@@ -124,3 +126,15 @@ def test_window_order_keeps_groups_together(spark):
 def test_window_order_of_nothing(spark):
     e = spark.createDataFrame([], "eid long, src long, dst long, t long")
     assert C.window_order(from_edges(e, ["t", "eid"], 3, "none")).orderBy("v").collect() == [(0, 0), (1, 1), (2, 2)]
+
+
+@pytest.mark.parametrize("name", ["common_neighbours", "window_order", "window_locality", "packing_methods"])
+def test_query_equals_its_sql(spark, sf_dir, name):
+    df, con = catalog.QUERIES[name](spark, sf_dir), duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for t in "customer part orders lineitem events".split():
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    cur = con.execute(catalog.ORACLE_SQL[name])
+    names = [d[0] for d in cur.description]
+    assert sorted(df.columns) == sorted(names)
+    assert sorted(tuple(r[n] for n in names) for r in df.collect()) == sorted(cur.fetchall())
