@@ -24,10 +24,12 @@ from contextlib import closing
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import freeing, modest_batches, read_table, written
+from .word_cache import UNSAFE as UNSAFE_CHUNK
 from .word_cache import WordCache, cut_after, slices
 
 CAPACITY = 1024
@@ -62,9 +64,11 @@ def _cache(path: str) -> WordCache:
     encode = lambda xs: [e.ids for e in t.encode_batch_fast(xs, add_special_tokens=False)]
     newline = np.array(encode(["\n"])[0], dtype="<u4")
 
-    def split(text: str) -> list[str] | None:
+    def split(texts: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
         """Chunks: the first word marked by a NUL, words after a space as they are, words after a line feed with it."""
-        return None if "\0" in text else ("\0" + text.replace("\n", " \n")).split(" ")
+        whole = pc.match_substring(texts, "\0")
+        marked = pc.binary_join_element_wise("\0", pc.replace_substring(pc.if_else(whole, "", texts), "\n", " \n"), "")
+        return pc.split_pattern(marked, " "), whole.to_numpy(zero_copy_only=False)
 
     def joined(words: list[str]) -> list[bytes]:
         """Ids of words, encoded as the lines of one text; no word has a line feed."""
@@ -74,15 +78,19 @@ def _cache(path: str) -> WordCache:
 
     marks: dict[str, bytes] = {}
 
+    def letters(w: str) -> bytes:
+        """Ids of a word of letters below ``LATIN_END`` after a space."""
+        return array("I", [x.id for x in tokenize(SPACE + (w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_CHARS)))]).tobytes()
+
     def chunks(words: list[str]) -> list[bytes]:
         """Ids of chunks: those of the word without the marks at its end, then those of the marks, which BPE never joins."""
+        found: dict[str, bytes | None] = {w: letters(w) for w in words if w.isalpha() and (w.isascii() or max(w) < LATIN_END)}
+        rest = [w for w in words if w not in found]
         stems, ends = [], []
-        for w in words:
-            stem = w
-            if not w.isalpha():
-                stem = w.rstrip(MARKS)
-                if not stem[-1:].isalnum():
-                    stem = w
+        for w in rest:
+            stem = w.rstrip(MARKS)
+            if not stem[-1:].isalnum():
+                stem = w
             stems.append(stem)
             ends.append(w[len(stem) :])
         if fresh := sorted(set(ends) - marks.keys()):
@@ -90,14 +98,14 @@ def _cache(path: str) -> WordCache:
         if len(marks) > 50_000:
             marks.clear()
             marks.update(zip(ends, (np.array(x, dtype="<u4").tobytes() for x in encode(ends)), strict=True))
-        unique, found = [], {}
+        unique = []
         for w in dict.fromkeys(stems):
-            if w in cache.known:
-                found[w] = cache.known[w]
-            elif w.isascii() and w.isalpha():
-                found[w] = array("I", [x.id for x in tokenize(SPACE + w)]).tobytes()
-            elif w.isalpha() and max(w) < LATIN_END:
-                found[w] = array("I", [x.id for x in tokenize(SPACE + w.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
+            if w in found:
+                continue
+            if (x := cache.known.get(w)) is not None:
+                found[w] = None if x is UNSAFE_CHUNK else x
+            elif w.isalpha() and (w.isascii() or max(w) < LATIN_END):
+                found[w] = letters(w)
             else:
                 unique.append(w)
         bare, spaced = [w for w in unique if w[:1] in ("\0", "\n")], [w for w in unique if w[:1] not in ("\0", "\n")]
@@ -110,7 +118,10 @@ def _cache(path: str) -> WordCache:
         for w in bare:
             if w[0] == "\n" and found.setdefault(w, None) is not None:
                 found[w] = newline.tobytes() + found[w]
-        return [found[a] + marks[b] if b else found[a] for a, b in zip(stems, ends, strict=True)]
+        for w, a, b in zip(rest, stems, ends, strict=True):
+            if b:
+                found[w] = None if found[a] is None else found[a] + marks[b]
+        return [found[w] for w in words]
 
     tokenize = t.model.tokenize
     cache = WordCache(split, chunks, encode)

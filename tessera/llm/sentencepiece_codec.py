@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .shared import freeing, modest_batches, read_table
@@ -156,27 +157,36 @@ class Codec:
         self.bytes = np.array([bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in self.model.pieces], dtype=object)
         self.byte_ids = np.array([k == BYTE for _, _, k in self.model.pieces])
         self.plain = self.model.cuts_at_marker and not self.model.charsmap and not self.model.remove_extra and self.model.dummy_prefix and not any(k == USER_DEFINED for _, _, k in self.model.pieces)
-        unsafe = re.compile(f"  |^ | $|{MARK}")
+
+        def split(texts: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
+            """The words of each text, and which texts have the marker or spaces that repeat, begin or end them."""
+            whole = pc.match_substring(texts, "  ")
+            for x in (pc.starts_with(texts, " "), pc.ends_with(texts, " "), pc.match_substring(texts, MARK)):
+                whole = pc.or_(whole, x)
+            return pc.split_pattern(pc.if_else(whole, "", texts), " "), whole.to_numpy(zero_copy_only=False)
 
         starts = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
 
         def chunks(words: list[str]) -> list[bytes]:
             """Words in texts of ``JOINED`` for the library's threads: the ids of each begin with a piece that begins with the marker, and no other piece has one."""
+            if "" in words:  # an empty text's
+                out = iter(chunks([w for w in words if w]))
+                return [next(out) if w else b"" for w in words]
             out = []
             for x in self._whole([" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]):
                 ids = np.array(x, dtype="<u4")
                 out += cut_after(ids, starts[ids])
             return out
 
-        self.cache = WordCache(lambda x: None if unsafe.search(x) else x.split(" ") if x else [], chunks, self._whole)
+        self.cache = WordCache(split, chunks, self._whole)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
         if self.plain:
             return self.cache.ids(texts)
-        return [np.array(x, dtype="<u4") for x in self._whole(texts)]
+        return [np.array(x, dtype="<u4") for x in self._whole(texts.to_pylist() if isinstance(texts, pa.Array) else texts)]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         """Texts of ids; the library decodes those whose bytes aren't valid UTF-8, or that have control pieces."""
@@ -218,8 +228,8 @@ def encoded(docs: DataFrame, path: str | None = None, parity: bool = True, decod
 
             own = sentencepiece.SentencePieceProcessor(model_file=path)
         for b in batches:
-            for lo, texts in slices(b.column(0), 1 << 19):
-                ids = codec.encode(texts)
+            for lo, column in slices(b.column(0)):
+                ids, texts = codec.encode(column), column.to_pylist()
                 out = [b.column(i + 1).slice(lo, len(texts)) for i in range(len(kept))]
                 out += [pa.array([len(x) for x in ids], pa.int64()), pa.array([int(codec.byte_ids[x].sum()) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())]
                 names = [f.name for f in kept] + added[:3]

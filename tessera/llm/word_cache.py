@@ -1,8 +1,9 @@
 """Encode texts with a ``tokenizers`` model, remembering the ids of space-separated chunks.
 
 Where a tokenizer never joins text across the start of a single space (which
-its owner must know), a text's ids are those of its chunks in turn. Most chunks
-of prose have been seen before; only the others go to the library, in batches.
+its owner must know), a text's ids are those of its chunks in turn. Arrow cuts
+the texts and numbers their distinct chunks. Most chunks of prose have been seen
+before; only the others go to the library, in batches.
 Texts for which the cut is not safe go to it whole.
 """
 
@@ -16,60 +17,77 @@ import pyarrow.compute
 
 #: Chunks that are kept, twice: about 200 bytes each.
 MAX_ENTRIES = 200_000
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 22
+#: In place of the ids of a chunk whose texts mustn't be cut: an empty object of its own, told by identity.
+UNSAFE = bytearray()
 
 
 class WordCache:
     """Ids of texts by those of their chunks.
 
-    ``split`` cuts a text into chunks, or gives None where that isn't safe;
-    ``encode_chunks`` gives the ids of distinct chunks, as bytes of unsigned
-    32-bit numbers, in the same order, and None for a chunk whose texts mustn't
-    be cut; ``encode`` gives the ids of whole texts.
+    ``split`` cuts a column of texts without nulls into lists of chunks, and says
+    which texts mustn't be cut (what it gives for those isn't used, and should
+    be short); ``encode_chunks`` gives the ids of distinct chunks, as bytes of
+    unsigned 32-bit numbers, in the same order, and None for a chunk whose texts
+    mustn't be cut; ``encode`` gives the ids of whole texts.
     """
 
     def __init__(
         self,
-        split: Callable[[str], list[str] | None],
+        split: Callable[[pa.Array], tuple[pa.ListArray, np.ndarray]],
         encode_chunks: Callable[[list[str]], list[bytes | None]],
         encode: Callable[[list[str]], list[list[int]]],
         max_entries: int = MAX_ENTRIES,
     ):
         self.split, self.encode_chunks, self.encode, self.max_entries = split, encode_chunks, encode, max_entries
-        self.known: dict[str, bytes | None] = {}
-        self.before: dict[str, bytes | None] = {}
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def close(self) -> None:
         """Forget all, and the functions, which refer to the cache in turn: then nothing waits for the garbage collector."""
         self.known, self.before = {}, {}
         del self.split, self.encode_chunks, self.encode
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """Unsigned 32-bit ids of each text."""
-        cut = [self.split(t) for t in texts]
-        seen: set[str] = set()
-        for c in cut:
-            if c:
-                seen.update(c)
-        known, fresh = self.known, [w for w in seen if w not in self.known]
-        if fresh and len(known) + len(fresh) > self.max_entries:
-            # What was used lately stays; what is used again comes back from the generation before.
-            self.before, self.known = known, {w: known[w] for w in seen if w in known}
-            known = self.known
-        if fresh and self.before:
-            known.update((w, self.before[w]) for w in fresh if w in self.before)
-            fresh = [w for w in fresh if w not in known]
-        if fresh:
-            known.update(zip(fresh, self.encode_chunks(fresh), strict=True))
-        get, out, whole = known.__getitem__, [], []
-        for i, c in enumerate(cut):
-            try:
-                out.append(np.frombuffer(b"".join(map(get, c)), dtype="<u4"))
-            except TypeError:  # no chunks, or one that isn't safe
-                out.append(None)
-                whole.append(i)
-        for i, x in zip(whole, self.encode([texts[i] for i in whole]) if whole else (), strict=True):
-            out[i] = np.array(x, dtype="<u4")
+    def _of(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks; ``UNSAFE`` for those whose texts mustn't be cut."""
+        out = list(map(self.known.get, chunks))
+        if missing := [i for i, x in enumerate(out) if x is None]:
+            if len(self.known) + len(missing) > self.max_entries:
+                # What was used lately stays; what is used again comes back from the generation before.
+                self.before, self.known = self.known, {w: x for w, x in zip(chunks, out, strict=True) if x is not None}
+            for i in missing:
+                out[i] = self.before.get(chunks[i])
+            if fresh := [i for i in missing if out[i] is None]:
+                for i, x in zip(fresh, self.encode_chunks([chunks[i] for i in fresh]), strict=True):
+                    out[i] = UNSAFE if x is None else x
+            self.known.update((chunks[i], out[i]) for i in missing)
+        return out
+
+    def ids(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
+        """Unsigned 32-bit ids of each text: its chunks are numbered, and the ids of each number put together."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(column):
+            return []
+        lists, whole = self.split(column)
+        row = lists.offsets.to_numpy()
+        numbered = lists.flatten().dictionary_encode()
+        at, found = numbered.indices.to_numpy(), self._of(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        if bad := [i for i, x in enumerate(found) if x is UNSAFE]:
+            odd = np.zeros(len(found), dtype=bool)
+            odd[bad] = True
+            unsafe = np.concatenate([[0], np.cumsum(odd[at])])[row - row[0]]
+            whole = whole | (unsafe[1:] > unsafe[:-1])
+        flat = np.frombuffer(b"".join(found), dtype="<u4")
+        n = size[at]
+        end = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.arange(end[-1]) + np.repeat((np.cumsum(size) - size)[at] - end[:-1], n)]
+        cut = end[row - row[0]].tolist()
+        out = [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        if whole.any():
+            rows = np.flatnonzero(whole)
+            for i, x in zip(rows.tolist(), self.encode(column.take(pa.array(rows)).to_pylist()), strict=True):
+                out[i] = np.array(x, dtype="<u4")
         return out
 
 
@@ -79,11 +97,12 @@ def cut_after(ids: np.ndarray, first: np.ndarray) -> list[bytes]:
     return [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)]
 
 
-def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[str]]]:
+def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """(first row, texts) of about ``limit`` bytes together; a null is an empty text."""
-    size = pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    column = column.fill_null("")
+    size = pa.compute.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, lo = np.cumsum(size), 0
     while lo < len(column):
         hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, side="right")))
-        yield lo, [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
+        yield lo, column.slice(lo, hi - lo)
         lo = hi

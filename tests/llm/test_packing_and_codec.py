@@ -114,3 +114,41 @@ def test_bad_model_type(tmp_path):
     m = S.Model(pieces=[("<unk>", 0.0, 2)], model_type=3)
     with pytest.raises(ValueError):
         m.tokenizer()
+
+
+def test_marks_after_a_word_that_is_not_cut():
+    """White space inside a word before marks: the text goes to the library whole."""
+    texts = ["x\ty, z", "a\tb!", "\u3000q. ok", "x\ty z x\ty, z", "fine, (too)"]
+    c = P._cache(P.tokenizer_path())
+    assert [x.tolist() for x in c.ids(texts)] == [x.tolist() for x in c.ids(texts)] == ids_of(texts)
+
+
+def test_word_cache_numbers_the_chunks_of_a_column():
+    """Each distinct chunk of a column is encoded once, whatever the texts; texts that mustn't be cut come whole; what was evicted comes back."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from tessera.llm.word_cache import WordCache
+
+    asked, whole = [], []
+
+    def split(column):
+        unsafe = pc.match_substring(column, "|")
+        return pc.split_pattern(pc.if_else(unsafe, "", column), " "), unsafe.to_numpy(zero_copy_only=False)
+
+    def chunks(words):
+        asked.extend(words)
+        return [None if w == "bad" else np.frombuffer(w.encode(), dtype=np.uint8).astype("<u4").tobytes() for w in words]
+
+    def encode(texts):
+        whole.extend(texts)
+        return [[7, len(t)] for t in texts]
+
+    c = WordCache(split, chunks, encode, max_entries=4)
+    plain = lambda t: list(t.replace(" ", "").encode())
+    column = pa.array(["left out", "a b a", "", "b bad", "a|b", "bad", "c a"]).slice(1)
+    for _ in range(2):
+        assert [x.tolist() for x in c.ids(column)] == [plain("aba"), [], [7, 5], [7, 3], [7, 3], plain("ca")]
+    assert sorted(asked) == ["", "a", "b", "bad", "c"] and whole == ["b bad", "a|b", "bad"] * 2
+    assert [x.tolist() for x in c.ids(["d e a"])] == [plain("dea")] and [x.tolist() for x in c.ids(["b d"])] == [plain("bd")]
+    assert sorted(asked) == ["", "a", "b", "bad", "c", "d", "e"] and c.ids([]) == []
