@@ -122,7 +122,8 @@ class Model:
         if self.model_type == UNIGRAM:
             model = models.Unigram([(p, s) for p, s, _ in self.pieces], unk_id=self.unknown, byte_fallback=self.byte_fallback)
         elif self.model_type == BPE:
-            model = models.BPE({p: i for i, (p, _, _) in enumerate(self.pieces)}, self.merges(), unk_token=self.pieces[self.unknown][0], fuse_unk=True, byte_fallback=self.byte_fallback)
+            # Without the library's own cache of words: most words that it gets are new, and its threads wait for that.
+            model = models.BPE({p: i for i, (p, _, _) in enumerate(self.pieces)}, self.merges(), unk_token=self.pieces[self.unknown][0], fuse_unk=True, byte_fallback=self.byte_fallback, cache_capacity=0)
         else:
             raise ValueError(f"model type {self.model_type}: only unigram and BPE models are supported")
         t = Tokenizer(model)
