@@ -20,6 +20,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -147,15 +148,21 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(maxsize=1)
+def _rebuilt(path: str):
+    """The model and its tokenizer, once for all tasks of a worker in a row."""
+    model = Model.read(path)
+    return model, model.tokenizer()
+
+
 class Codec:
     """Encodes and decodes lists of texts with the rebuilt model."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        self.model = Model.read(path)
-        self.tokenizer = self.model.tokenizer()
+        self.model, self.tokenizer = _rebuilt(path)
         #: The bytes of each piece, with a space for the marker.
-        self.bytes = np.array([bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in self.model.pieces], dtype=object)
+        self.bytes = pa.array([bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in self.model.pieces], pa.large_binary())
         self.byte_ids = np.array([k == BYTE for _, _, k in self.model.pieces])
         self.plain = self.model.cuts_at_marker and not self.model.charsmap and not self.model.remove_extra and self.model.dummy_prefix and not any(k == USER_DEFINED for _, _, k in self.model.pieces)
 
@@ -191,13 +198,18 @@ class Codec:
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         """Texts of ids; the library decodes those whose bytes aren't valid UTF-8, or that have control pieces."""
+        if not self.plain or not ids:
+            return self.library_decode(ids)
+        # Arrow puts the pieces' bytes one after another; a text's are between the offsets of its first and last piece.
+        _, at, raw = self.bytes.take(pa.array(np.concatenate(ids))).buffers()
+        ends = np.frombuffer(at, dtype=np.int64)[np.cumsum([0, *map(len, ids)])].tolist()
+        data = memoryview(raw if raw is not None else b"")
         out, rest = [], []
-        for i, x in enumerate(ids):
+        for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
             try:
-                text = b"".join(self.bytes[x].tolist()).decode() if self.plain else None
+                text = str(data[a:b], "utf-8")
             except UnicodeDecodeError:
                 text = None
-            if text is None:
                 rest.append(i)
             out.append(text[1:] if text and text[0] == " " else text)
         for i, text in zip(rest, self.library_decode([ids[i] for i in rest]), strict=True):
@@ -235,7 +247,7 @@ def encoded(docs: DataFrame, path: str | None = None, parity: bool = True, decod
                 out += [pa.array([len(x) for x in ids], pa.int64()), pa.array([int(codec.byte_ids[x].sum()) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())]
                 names = [f.name for f in kept] + added[:3]
                 if parity:
-                    out.append(pa.array([np.array_equal(x, y) for x, y in zip(ids, own.encode(texts, num_threads=1), strict=True)]))
+                    out.append(pa.array([x.tolist() == y for x, y in zip(ids, own.encode(texts, num_threads=1), strict=True)]))
                     names.append("parity")
                 if decode:
                     out.append(pa.array([x == y for x, y in zip(texts, codec.decode(ids), strict=True)]))

@@ -152,3 +152,11 @@ def test_word_cache_numbers_the_chunks_of_a_column():
     assert sorted(asked) == ["", "a", "b", "bad", "c"] and whole == ["b bad", "a|b", "bad"] * 2
     assert [x.tolist() for x in c.ids(["d e a"])] == [plain("dea")] and [x.tolist() for x in c.ids(["b d"])] == [plain("bd")]
     assert sorted(asked) == ["", "a", "b", "bad", "c", "d", "e"] and c.ids([]) == []
+
+
+def test_codec_is_rebuilt_once_and_decodes_any_ids():
+    """A second codec has the first one's tokenizer; texts of ids between invalid and empty ones keep their place."""
+    a, b = S.Codec(S.model_path()), S.Codec(S.model_path())
+    assert a.tokenizer is b.tokenizer
+    ids = [*a.encode(["one two", "", "é ok"]), np.array([3 + 0xC3], dtype="<u4"), np.zeros(0, dtype="<u4"), *a.encode(["last"])]
+    assert a.decode(ids) == a.library_decode(ids) and a.decode([]) == []
