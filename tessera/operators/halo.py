@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scratch import kept
+from ..functions.scratch import dropped, kept, sized
 from ..sources.graphs import TemporalGraph
 from .multilevel import BUCKETS, both, simple
 
@@ -34,27 +34,27 @@ def part_costs(inc: DataFrame, place: DataFrame) -> dict[int, tuple[int, int, in
     ends = own.groupBy(F.col("home").alias("part")).agg(F.sum("n").alias("ends"))
     halo = own.where("part <> home").groupBy("part").agg(F.count("*").alias("halo"))
     rows = place.groupBy("part").agg(F.count("*").alias("c")).join(ends, "part", "left").join(halo, "part", "full").fillna(0)
-    return {r["part"]: (r["c"], r["ends"], r["halo"]) for r in rows.collect()}
+    with sized(inc.sparkSession):
+        return {r["part"]: (r["c"], r["ends"], r["halo"]) for r in rows.collect()}
 
 
-def gains(sym: DataFrame, inc: DataFrame, place: DataFrame, movers: DataFrame) -> DataFrame:
-    """v, part, to, gain: what a move of each of ``movers`` (v) to a part it has edges into takes from the halo volume."""
-    home = place.select("v", F.col("part").alias("home"))
-    near = sym.join(movers.select(F.col("v").alias("a")), "a", "left_semi").join(home.select(F.col("v").alias("a"), F.col("home").alias("p")), "a").join(home.select(F.col("v").alias("b"), F.col("home").alias("hb")), "b")
-    near = near.join(inc.select(F.col("v").alias("b"), F.col("part").alias("q"), "n"), "b")
-    # Neighbours that leave the halo of p, and by part those that needn't join it: they are in it or at home there.
-    q = near.groupBy("a", "p", "q").agg(F.count_if((F.col("q") == F.col("p")) & (F.col("hb") != F.col("p")) & (F.col("n") == F.col("w"))).alias("leave"), F.count("*").alias("known"), F.count_if(F.col("hb") == F.col("q")).alias("there"))
-    at_home = sym.join(movers.select(F.col("v").alias("a")), "a", "left_semi").join(home.select(F.col("v").alias("b"), F.col("home").alias("q")), "b").groupBy("a", "q").agg(F.count("*").alias("home_there"))
-    all_ = near.select("a", "b").distinct().groupBy("a").agg(F.count("*").alias("neighbours"))
-    leave = q.groupBy("a").agg(F.sum("leave").alias("leave"))
-    own = inc.select(F.col("v").alias("a"), F.col("part").alias("q"), F.col("n").alias("own"))
-    d = q.join(own, ["a", "q"]).join(leave.withColumnRenamed("leave", "gone"), "a").join(all_, "a").join(at_home, ["a", "q"], "left").fillna(0, ["home_there"])
-    # In q's halo or at home there without an edge into q of its own: counted once.
-    join = F.col("neighbours") - (F.col("known") - F.col("there")) - F.col("home_there")
-    stays = inc.join(home, "v").where("part = home").select(F.col("v").alias("a"), F.lit(1).alias("stays"))
-    d = d.where("q <> p").join(stays, "a", "left").fillna(0, ["stays"])
-    # v itself leaves q's halo, and is in that of p if it has edges there.
-    return d.select(F.col("a").alias("v"), F.col("p").alias("part"), F.col("q").alias("to"), (F.col("gone") - join + 1 - F.col("stays")).alias("gain"))
+def gains(sym: DataFrame, inc: DataFrame, place: DataFrame, movers: DataFrame, parts: int | None = None) -> DataFrame:
+    """v, part, to, gain: what a move of each of ``movers`` (v) to a part (0..parts - 1) it has edges into takes from the halo volume."""
+    if parts is None:
+        parts = (place.agg(F.max("part")).first()[0] or 0) + 1
+    into = [F.coalesce(F.sum(F.when(F.col("part") == q, F.col("n"))), F.lit(0)).alias(f"n{q}") for q in range(parts)]
+    state = inc.groupBy("v").agg(*into).join(place.select("v", F.col("part").alias("home")), "v")
+    # A row an edge with the state of its far end; those that a move brings into the halo of a part, and those whose only edges there it takes.
+    near = sym.join(movers.select(F.col("v").alias("a")), "a", "left_semi").join(state.withColumnRenamed("v", "b"), "b")
+    far = lambda q: F.col("home") != q
+    joins = [F.count_if(far(q) & (F.col(f"n{q}") == 0)).alias(f"join{q}") for q in range(parts)]
+    leaves = [F.count_if(far(q) & (F.col(f"n{q}") == F.col("w"))).alias(f"leave{q}") for q in range(parts)]
+    d = near.groupBy(F.col("a").alias("v")).agg(*joins, *leaves).join(state, "v")
+    at = lambda name: F.element_at(F.array(*[F.col(f"{name}{q}") for q in range(parts)]), F.col("home").cast("int") + 1)
+    # v itself leaves q's halo, and is in that of its home if it has edges there.
+    gain = lambda q: at("leave") - F.col(f"join{q}") + 1 - (at("n") > 0).cast("long")
+    moves = F.array(*[F.when(far(q) & (F.col(f"n{q}") > 0), F.struct(F.lit(q).cast("long").alias("to"), gain(q).alias("gain"))) for q in range(parts)])
+    return d.select("v", F.col("home").alias("part"), F.explode(F.array_compact(moves)).alias("m")).select("v", "part", "m.to", "m.gain")
 
 
 def refined(g: TemporalGraph, place: DataFrame, parts: int, cap: float, objective: str = "halo", rounds: int = 6) -> tuple[DataFrame, list[int]]:
@@ -72,18 +72,19 @@ def refined(g: TemporalGraph, place: DataFrame, parts: int, cap: float, objectiv
     costs = part_costs(inc, place)
     trace, share = [value(costs)], BUCKETS
     for k in range(rounds):
-        who = inc.join(place.withColumnRenamed("part", "home"), "v").where("part <> home").select("v", "home").distinct()
+        who = inc.join(place.withColumnRenamed("part", "home"), "v").groupBy("v", "home").agg(F.count_if(F.col("part") != F.col("home")).alias("out")).where("out > 0")
         busy = max(work(costs), key=lambda p: (work(costs)[p], -p), default=0)
         if objective == "straggler":
             who = who.where(F.col("home") == busy)
         who = who.where(F.pmod(F.xxhash64("v", F.lit(k)), F.lit(BUCKETS)) < share)
         room = {p: max(0, int(cap) - costs.get(p, (0, 0, 0))[0]) for p in range(parts)}
-        d = gains(sym, inc, place, who).where("gain > 0")
+        d = gains(sym, inc, place, who, parts).where("gain > 0")
         best = kept(d.groupBy("v", "part").agg(F.max(F.struct("gain", (-F.col("to")).alias("t"))).alias("m")).select("v", "part", (-F.col("m.t")).alias("to"), F.col("m.gain").alias("gain")), "moves")
         # As many as a part has room for, those of most gain first, by a hash among equals.
         sums = best.groupBy("to", "gain", F.pmod(F.xxhash64("v"), F.lit(BUCKETS)).alias("bucket")).agg(F.count("*").alias("c")).toPandas().sort_values(["gain", "bucket"], ascending=[False, True])
         cells = [(int(r["to"]), int(r["gain"]), int(r["bucket"])) for p, own in sums.groupby("to") for r in own[own["c"].cumsum() <= room[int(p)]].to_dict("records")]
         if not cells:
+            dropped(best)
             break
         fit = F.broadcast(g.spark.createDataFrame(cells, "to long, gain long, bucket long"))  # a row a part, gain and bucket
         moves = kept(best.withColumn("bucket", F.pmod(F.xxhash64("v"), F.lit(BUCKETS))).join(fit, ["to", "gain", "bucket"], "left_semi").select("v", "part", "to"), "moves")
@@ -92,11 +93,14 @@ def refined(g: TemporalGraph, place: DataFrame, parts: int, cap: float, objectiv
         inc_then = kept(inc.unionAll(delta).groupBy("v", "part").agg(F.sum("n").alias("n")).where("n > 0"), "incidence")
         then = kept(place.join(moves.select("v", "to"), "v", "left").select("v", F.coalesce("to", "part").alias("part")), "place")
         costs_then = part_costs(inc_then, then)
-        if value(costs_then) < trace[-1]:
+        falls = value(costs_then) < trace[-1]
+        dropped(best, moves, *((place, inc) if falls else (then, inc_then)))
+        if falls:
             place, inc, costs = then, inc_then, costs_then
             trace.append(value(costs))
         elif share == 1:
             break
         else:
             share = max(1, share // 4)
+    dropped(sym, inc)
     return place, trace

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scratch import kept
+from ..functions.scratch import dropped, kept
 from ..operators import halo as H
 from ..operators import placement as P
 from ..operators import spectra as E
@@ -64,6 +64,7 @@ def _refined(objective: str):
         costs = H.part_costs(H.incidence(sym, done), done)
         now = sum(c[2] for c in costs.values()) if objective == "halo" else max(c[1] + H.ALPHA * c[2] for c in costs.values())
         row = (trace[0], all(a > b for a, b in zip(trace, trace[1:], strict=False)) and now <= trace[0], now == trace[-1], sum(c[0] for c in costs.values()) == g.num_nodes, max(c[0] for c in costs.values()) <= cap)
+        dropped(start, sym, done)
         return g.spark.createDataFrame([row], "before long, falls boolean, recounted boolean, covered boolean, within_cap boolean")
 
     return run

@@ -1,5 +1,7 @@
 """Halo volumes, gains of single moves, and that each objective falls, against sets."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -48,3 +50,24 @@ def test_objectives_fall(spark, case, objective):
     assert trace[0] == volumes(edges, part, 3)[k] and trace[-1] == volumes(edges, after, 3)[k]
     assert all(a > b for a, b in zip(trace, trace[1:], strict=False)) and (len(trace) > 1 or objective == "straggler")
     assert sorted(after) == list(range(40)) and done.groupBy("part").count().agg(F.max("count")).first()[0] <= cap
+
+
+def test_vertex_tables_are_not_broadcast_by_their_files_size_and_go_when_done(spark, tmp_path, monkeypatch):
+    """20,000 ids are less than 100 kB in a file and 2 MB in a broadcast: the limit of 200 kB holds for the latter."""
+    n, key = 20_000, "spark.sql.autoBroadcastJoinThreshold"
+    monkeypatch.setattr("tessera.functions.scratch.shared_dir", lambda spark: f"file://{tmp_path}")
+    before, runs = spark.conf.get(key), lambda: spark._jsparkSession.sharedState().statusStore().executionsList()
+    spark.conf.set(key, "200k")
+    try:
+        e = spark.range(n).select(F.col("id").alias("eid"), F.col("id").alias("src"), ((F.col("id") * 7 + 1) % n).alias("dst"), F.col("id").alias("t"))
+        g = from_edges(e, ["t", "eid"], n, "ring")
+        began = runs().size()
+        done, trace = H.refined(g, spark.range(n).select(F.col("id").alias("v"), (F.col("id") % 4).alias("part")), 4, n / 2, rounds=1)
+        assert trace[0] >= trace[-1] and done.count() == n
+        plans = [runs().apply(i).physicalPlanDescription() for i in range(began, runs().size())]
+        wrote = [p for p in plans if re.search("InsertIntoHadoopFsRelationCommand[^,]*tessera-incidence", p)]
+        assert wrote and not any("BroadcastHashJoin" in p for p in wrote)
+    finally:
+        spark.conf.set(key, before)
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir() if p.name.startswith("tessera-")}
+    assert left == {"tessera-ring", "tessera-place"}, left
