@@ -1,10 +1,13 @@
 """Placements that depend on order, and their batch-synchronous forms.
 
-A stream of decisions is one task by nature: ``streamed`` and ``edge_streamed``
-run one per parameter set, side by side, up to ``ONE_TASK_EDGES`` edges. Above
-that, and wherever rounds will do, placements come from ``multilevel`` and
-``refined``: joins and aggregations whose moves are admitted by running sums
-under each part's cap, and of which the best round is kept.
+In a stream each decision depends on those before it. ``streamed`` and
+``edge_streamed`` make them block by block, one task a block and parameter set,
+with what the blocks before have left behind: votes that joins have counted,
+loads, and the state of the vertices that the block meets. So a task's rows are
+bounded, whatever the graph, but blocks follow each other. Wherever rounds will
+do, placements come from ``multilevel`` and ``refined``: joins and aggregations
+whose moves are admitted by running sums under each part's cap, and of which
+the best round is kept.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.position import with_position
-from ..functions.scratch import kept
+from ..functions.scratch import appended, dropped, kept, table_path
 from ..sources.graphs import TemporalGraph
 from . import supra as G
 from .metrics import placed
@@ -33,38 +36,97 @@ def _guard(g: TemporalGraph) -> None:
         raise ValueError(f"{g.num_edges} edges: an ordered stream is one task, use multilevel() or online() above {ONE_TASK_EDGES}")
 
 
+#: Of a block of a stream of vertices: vote counts, and pairs with both ends in it, at most about; ids are dealt to blocks in so many ranges.
+BLOCK_VOTES, BLOCK_PAIRS, RANGES = 1 << 22, 1 << 21, 512
+
+
+def _blocks(pairs: np.ndarray, ids: int, votes: int, most: int) -> list[tuple[int, int]]:
+    """Blocks lo..hi - 1 of ranges of ``ids`` vertices; ``pairs`` has how many pairs two ranges have, the later one first. A range is never cut."""
+    out, lo = [], 0
+    while lo < len(pairs):
+        hi, inside = lo + 1, pairs[lo, lo]
+        while hi < len(pairs) and (hi + 1 - lo) * ids <= votes and inside + pairs[hi, lo : hi + 1].sum() <= most:
+            inside += pairs[hi, lo : hi + 1].sum()
+            hi += 1
+        out.append((lo, hi))
+        lo = hi
+    return out
+
+
 def streamed(g: TemporalGraph, parts: int, modes: tuple[str, ...] = ("fennel", "ldg"), gamma: float = 1.5) -> DataFrame:
     """mode, v, part: vertices in order of id, each to the part of the best score among its placed neighbours less a load penalty.
 
     ``fennel`` skips parts over a soft cap of 1.1 times the mean, ``ldg`` scales by the room left.
     """
-    _guard(g)
-    n, m = g.num_nodes, g.num_edges
-
-    def place(key, e):
-        # The first part has no soft cap, so that there is always one to take.
-        mode = key[0]
-        e = e[e["src"] != e["dst"]]
-        a, b = np.concatenate([e["src"], e["dst"]]).astype(np.int64), np.concatenate([e["dst"], e["src"]]).astype(np.int64)
-        order = np.argsort(a, kind="stable")
-        near, at = b[order], np.searchsorted(a[order], np.arange(n + 1))
-        part, load = np.full(n, -1), np.zeros(parts)
-        weight = m * parts ** (gamma - 1) / max(1, n) ** gamma * gamma
-        mean = n / parts
-        for v in range(n):
-            homes = part[near[at[v] : at[v + 1]]]
-            votes = np.bincount(homes[homes >= 0], minlength=parts)
+    spark, n, m, columns = g.spark, g.num_nodes, g.num_edges, [f"n{p}" for p in range(parts)]
+    schema = "mode string, v long, part long"
+    if not n:
+        return spark.createDataFrame([], schema)
+    # Of a pair only the later end asks. Ranges of it are written together, so that a block reads its own files.
+    near = g.edges.where("src <> dst").groupBy(F.greatest("src", "dst").alias("v"), F.least("src", "dst").alias("b")).agg(F.count("*").alias("w"))
+    near = kept(near.repartitionByRange("v"), "near")
+    ids = -(-n // RANGES)
+    pairs = np.zeros((-(-n // ids),) * 2, np.int64)
+    for r in near.groupBy(F.expr(f"v div {ids}").alias("x"), F.expr(f"b div {ids}").alias("y")).agg(F.count("*").alias("c")).collect():
+        pairs[r["x"], r["y"]] = r["c"]
+    weight, mean = m * parts ** (gamma - 1) / max(1, n) ** gamma * gamma, n / parts
+    loads = {mode: [0] * parts for mode in modes}
+    done, path = None, table_path(spark, "streamed")
+    each = F.explode(F.array(*[F.lit(mode) for mode in modes])).alias("mode")
+
+    def decided(lo: int, hi: int, before: dict[str, list[int]]):
+        def place(key, d):
+            mode, load = key[0], list(before[key[0]])
+            v, b, w = d["v"].to_numpy() - lo, d["b"].to_numpy(), d[columns].to_numpy()
+            votes = np.zeros((hi - lo, parts), np.int64)
+            old, inner = (v >= 0) & (b < 0), np.flatnonzero(b >= 0)
+            votes[v[old]] = w[old]
+            inner = inner[np.argsort(v[inner], kind="stable")]
+            at, others, times = np.searchsorted(v[inner], np.arange(hi - lo + 1)).tolist(), b[inner] - lo, w[inner, 0]
+            part = np.zeros(hi - lo, np.int64)
+            penalty = lambda x: float((np.array([x], float) ** (gamma - 1))[0] * weight)
+            room = lambda x: max(0.0, 1 - x / mean)
             if mode == "fennel":
-                score = votes - weight * load ** (gamma - 1)
-                score[1:][load[1:] >= 1.1 * mean] = -np.inf
+                less, scale = [penalty(x) for x in load], [1] * parts
             else:
-                score = votes * np.maximum(0, 1 - load / mean) - 1e-9 * load
-            part[v] = k = int(score.argmax())
-            load[k] += 1
-        return pd.DataFrame({"mode": mode, "v": np.arange(n), "part": part})
-
-    sets = F.explode(F.array(*[F.lit(x) for x in modes])).alias("mode")
-    return g.edges.orderBy("pos").select(sets, "src", "dst").groupBy("mode").applyInPandas(place, "mode string, v long, part long")
+                less, scale = [1e-9 * x for x in load], [room(x) for x in load]
+            # The first part has no soft cap, so that there is always one to take.
+            full = [mode == "fennel" and p > 0 and load[p] >= 1.1 * mean for p in range(parts)]
+            for first in range(0, hi - lo, 1 << 14):
+                for i, vote in enumerate(votes[first : first + (1 << 14)].tolist(), first):
+                    for k in range(at[i], at[i + 1]):
+                        vote[part[others[k]]] += int(times[k])
+                    best, to = -np.inf, 0
+                    for p in range(parts):
+                        score = vote[p] * scale[p] - less[p]
+                        if score > best and not full[p]:
+                            best, to = score, p
+                    part[i] = to
+                    load[to] += 1
+                    if mode == "fennel":
+                        less[to], full[to] = penalty(load[to]), to > 0 and load[to] >= 1.1 * mean
+                    else:
+                        less[to], scale[to] = 1e-9 * load[to], room(load[to])
+            return pd.DataFrame({"mode": mode, "v": np.arange(lo, hi), "part": part})
+
+        return place
+
+    for x, y in _blocks(pairs, ids, max(1, BLOCK_VOTES // parts), BLOCK_PAIRS):
+        lo, hi = x * ids, min(y * ids, n)
+        own, none = near.where((F.col("v") >= lo) & (F.col("v") < hi)), [F.lit(0).cast("long").alias(c) for c in columns[1:]]
+        # A row a mode, so that none is without a task; pairs within the block; votes of the blocks before.
+        rows = spark.range(1).select(each, F.lit(-1).cast("long").alias("v"), F.lit(-1).cast("long").alias("b"), F.lit(0).cast("long").alias(columns[0]), *none)
+        rows = rows.unionAll(own.where(F.col("b") >= lo).select(each, "v", "b", F.col("w").alias(columns[0]), *none))
+        if done is not None:
+            placed_before = done.select("mode", F.col("v").alias("b"), "part")
+            counts = [F.coalesce(F.sum(F.when(F.col("part") == p, F.col("w"))), F.lit(0)).alias(c) for p, c in enumerate(columns)]
+            rows = rows.unionAll(own.where(F.col("b") < lo).join(placed_before, "b").groupBy("mode", "v").agg(*counts).select("mode", "v", F.lit(-1).cast("long").alias("b"), *columns))
+        done = appended(rows.groupBy("mode").applyInPandas(decided(lo, hi, loads), schema), path)
+        loads = {mode: [0] * parts for mode in modes}
+        for r in done.groupBy("mode", "part").agg(F.count("*").alias("c")).collect():
+            loads[r["mode"]][r["part"]] = r["c"]
+    dropped(near)
+    return done
 
 
 def edge_streamed(g: TemporalGraph, parts: int, balance: tuple[float, ...] = (1.0,)) -> DataFrame:
