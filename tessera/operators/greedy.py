@@ -28,16 +28,10 @@ from .multilevel import multilevel
 from .stats import degree
 from .supra import both_ways
 
-ONE_TASK_EDGES = 5_000_000
-
-
-def _guard(g: TemporalGraph) -> None:
-    if g.num_edges > ONE_TASK_EDGES:
-        raise ValueError(f"{g.num_edges} edges: an ordered stream is one task, use multilevel() or online() above {ONE_TASK_EDGES}")
-
-
 #: Of a block of a stream of vertices: vote counts, and pairs with both ends in it, at most about; ids are dealt to blocks in so many ranges.
 BLOCK_VOTES, BLOCK_PAIRS, RANGES = 1 << 22, 1 << 21, 512
+#: Edges of a block of a stream of edges.
+BLOCK_EDGES = 1 << 20
 
 
 def _blocks(pairs: np.ndarray, ids: int, votes: int, most: int) -> list[tuple[int, int]]:
@@ -131,24 +125,60 @@ def streamed(g: TemporalGraph, parts: int, modes: tuple[str, ...] = ("fennel", "
 
 def edge_streamed(g: TemporalGraph, parts: int, balance: tuple[float, ...] = (1.0,)) -> DataFrame:
     """balance, src, dst, part: edges in order, each to the part that already has its ends, its rarer end first, less how full it is."""
-    _guard(g)
-    n = g.num_nodes
+    spark, schema = g.spark, "balance double, src long, dst long, part long"
+    if not g.num_edges:
+        return spark.createDataFrame([], schema)
+    ends = lambda e, *more: e.select(*more, F.explode(F.array("src", "dst")).alias("v"))
+    deg = kept(ends(g.edges).groupBy("v").agg(F.count("*").alias("n")), "degrees")
+    sets = F.explode(F.array(*[F.lit(float(x)) for x in balance])).alias("balance")
+    sizes = {float(x): [0] * parts for x in balance}
+
+    def decided(before: dict[float, list[int]]):
+        def place(key, e, s):
+            e, size = e.sort_values("pos"), list(before[key[0]])
+            src, dst = e["src"].to_numpy(), e["dst"].to_numpy()
+            ids, code = np.unique(np.concatenate([src, dst]), return_inverse=True)
+            at, part, n = np.searchsorted(ids, s["v"].to_numpy()), s["part"].to_numpy(), s["n"].to_numpy()
+            count, has, out = np.zeros(len(ids), np.int64), [0] * len(ids), np.empty(len(e), np.int64)
+            count[at[part < 0]] = n[part < 0]
+            for v, p in zip(at[part >= 0].tolist(), part[part >= 0].tolist(), strict=True):
+                has[v] |= 1 << p  # a bit a part
+            count = count.tolist()
+            for i, (u, v) in enumerate(zip(code[: len(e)].tolist(), code[len(e) :].tolist(), strict=True)):
+                share = count[u] / (count[u] + count[v])
+                most, x, y, best, to = max(size), has[u], has[v], -np.inf, 0
+                spread = 1 + most - min(size)
+                for p in range(parts):
+                    score = (2 - share if x >> p & 1 else 0) + (1 + share if y >> p & 1 else 0) + key[0] * (most - size[p]) / spread
+                    if score > best:
+                        best, to = score, p
+                out[i] = to
+                has[u] |= 1 << to
+                has[v] |= 1 << to
+                size[to] += 1
+            return pd.DataFrame({"balance": key[0], "src": src, "dst": dst, "part": out})
 
-    def place(key, e):
-        e = e.sort_values("pos")
-        src, dst = e["src"].to_numpy(), e["dst"].to_numpy()
-        deg = np.bincount(np.concatenate([src, dst]), minlength=n)
-        has, size, out = np.zeros((n, parts), bool), np.zeros(parts), np.empty(len(e), np.int64)
-        for i, (u, v) in enumerate(zip(src.tolist(), dst.tolist(), strict=True)):
-            share = deg[u] / (deg[u] + deg[v])
-            score = has[u] * (2 - share) + has[v] * (1 + share) + key[0] * (size.max() - size) / (1 + size.max() - size.min())
-            out[i] = k = int(score.argmax())
-            has[u, k] = has[v, k] = True
-            size[k] += 1
-        return pd.DataFrame({"balance": key[0], "src": src, "dst": dst, "part": out})
+        return place
 
-    sets = F.explode(F.array(*[F.lit(float(x)) for x in balance])).alias("balance")
-    return g.edges.select(sets, "pos", "src", "dst").groupBy("balance").applyInPandas(place, "balance double, src long, dst long, part long")
+    done, at = None, table_path(spark, "edge-streamed")
+    has = spark.createDataFrame([], "balance double, v long, part long")
+    for lo in range(0, g.num_edges, BLOCK_EDGES):
+        block = g.edges.where((F.col("pos") >= lo) & (F.col("pos") < lo + BLOCK_EDGES)).select("pos", "src", "dst")
+        met = ends(block).distinct()
+        # What the block's vertices are: how often they occur in all, and the parts that have them already.
+        state = deg.join(met, "v", "left_semi").select(sets, "v", F.lit(-1).cast("long").alias("part"), "n")
+        state = state.unionAll(has.join(met, "v", "left_semi").select("balance", "v", "part", F.lit(0).cast("long").alias("n")))
+        new = kept(block.select(sets, "*").groupBy("balance").cogroup(state.groupBy("balance")).applyInPandas(decided(sizes), schema), "block")
+        for r in new.groupBy("balance", "part").agg(F.count("*").alias("c")).collect():
+            sizes[r["balance"]][r["part"]] += r["c"]
+        if lo + BLOCK_EDGES < g.num_edges:
+            then = kept(has.unionAll(ends(new, "balance", "part").select("balance", "v", "part")).distinct(), "has")
+            dropped(has)
+            has = then
+        done = appended(new, at)
+        dropped(new)
+    dropped(deg, has)
+    return done
 
 
 def cut_of(e: DataFrame, place: DataFrame) -> int:

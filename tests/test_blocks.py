@@ -42,3 +42,28 @@ def test_vertices_in_blocks_equal_the_plain_stream(spark, case, monkeypatch, pai
     for r in K.streamed(g, 4).orderBy("mode", "v").collect():
         got.setdefault(r["mode"], []).append(r["part"])
     assert got == {mode: plain(edges, 64, 4, mode) for mode in ("fennel", "ldg")}
+
+
+@pytest.mark.parametrize("block", [1, 100, 1 << 20])
+def test_edges_in_blocks_equal_the_plain_stream(spark, case, monkeypatch, block):
+    g, edges = case
+    if block == 1:
+        g, edges = from_edges(g.edges.where("pos < 6"), ["pos"], 64, "few"), edges[:6]
+    monkeypatch.setattr(K, "ONE_TASK_EDGES", 100 if block > 1 else 1, raising=False)
+    monkeypatch.setattr(K, "BLOCK_EDGES", block, raising=False)
+    want, deg = [], np.bincount(np.array(edges).ravel(), minlength=64)
+    for balance in (0.5, 2.0):
+        has, size = np.zeros((64, 3), bool), np.zeros(3)
+        for u, v in edges:
+            share = deg[u] / (deg[u] + deg[v])
+            score = has[u] * (2 - share) + has[v] * (1 + share) + balance * (size.max() - size) / (1 + size.max() - size.min())
+            k = int(score.argmax())
+            has[u, k] = has[v, k] = True
+            size[k] += 1
+            want.append((balance, u, v, k))
+    assert sorted(tuple(r) for r in K.edge_streamed(g, 3, (0.5, 2.0)).collect()) == sorted(want)
+
+
+def test_streams_of_nothing(spark):
+    g = from_edges(spark.createDataFrame([], "eid long, src long, dst long, t long"), ["t", "eid"], 0, "none")
+    assert K.streamed(g, 2).count() == K.edge_streamed(g, 2).count() == 0
