@@ -1,14 +1,15 @@
 """Sliding windows over a stream of edges, with the edges that leave them.
 
-A window is the last ``width`` steps of the clock (positions, or times). Spark's
-state store keeps, for each vertex, how many edges it got in each live step; a
-timer at the end of a step reports what arrived in it, and one ``width`` steps
-later what it takes out of the window again, which is then forgotten. A vertex
+A window is the last ``width`` steps of the clock (positions, or times). Of each
+vertex, Spark's windowed aggregation holds in its state store how many edges
+came in the last step of each live window and in the step before its first; when
+the clock has passed a window's end, the first is what arrived there and the
+second what it takes out of the window again, and both are forgotten. A vertex
 whose edges have all left has no state. What the stream writes are changes
 (vertex, position, arrived, departed); ``degrees`` and ``turnover`` add them up.
 
-A vertex is dealt over ``SALTS`` keys by edge, so a hub's state and rows are
-spread; changes of its keys add up. An edge that its source delivers again
+Counts are taken in part before they are dealt out by vertex, so a hub is a row
+a task and window. An edge that its source delivers again
 within the window is told by its id and counts once; a batch that is run again
 after a failure starts from the state before it. Rows that are more than
 ``late`` older than the newest of the batches before are left out: that is the watermark.
@@ -16,64 +17,28 @@ after a failure starts from the state before it. Rows that are more than
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 EDGES = "eid long, src long, dst long, clock long"
 CHANGES = "v long, position long, arrived long, departed long"
-SALTS = 8
 #: The vertex of rows that only move the clock on.
 TICK = -1
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class LiveSteps(StatefulProcessor):
-    """Of a key, the edges of each live step; what comes and what goes is reported when the clock has passed a step's end."""
-
-    def __init__(self, step: int, width: int):
-        self.step, self.width = step, width
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.counts = handle.getMapState("counts", "step long", "n long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for d in rows:
-            if key[0] == TICK:
-                continue
-            for s, n in (d["clock"] // self.step).value_counts().items():
-                at, now = (int(s),), int(n)
-                if self.counts.containsKey(at):
-                    now += self.counts.getValue(at)[0]
-                else:
-                    self.handle.registerTimer((int(s) + 1) * self.step)
-                    self.handle.registerTimer((int(s) + 1 + self.width) * self.step)
-                self.counts.updateValue(at, (now,))
-        return iter(())
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        p = expiredTimerInfo.getExpiryTimeInMs() // self.step - 1
-        count = lambda s: self.counts.getValue((s,))[0] if self.counts.containsKey((s,)) else 0
-        come, gone = count(p), count(p - self.width)
-        if gone:
-            self.counts.removeKey((p - self.width,))
-        yield pd.DataFrame({"v": [key[0]], "position": [p], "arrived": [come], "departed": [gone]})
-
-    def close(self) -> None:
-        pass
-
-
-def changes(edges: DataFrame, step: int, width: int, late: int = 0, salts: int = SALTS) -> DataFrame:
+def changes(edges: DataFrame, step: int, width: int, late: int = 0) -> DataFrame:
     """Changes of a stream of edges (eid, src, dst, clock from 0 on): the clock counts milliseconds, as far as Spark is concerned."""
     # Spark takes a row for late that isn't after the watermark, which begins at 0: one more lets ties with it in.
     e = edges.withColumn("at", F.timestamp_millis(F.col("clock") + 1)).withWatermark("at", f"{late + 1} milliseconds")
     e = e.dropDuplicatesWithinWatermark(["eid"])
-    ends = e.select(F.explode(F.array("src", "dst")).alias("v"), F.pmod("eid", F.lit(salts)).alias("salt"), "clock", "at")
-    return ends.groupBy("v", "salt").transformWithStateInPandas(statefulProcessor=LiveSteps(step, width), outputStructType=CHANGES, outputMode="Append", timeMode="EventTime")
+    ends = e.where(F.col("src") != TICK).select(F.explode(F.array("src", "dst")).alias("v"), F.expr(f"clock div {step}").alias("s"), "at")
+    # A row falls into the windows that it is in and into the one that it has just left: width + 1 steps, the last of them the position.
+    w = F.window("at", f"{(width + 1) * step} milliseconds", f"{step} milliseconds", "1 milliseconds").alias("w")
+    position = F.expr(f"(unix_millis(w.end) - 1) div {step} - 1")
+    ends = ends.select("v", "s", w).withColumn("position", position).where((F.col("s") == F.col("position")) | (F.col("s") == F.col("position") - width))
+    n = ends.groupBy("w", "v").agg(F.count_if(F.col("s") == F.col("position")).alias("arrived"), F.count_if(F.col("s") < F.col("position")).alias("departed"))
+    return n.select("v", position.alias("position"), "arrived", "departed")
 
 
 def follow(spark: SparkSession, source: str, out: str, checkpoint: str, step: int, width: int, late: int = 0, files: int = 1) -> None:

@@ -121,3 +121,14 @@ def test_graph_of_any_storage(spark, tmp_path):
     store.ingest(spark.createDataFrame([(0, 1, 5), (2, 3, 86_400_000_001), (1, 0, 2)], "src long, dst long, t long"))
     assert [(r.pos, r.src) for r in registry.open_storage(store).edges.orderBy("pos").collect()] == [(0, 1), (1, 0), (2, 2)]
     assert registry.open_storage(store, 3, 6).num_edges == 1
+
+
+def test_departures_run_in_spark_alone(spark, tmp_path):
+    """Counts are kept by Spark's own aggregation, in part before they are dealt out; Python isn't asked for each vertex and step."""
+    fed(spark, f"file://{tmp_path}/in", [edges_of(spark)])
+    d = W.changes(spark.readStream.schema(W.EDGES).parquet(f"file://{tmp_path}/in"), STEP, WIDTH)
+    q = d.writeStream.format("memory").queryName("changed").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    plan = q._jsq.explainInternal(True)
+    assert "Python" not in plan and "Pandas" not in plan and "partial_count" in plan
+    assert {o["operatorName"] for o in q.lastProgress["stateOperators"]} == {"dedupeWithinWatermark", "stateStoreSave"}
