@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scratch import kept
+from ..functions.scratch import dropped, kept
 from ..sources.graphs import TemporalGraph
 from .placement import split
 
@@ -57,7 +57,9 @@ def clustered(sym: DataFrame, v: DataFrame, most: float, turn: int = 0) -> DataF
     near = sym.join(alone.select(F.col("v").alias("a")), "a", "left_semi").join(now.select(F.col("v").alias("b"), F.col("up").alias("hub")), "b")
     hub = near.groupBy("a", "hub").agg(F.sum("w").alias("s")).groupBy(F.col("a").alias("v")).agg(F.max(F.struct("s", "hub")).alias("m")).select("v", F.col("m.hub").alias("hub"))
     joined = _parted(alone.join(hub, "v", "left").fillna(-1, ["hub"]), most).select("v", F.col("up").alias("to"))
-    return kept(now.join(joined, "v", "left").select("v", "w", F.coalesce("to", "up").alias("up")), "clusters")
+    out = kept(now.join(joined, "v", "left").select("v", "w", F.coalesce("to", "up").alias("up")), "clusters")
+    dropped(now)
+    return out
 
 
 def _parted(asked: DataFrame, most: float) -> DataFrame:
@@ -140,11 +142,12 @@ def exchanged(e: DataFrame, place: DataFrame, parts: int, cap: float | list[floa
     If none of them is under the cap, rounds go on while the greatest load falls, and the last is given.
     """
     cap = np.broadcast_to(np.asarray(cap, float), parts)
-    sym = sym if sym is not None else kept(both(e), "sym")
+    given, sym = sym, sym if sym is not None else kept(both(e), "sym")
     now, best, least, heaviest, k = kept(place.select("v", "w", "part"), "place"), None, None, None, 0
     load = np.zeros(parts)
     for r in now.groupBy("part").agg(F.sum("w").alias("s")).collect():
         load[r["part"]] = r["s"]
+    own_sym = sym if given is None else None
     while True:
         near = sym.join(now.select(F.col("v").alias("b"), F.col("part").alias("to")), "b").groupBy("a", "to").agg(F.sum("w").alias("s"))
         j = now.select(F.col("v").alias("a"), "part", F.col("w").alias("weight")).join(near, "a")
@@ -158,14 +161,18 @@ def exchanged(e: DataFrame, place: DataFrame, parts: int, cap: float | list[floa
         sums = one.groupBy("part", "to", "level", "bucket").agg(F.sum("weight").alias("w"), F.sum("out").alias("out"), (F.sum(F.col("gain") * F.col("weight")) / F.sum("weight")).alias("gain")).toPandas()
         cut, top = int(sums["out"].sum()) // 2, (load / np.maximum(cap, 1e-9)).max()
         if top <= 1 and (least is None or cut < least):
-            best, least = now, cut
+            old, best, least = best, now, cut
+            dropped(*[old] if old is not None else [])
         if k >= rounds and (best is not None or heaviest is not None and top >= heaviest):
+            dropped(one, *[own_sym] if own_sym is not None else [], *[now] if best is not None and best is not now else [])
             return best if best is not None else now
         heaviest, k = top, k + 1
         chosen, load = _chosen(sums, load, cap)
         moves = one.join(F.broadcast(now.sparkSession.createDataFrame(chosen, "part long, to long, level int, bucket int")), ["part", "to", "level", "bucket"], "left_semi").select("v", "to")
         spill = _inner(now, one, load, cap, k)
-        now = kept(now.join(moves if spill is None else moves.unionAll(spill), "v", "left").select("v", "w", F.coalesce("to", "part").alias("part")), "place")
+        then = kept(now.join(moves if spill is None else moves.unionAll(spill), "v", "left").select("v", "w", F.coalesce("to", "part").alias("part")), "place")
+        dropped(one, *[now] if now is not best else [])
+        now = then
         if spill is not None:
             load = np.zeros(parts)
             for r in now.groupBy("part").agg(F.sum("w").alias("s")).collect():
@@ -244,13 +251,15 @@ def multilevel(g: TemporalGraph, parts: int, slack: float = 1.03, weight: DataFr
     total, n, cap = row["w"] or 0, row["n"], slack * (row["w"] or 0) / parts
     stop, stack = max(30 * parts, small), []
     while n > 2 * stop:
-        sym = kept(both(e), "sym")
+        sym = both(e)
         up = clustered(sym, v, min(3 * total / stop, GROWTH * total / n), len(stack))
         ee, vv = (kept(x, "contracted") for x in contracted(e, up))
         fewer = vv.count()
         if fewer > 0.95 * n:
+            dropped(up, ee, vv)
             break
-        stack.append((e, sym, up))
+        stack.append((e, up))
+        dropped(v)
         e, v, slow, n = ee, vv, fewer > 0.7 * n, fewer
         if slow and n <= 4 * stop:
             break
@@ -258,9 +267,12 @@ def multilevel(g: TemporalGraph, parts: int, slack: float = 1.03, weight: DataFr
         place = kept(bisected(e, v, parts), "place")
     else:
         place = split(v.select("v", F.col("w").alias("work")), [F.desc("work"), F.asc("v")], parts).select("v", F.col("work").alias("w"), "part")
-    sym = None
-    for ee, ss, up in reversed(stack):
-        place = exchanged(e, place, parts, cap, rounds[0], sym)
-        place = up.join(place.select(F.col("v").alias("up"), "part"), "up").select("v", "w", "part")
-        e, sym = ee, ss
-    return exchanged(e, place, parts, cap, rounds[1], sym).select("v", "part")
+    for ee, up in reversed(stack):
+        better = exchanged(e, place, parts, cap, rounds[0], both(e))
+        dropped(place, e)
+        place = kept(up.join(better.select(F.col("v").alias("up"), "part"), "up").select("v", "w", "part"), "place")
+        dropped(better, up)
+        e = ee
+    out = exchanged(e, place, parts, cap, rounds[1], both(e)).select("v", "part")
+    dropped(place, e)
+    return out

@@ -67,3 +67,11 @@ def test_edges_in_blocks_equal_the_plain_stream(spark, case, monkeypatch, block)
 def test_streams_of_nothing(spark):
     g = from_edges(spark.createDataFrame([], "eid long, src long, dst long, t long"), ["t", "eid"], 0, "none")
     assert K.streamed(g, 2).count() == K.edge_streamed(g, 2).count() == 0
+
+
+def test_multilevel_leaves_its_result_alone(spark, case, tmp_path, monkeypatch):
+    g, _ = case
+    monkeypatch.setattr("tessera.functions.scratch.shared_dir", lambda spark: f"file://{tmp_path}")
+    assert K.multilevel(g, 2, small=8).count() == 64
+    left = [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir() if p.name.startswith("tessera-")]
+    assert left.count("tessera-place") == 1 and "tessera-gains" not in left and "tessera-sym" not in left
