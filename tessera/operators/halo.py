@@ -64,7 +64,8 @@ def refined(g: TemporalGraph, place: DataFrame, parts: int, cap: float, objectiv
     """
     if objective not in ("halo", "straggler"):
         raise ValueError(objective)
-    sym = kept(both(simple(g)), "sym")
+    e = kept(simple(g), "simple")
+    sym = both(e)
     place = kept(place.select("v", F.col("part").cast("long").alias("part")), "place")
     inc = kept(incidence(sym, place), "incidence")
     work = lambda c: {p: x[1] + ALPHA * x[2] for p, x in c.items()}
@@ -102,5 +103,5 @@ def refined(g: TemporalGraph, place: DataFrame, parts: int, cap: float, objectiv
             break
         else:
             share = max(1, share // 4)
-    dropped(sym, inc)
+    dropped(e, inc)
     return place, trace

@@ -60,11 +60,11 @@ def _refined(objective: str):
         start = kept(P.by_hash(g, D).select("v", "part"), "start")
         cap = 1.05 * g.num_nodes / D
         done, trace = H.refined(g, start, D, cap, objective)
-        sym = kept(H.both(H.simple(g)), "sym")
-        costs = H.part_costs(H.incidence(sym, done), done)
+        inc = kept(H.incidence(H.both(H.simple(g)), done), "incidence")
+        costs = H.part_costs(inc, done)
         now = sum(c[2] for c in costs.values()) if objective == "halo" else max(c[1] + H.ALPHA * c[2] for c in costs.values())
         row = (trace[0], all(a > b for a, b in zip(trace, trace[1:], strict=False)) and now <= trace[0], now == trace[-1], sum(c[0] for c in costs.values()) == g.num_nodes, max(c[0] for c in costs.values()) <= cap)
-        dropped(start, sym, done)
+        dropped(start, inc, done)
         return g.spark.createDataFrame([row], "before long, falls boolean, recounted boolean, covered boolean, within_cap boolean")
 
     return run

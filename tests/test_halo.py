@@ -71,3 +71,12 @@ def test_vertex_tables_are_not_broadcast_by_their_files_size_and_go_when_done(sp
         spark.conf.set(key, before)
     left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir() if p.name.startswith("tessera-")}
     assert left == {"tessera-ring", "tessera-place"}, left
+
+
+def test_gains_of_all_moves_to_parts_with_a_neighbour(spark):
+    """A path of two vertices: the neighbour is at home in the other part and has no edge there itself, and is a reason to move all the same."""
+    g = from_edges(spark.createDataFrame([(0, 0, 1, 0)], "eid long, src long, dst long, t long"), ["t", "eid"], 2, "path")
+    place = spark.createDataFrame([(0, 0), (1, 1)], "v long, part long")
+    sym = L.both(L.simple(g))
+    rows = H.gains(sym, H.incidence(sym, place), place, place.select("v")).collect()
+    assert sorted((r.v, r.part, r.to, r.gain) for r in rows) == [(0, 0, 1, 2), (1, 1, 0, 2)]
