@@ -138,3 +138,10 @@ def test_query_equals_its_sql(spark, sf_dir, name):
     names = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(names)
     assert sorted(tuple(r[n] for n in names) for r in df.collect()) == sorted(cur.fetchall())
+
+
+def test_chains_leave_their_result_alone(spark, tmp_path, monkeypatch):
+    g, _, n = toy(spark, 6, 6)
+    monkeypatch.setattr("tessera.functions.scratch.shared_dir", lambda spark: f"file://{tmp_path}")
+    assert C.chains(g).count() == n
+    assert [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir() if p.name.startswith("tessera-")] == ["tessera-chains"]
