@@ -45,10 +45,16 @@ ch AS (SELECT v, position, coalesce(a.arrived, 0) AS arrived, coalesce(d.arrived
 SELECT v, position, sum(arrived - departed) OVER (PARTITION BY v ORDER BY position)::BIGINT AS degree, arrived::BIGINT AS arrived, departed::BIGINT AS departed FROM ch""")(lambda g, s: W.degrees(_streamed(g), POSITIONS))
 
 
-@query("binary_edges", "O", " SELECT src % 8 AS bucket, count(*)::BIGINT AS edges, sum(src)::BIGINT AS src_sum, sum(dst)::BIGINT AS dst_sum, sum(src * dst)::BIGINT AS products FROM edges GROUP BY 1")
-def _binary(g, s):
-    """The graph's edges written as raw arrays and read back by ranges of 10,000 edges."""
+def binary_sums(g):
+    """The graph's edges written as raw arrays and read back by ranges of 10,000 edges, and sums over them; that of products is a decimal where 64 bits don't hold one."""
     at = f"{shared_dir(g.spark)}/tessera-arrays-{uuid.uuid4().hex[:12]}"
     binary.write_edge_arrays(g.edges, at)
     e = binary.read_edge_arrays(g.spark, at, 10_000)
-    return e.groupBy((F.col("src") % 8).alias("bucket")).agg(F.count("*").alias("edges"), F.sum("src").alias("src_sum"), F.sum("dst").alias("dst_sum"), F.sum(F.col("src") * F.col("dst")).alias("products"))
+    # Products of two ids fit in 64 bits, their sums needn't; eight rows at most come here.
+    n = e.groupBy((F.col("src") % 8).alias("bucket")).agg(F.count("*").alias("edges"), F.sum("src").alias("src_sum"), F.sum("dst").alias("dst_sum"), F.sum((F.col("src") * F.col("dst")).cast("decimal(20,0)")).alias("products")).collect()
+    kind = "long" if all(r["products"] < 1 << 63 for r in n) else "decimal(38,0)"
+    rows = [(*r[:4], int(r["products"]) if kind == "long" else r["products"]) for r in n]
+    return g.spark.createDataFrame(rows, f"bucket long, edges long, src_sum long, dst_sum long, products {kind}")
+
+
+query("binary_edges", "O", " SELECT src % 8 AS bucket, count(*)::BIGINT AS edges, sum(src)::BIGINT AS src_sum, sum(dst)::BIGINT AS dst_sum, sum(src * dst)::BIGINT AS products FROM edges GROUP BY 1")(lambda g, s: binary_sums(g))

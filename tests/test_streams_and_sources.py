@@ -132,3 +132,16 @@ def test_departures_run_in_spark_alone(spark, tmp_path):
     plan = q._jsq.explainInternal(True)
     assert "Python" not in plan and "Pandas" not in plan and "partial_count" in plan
     assert {o["operatorName"] for o in q.lastProgress["stateOperators"]} == {"dedupeWithinWatermark", "stateStoreSave"}
+
+
+@pytest.mark.parametrize("edges", [2, 4])
+def test_sums_of_products_beyond_64_bits(spark, edges):
+    """Two products of the largest ids that 32 bits hold add up to less than 2^63, four don't: then the sum is a decimal, as exact."""
+    from tessera.plans import stream_queries
+    from tessera.sources.graphs import from_edges
+
+    big = (1 << 31) - 8  # 0 modulo 8
+    g = from_edges(spark.createDataFrame([(i, big, big, i) for i in range(edges)], "eid long, src long, dst long, t long"), ["t", "eid"], 1 << 31, "big")
+    out = stream_queries.binary_sums(g)
+    assert [tuple(map(int, r)) for r in out.collect()] == [(0, edges, edges * big, edges * big, edges * big * big)]
+    assert dict(out.dtypes)["products"] == ("bigint" if edges == 2 else "decimal(38,0)")
